@@ -8,7 +8,7 @@ all sides are hash-partitioned on user_id, so the chain adds no exchanges.
 Model: StringIndexer + OneHotEncoder (unknown level -> all zeros), StandardScaler
 on the numeric block, LogisticRegression with the L2 strength that matches
 scikit-learn's default C=1 (Spark's loss is a mean, scikit-learn's a sum:
-regParam = 1/n_train). Training iterations are distributed Spark jobs; the
+regParam = 1/n_train) and scikit-learn's default tolerance 1e-4. Training iterations are distributed Spark jobs; the
 feature table is checkpointed to the shared checkpoint folder first, so a lost
 executor recomputes from the checkpoint, not from the raw tables.
 """
@@ -126,7 +126,7 @@ def build_pipeline(n_train: int, max_iter: int = 1000) -> Pipeline:
                            outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
                             regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                            standardization=False, family="binomial")
+                            standardization=False, family="binomial", tol=1e-4)
     return Pipeline(stages=[*idx, ohe, num, scaler, allv, lr])
 
 
@@ -282,3 +282,18 @@ PLANS = {
     "score_users": score_users,
     "risk_band_counts": risk_band_counts,
 }
+
+
+# ---------------------------------------------------------------- S09 / S10: model files
+
+def save_model(cm: ChurnModel, path: str) -> None:
+    cm.model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def write_coefficients_csv(t: Tables, path: str, p: Period = DEFAULT_PERIOD) -> None:
+    from subscope.sources.files import write_csv
+    write_csv(coefficient_table(t, p), path, single_file=True)

@@ -37,9 +37,18 @@ def _sql(p: Period) -> dict[str, str]:
 PLANS = _plans()
 
 
-def run(name: str, spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD) -> DataFrame:
-    tables: Tables = bind(spark, sf_dir, period)
-    return PLANS[name](tables, period)
+def tables_for(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD,
+               materialized: bool = True) -> Tables:
+    """Bound tables: read from the written store (default), or bound lazily from the driver tables."""
+    if materialized:
+        from subscope.sources.store import bound_tables
+        return bound_tables(spark, sf_dir, period)
+    return bind(spark, sf_dir, period)
+
+
+def run(name: str, spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD,
+        materialized: bool = True) -> DataFrame:
+    return PLANS[name](tables_for(spark, sf_dir, period, materialized), period)
 
 
 def spark_queries(period: Period = DEFAULT_PERIOD) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
