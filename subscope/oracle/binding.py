@@ -83,9 +83,26 @@ feature_events AS (
 )"""
 
 
+_BOUND = {"on": True}
+
+
+class unbound:
+    """Within this block, statements omit the binding CTEs: the six model tables
+    are expected to exist as tables/views (used for hand-made test fixtures)."""
+
+    def __enter__(self):
+        _BOUND["on"] = False
+
+    def __exit__(self, *exc):
+        _BOUND["on"] = True
+
+
 def with_binding(body: str, ctes: str = "", period: Period = DEFAULT_PERIOD) -> str:
     """Stand-alone statement: binding CTEs, then the query's own CTEs, then the body."""
-    own = f",\n{ctes.strip().rstrip(',')}" if ctes.strip() else ""
+    own = ctes.strip().rstrip(",")
+    if not _BOUND["on"]:
+        return f"WITH {own}\n{body.strip()}" if own else body.strip()
+    own = f",\n{own}" if own else ""
     return f"WITH {binding_ctes(period).strip()}{own}\n{body.strip()}"
 
 
