@@ -115,8 +115,9 @@ def _split_col():
 # ---------------------------------------------------------------- L02 - L10
 
 def build_pipeline(n_train: int, max_iter: int = 1000) -> Pipeline:
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
-                         stringOrderType="alphabetAsc") for c in CATEGORICAL]
+    # one indexer for the four columns: one pass over the data instead of four
+    idx = [StringIndexer(inputCols=CATEGORICAL, outputCols=[f"{c}_idx" for c in CATEGORICAL],
+                         handleInvalid="keep", stringOrderType="alphabetAsc")]
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEGORICAL],
                         outputCols=[f"{c}_ohe" for c in CATEGORICAL], dropLast=True,
                         handleInvalid="keep")
@@ -144,8 +145,8 @@ class ChurnModel:
     def coefficients(self) -> list[tuple[str, float]]:
         lr = self.model.stages[-1]
         names = list(NUMERIC)
-        for c, si in zip(CATEGORICAL, self.model.stages[:len(CATEGORICAL)]):
-            names += [f"{c}_{lab}" for lab in si.labels]  # dropped last slot = unknown
+        for c, labels in zip(CATEGORICAL, self.model.stages[0].labelsArray):
+            names += [f"{c}_{lab}" for lab in labels]  # dropped last slot = unknown
         return list(zip(names, [float(x) for x in lr.coefficients.toArray()]))
 
 

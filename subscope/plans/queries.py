@@ -387,9 +387,10 @@ def top3_sessions_by_channel(t: Tables, p: Period = DEFAULT_PERIOD, k: int = 3)
     # candidate values: distinct (user, minutes) first, so a heavy user is one row per value
     user_vals = t.user_sessions.select("user_id", m).distinct()
     top = ranked_values(user_vals.join(uc, "user_id"), "signup_channel", m, k, "session_rank")
-    # only sessions whose minutes value is a top value of some channel can qualify
-    top_vals = top.select(m).distinct()
-    cand = t.user_sessions.join(top_vals, m, "left_semi")
+    # a session can qualify only if its minutes reach the smallest top value of any
+    # channel: a one-row threshold (bounded broadcast), no shuffle of sessions by value
+    floor_ = top.agg(F.min(m).alias("_floor"))
+    cand = t.user_sessions.crossJoin(F.broadcast(floor_)).where(C(m) >= C("_floor")).drop("_floor")
     rows = cand.join(uc, "user_id").join(top, ["signup_channel", m])
     return (rows.select("signup_channel", "user_id", "session_date", m, "session_rank")
             .orderBy("signup_channel", "session_rank", "user_id", "session_date"))

@@ -60,9 +60,8 @@ def test_driver_model_entries(spark):
     m = churn.binary_metrics(t).collect()[0]
     assert 0.0 <= m["accuracy"] <= 1.0 and m["tp"] + m["fp"] + m["fn"] + m["tn"] > 0
     coef = churn.coefficient_table(t).collect()
-    assert len(coef) == len(churn.NUMERIC) + sum(
-        churn.fit_churn_model(t, cache_key=churn._key(t, churn.DEFAULT_PERIOD)).model.stages[i].labels.__len__()
-        for i in range(4))
+    labels = churn.fit_churn_model(t, cache_key=churn._key(t, churn.DEFAULT_PERIOD)).model.stages[0].labelsArray
+    assert len(coef) == len(churn.NUMERIC) + sum(len(x) for x in labels)
     assert [r["Absolute_Coefficient"] for r in coef] == sorted((r["Absolute_Coefficient"] for r in coef), reverse=True)
     assert len(churn.top_coefficients(t).collect()) == 10
     scores = churn.score_users(t)
