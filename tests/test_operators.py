@@ -56,16 +56,26 @@ def test_exact_quantiles_match_pandas_with_heavy_value(spark):
     x[:1700] = 42.0  # one value holds a third of the rows
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = exact_quantiles(df, "x", probs, [f"q{i}" for i in range(len(probs))], buckets=32).collect()[0]
     want = [pd.Series(x).quantile(p) for p in probs]
-    assert np.allclose(list(got), want, rtol=0, atol=1e-9)
+    for strategy in ["bucketed", "single_task", "auto"]:
+        got = exact_quantiles(df, "x", probs, [f"q{i}" for i in range(len(probs))], buckets=32,
+                              strategy=strategy).collect()[0]
+        assert np.allclose(list(got), want, rtol=0, atol=1e-9), strategy
+
+
+def test_auto_strategy_falls_back_to_buckets_over_the_bound(spark):
+    x = [float(i) for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    got = exact_quantiles(df, "x", [0.5, 0.9], ["m", "n"], max_distinct=100, buckets=16).collect()[0]
+    assert list(got) == [pd.Series(x).quantile(0.5), pd.Series(x).quantile(0.9)]
 
 
 def test_exact_quantiles_ignore_nulls_and_empty(spark):
     df = spark.createDataFrame([(None,), (3.0,), (1.0,)], "x double")
-    assert exact_quantiles(df, "x", [0.5], ["m"]).collect()[0]["m"] == 2.0
     empty = spark.createDataFrame([(None,)], "x double")
-    assert exact_quantiles(empty, "x", [0.5], ["m"]).collect()[0]["m"] is None
+    for strategy in ["bucketed", "single_task"]:
+        assert exact_quantiles(df, "x", [0.5], ["m"], strategy=strategy).collect()[0]["m"] == 2.0
+        assert exact_quantiles(empty, "x", [0.5], ["m"], strategy=strategy).collect()[0]["m"] is None
 
 
 def test_dense_rank_top_keeps_ties(spark):
