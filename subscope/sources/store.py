@@ -8,13 +8,15 @@ executor re-reads the written table instead of re-running the binding.
 
 The store key covers the input files (path, size, modification time), the
 period and the binding code, so a changed input or binding never reads a stale
-store. A table counts as written only when its ``_SUCCESS`` marker exists.
+store. The store is published by renaming a complete staging folder, so it either
+exists whole or not at all.
 """
 
 from __future__ import annotations
 
 import hashlib
 import inspect
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -57,13 +59,21 @@ def store_path(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD
 
 
 def materialize(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD) -> str:
-    """Write whichever bound tables are missing; return the store folder."""
+    """Write the six bound tables unless the store exists; return the store folder.
+
+    The tables go to a fresh folder that is then renamed into place in one step,
+    so a reader sees either no store or a whole one, even with concurrent writers.
+    """
     root = store_path(spark, sf_dir, period)
-    tables = bind(spark, sf_dir, period).as_dict()
-    for name, df in tables.items():
-        out = f"{root}/{name}"
-        if not _exists(spark, f"{out}/_SUCCESS"):
-            df.write.mode("overwrite").parquet(out)
+    if _exists(spark, root):
+        return root
+    staging = f"{root}.staging-{uuid.uuid4().hex}"
+    for name, df in bind(spark, sf_dir, period).as_dict().items():
+        df.write.mode("errorifexists").parquet(f"{staging}/{name}")
+    src, fs = _fs(spark, staging)
+    dst, _ = _fs(spark, root)
+    if not fs.rename(src, dst) and not fs.exists(dst):
+        raise RuntimeError(f"could not publish the bound-table store at {root}")
     return root
 
 
@@ -71,7 +81,7 @@ def bound_tables(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERI
     """The six model tables read from the store (written first if needed)."""
     key = (id(spark), sf_dir, period)
     root = _MEMO.get(key)
-    if root is None or not _exists(spark, f"{root}/user_sessions/_SUCCESS"):
+    if root is None or not _exists(spark, root):
         root = materialize(spark, sf_dir, period)
         _MEMO[key] = root
     read = spark.read.parquet
