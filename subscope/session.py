@@ -33,17 +33,24 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+_LOCAL_CKPT: dict = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it; only when it is unset
-    (tests, a laptop) is a local folder created and set.
+    Uses ``spark.checkpoint.dir`` when the cluster sets it. Only when it is unset
+    (tests, a laptop) is a local folder created, once per SparkContext, and
+    registered with ``setCheckpointDir`` (a core config cannot be set at run time).
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="subscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    sc = spark.sparkContext
+        key = id(sc._jsc)
+        path = _LOCAL_CKPT.get(key)
+        if path is None:
+            path = tempfile.mkdtemp(prefix="subscope-ckpt-")
+            _LOCAL_CKPT[key] = path
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
