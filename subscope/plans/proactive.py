@@ -51,11 +51,12 @@ def inactivity_churn(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 def export_first_week_churn(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     u = t.users.select("user_id", "signup_date")
-    ex = t.feature_events.where(C("feature_name") == "Export").select("user_id", "event_time")
-    start = C("signup_date").cast("timestamp_ntz")
-    end = F.date_add(C("signup_date"), FIRST_WEEK_DAYS).cast("timestamp_ntz")
-    # per-user earliest Export at or after signup decides the flag; aggregate first (skew-safe)
-    hit = (ex.join(u, "user_id").where((C("event_time") >= start) & (C("event_time") < end))
+    # the window [signup, signup + 7 days) has whole-day bounds, so an event's day decides;
+    # distinct (user, day) first: a user with a third of all events is a few rows per day
+    ex_days = (t.feature_events.where(C("feature_name") == "Export")
+               .select("user_id", F.to_date("event_time").alias("d")).distinct())
+    in_week = (C("d") >= C("signup_date")) & (C("d") < F.date_add(C("signup_date"), FIRST_WEEK_DAYS))
+    hit = (ex_days.join(u, "user_id").where(in_week)
            .select("user_id").distinct().withColumn("hit", F.lit(1)))
     flag = F.when(C("hit") == 1, "export_first_week").otherwise("no_export_first_week")
     f = t.users.select("user_id").distinct().join(hit, "user_id", "left").select("user_id", flag.alias("adoption"))
@@ -70,8 +71,10 @@ def ticket_friction_churn(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     flag = F.when(C("fr") == 1, "friction").otherwise("no_friction")
     f = t.users.select("user_id").distinct().join(fr, "user_id", "left").select("user_id", flag.alias("friction"))
     base = _churn_by_flag(f, t, "friction")
-    hours = (t.support_tickets.join(f, "user_id").groupBy("friction")
-             .agg(F.sum("resolution_time_hours").alias("_h"), F.count("resolution_time_hours").alias("_n")))
+    per_user = t.support_tickets.groupBy("user_id").agg(
+        F.sum("resolution_time_hours").alias("h"), F.count("resolution_time_hours").alias("n"))
+    hours = (per_user.join(f, "user_id").groupBy("friction")
+             .agg(F.sum("h").alias("_h"), F.sum("n").alias("_n")))
     return base.join(hours, "friction", "left").select(
         "friction", "users", "churned_users", "churn_rate_pct",
         half_up_money(C("_h"), C("_n")).alias("avg_resolution_hours"))
