@@ -91,10 +91,45 @@ FIXTURE_ROWS = {
 }
 
 
+def _hot_rows():
+    """The edge tables plus a hot user (2) who holds about a third of all sessions,
+    events, transactions and tickets (with repeated values, ties and NULLs)."""
+    rows = {k: list(v) for k, v in FIXTURE_ROWS.items()}
+    for i in range(300):
+        rows["user_sessions"].append((1000 + i, 2, D(2001, 4 + i % 3, 1 + i % 28), 5 + i % 50))
+        rows["feature_events"].append((1000 + i, 2, ["Export", "Search", "Dashboard"][i % 3],
+                                       _ts(2001, 5, 3 + i % 20, i % 24), 5 + i % 90))
+    for i in range(60):
+        rows["transactions"].append((1000 + i, 2, D(2001, 5 + i % 2, 1 + i % 28), Decimal("29.00") + i,
+                                     ["Success", "Failed", "Refunded"][i % 3]))
+        rows["support_tickets"].append((1000 + i, 2, D(2001, 6, 1 + i % 28), ["Billing", "Account"][i % 2],
+                                        Decimal(f"{i % 40}.{i % 100:02d}"), None if i % 7 == 0 else 1 + i % 5))
+    for i in range(200):
+        rows["user_sessions"].append((5000 + i, 10 + i % 40, D(2001, 6, 1 + i % 30), 5 + i % 40))
+    return rows
+
+
+FIXTURES = {"edge": FIXTURE_ROWS, "hot": _hot_rows()}
+ORDER = ["users", "subscriptions", "user_sessions", "transactions", "support_tickets", "feature_events"]
+
+
 @pytest.fixture(scope="session")
 def fixture_tables(spark):
-    order = ["users", "subscriptions", "user_sessions", "transactions", "support_tickets", "feature_events"]
-    return Tables(*(spark.createDataFrame(FIXTURE_ROWS[n], S.SCHEMAS[n]) for n in order))
+    return Tables(*(spark.createDataFrame(FIXTURE_ROWS[n], S.SCHEMAS[n]) for n in ORDER))
+
+
+@pytest.fixture(scope="session", params=sorted(FIXTURES))
+def fixture_pair(request, spark):
+    """(Spark tables, DuckDB connection) over the same hand-made rows."""
+    import duckdb
+    rows = FIXTURES[request.param]
+    con = duckdb.connect()
+    for name in ORDER:
+        fields = S.SCHEMAS[name].fields
+        con.execute(f"CREATE TABLE {name} (" + ", ".join(f"{f.name} {_duck_type(f.dataType)}" for f in fields) + ")")
+        con.executemany(f"INSERT INTO {name} VALUES (" + ", ".join("?" for _ in fields) + ")", rows[name])
+    tables = Tables(*(spark.createDataFrame(rows[n], S.SCHEMAS[n]) for n in ORDER))
+    return tables, con
 
 
 def _duck_type(dt_):

@@ -24,8 +24,9 @@ with unbound():
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_edge_fixture(fixture_tables, fixture_duck, name):
-    ok, msg = compare(registry.PLANS[name](fixture_tables), fixture_duck, SQL_UNBOUND[name])
+def test_hand_made_fixtures(fixture_pair, name):
+    tables, con = fixture_pair
+    ok, msg = compare(registry.PLANS[name](tables), con, SQL_UNBOUND[name])
     assert ok, msg
 
 
