@@ -93,6 +93,16 @@ def ratio_or_zero(num, den, factor: float = 1.0) -> Column:
     return F.when(den > 0, v).otherwise(F.lit(0.0))
 
 
+def exact_mean(c) -> Column:
+    """Mean as one division of an exact sum (integer or DECIMAL) by the count.
+
+    A DOUBLE running sum depends on the order rows arrive in; an exact sum does
+    not, so the mean is the same on every run and engine. NULL over no values.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double"))
+
+
 def count_when(cond: Column) -> Column:
     """COUNT(CASE WHEN cond THEN 1 END) as BIGINT."""
     return F.count(F.when(cond, F.lit(1)))

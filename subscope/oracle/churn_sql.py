@@ -13,22 +13,22 @@ def feature_ctes(p: Period) -> str:
         for f in S.FEATURES)
     return f"""
 Activity AS (SELECT user_id, COUNT(session_id) AS total_sessions,
-                    AVG(CAST(session_duration_minutes AS DOUBLE)) AS avg_session_duration,
+                    CAST(SUM(session_duration_minutes) AS DOUBLE) / NULLIF(COUNT(session_duration_minutes), 0) AS avg_session_duration,
                     CAST({sql_date(p.as_of)} - MAX(session_date) AS BIGINT) AS recency
              FROM user_sessions GROUP BY user_id),
 Clicks AS (SELECT user_id,
          {pivots}
            FROM feature_events GROUP BY user_id),
 FeatTime AS (SELECT user_id, CAST(SUM(time_spent_seconds) AS BIGINT) AS total_feature_time,
-                    AVG(CAST(time_spent_seconds AS DOUBLE)) AS avg_feature_time
+                    CAST(SUM(time_spent_seconds) AS DOUBLE) / NULLIF(COUNT(time_spent_seconds), 0) AS avg_feature_time
              FROM feature_events GROUP BY user_id),
 Payments AS (SELECT user_id, CAST(SUM(CASE WHEN status = 'Success' THEN amount END) AS DOUBLE) AS total_spend,
                     COUNT(CASE WHEN status = 'Failed' THEN 1 END) AS failed_payments,
                     COUNT(CASE WHEN status = 'Refunded' THEN 1 END) AS refunded_payments
              FROM transactions GROUP BY user_id),
 Support AS (SELECT user_id, COUNT(ticket_id) AS ticket_count,
-                   AVG(CAST(resolution_time_hours AS DOUBLE)) AS avg_resolution_time,
-                   AVG(CAST(satisfaction_score AS DOUBLE)) AS avg_satisfaction
+                   CAST(SUM(resolution_time_hours) AS DOUBLE) / NULLIF(COUNT(resolution_time_hours), 0) AS avg_resolution_time,
+                   CAST(SUM(satisfaction_score) AS DOUBLE) / NULLIF(COUNT(satisfaction_score), 0) AS avg_satisfaction
             FROM support_tickets GROUP BY user_id),
 FirstSub AS (SELECT user_id, plan_type, status AS sub_status FROM (
                SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY subscription_id) AS rn

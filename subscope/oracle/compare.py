@@ -13,9 +13,9 @@ def _norm(v, digits: int):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, digits)
+        return v if digits is None else round(v, digits)
     if isinstance(v, decimal.Decimal):
-        return round(float(v), digits)
+        return float(v) if digits is None else round(float(v), digits)
     if isinstance(v, bool):
         return int(v)
     if isinstance(v, int):

@@ -77,7 +77,7 @@ FROM (SELECT MAX(CASE WHEN stage_order = 1 THEN Users END) AS u1,
     q["feature_clicks"] = with_binding(
         "SELECT feature_name AS Feature, COUNT(*) AS Clicks FROM feature_events GROUP BY 1 ORDER BY Clicks DESC, Feature")
     q["feature_avg_time"] = with_binding(
-        "SELECT feature_name AS Feature, AVG(CAST(time_spent_seconds AS DOUBLE)) AS avg_time_secs FROM feature_events GROUP BY 1")
+        "SELECT feature_name AS Feature, CAST(SUM(time_spent_seconds) AS DOUBLE) / NULLIF(COUNT(time_spent_seconds), 0) AS avg_time_secs FROM feature_events GROUP BY 1")
     q["ticket_volume"] = with_binding(
         "SELECT category, COUNT(*) AS count FROM support_tickets GROUP BY 1 ORDER BY count DESC, category")
     q["csat_distribution"] = with_binding("""

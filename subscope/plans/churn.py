@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subscope import schema as S
-from subscope.functions import count_when, feature_column, lit_date, risk_band
+from subscope.functions import count_when, exact_mean, feature_column, lit_date, risk_band
 from subscope.operators.dedup import first_by_key
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.sources.binding import Tables
@@ -40,7 +40,7 @@ TEST_HASH_BELOW = "33"  # first two hex digits of md5(user_id) below this: test
 def activity_features(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     g = t.user_sessions.groupBy("user_id").agg(
         F.count("session_id").alias("total_sessions"),
-        F.avg(C("session_duration_minutes").cast("double")).alias("avg_session_duration"),
+        exact_mean("session_duration_minutes").alias("avg_session_duration"),
         F.max("session_date").alias("_last"))
     return g.select("user_id", "total_sessions", "avg_session_duration",
                     F.datediff(lit_date(p.as_of), C("_last")).cast("long").alias("recency"))
@@ -57,7 +57,7 @@ def feature_click_pivot(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 def feature_time(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     return t.feature_events.groupBy("user_id").agg(
         F.sum("time_spent_seconds").cast("long").alias("total_feature_time"),
-        F.avg(C("time_spent_seconds").cast("double")).alias("avg_feature_time"))
+        exact_mean("time_spent_seconds").alias("avg_feature_time"))
 
 
 def payment_features(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
@@ -71,8 +71,8 @@ def payment_features(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 def support_features(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     return t.support_tickets.groupBy("user_id").agg(
         F.count("ticket_id").alias("ticket_count"),
-        F.avg(C("resolution_time_hours").cast("double")).alias("avg_resolution_time"),
-        F.avg(C("satisfaction_score").cast("double")).alias("avg_satisfaction"))
+        exact_mean("resolution_time_hours").alias("avg_resolution_time"),
+        exact_mean("satisfaction_score").alias("avg_satisfaction"))
 
 
 def first_subscription(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:

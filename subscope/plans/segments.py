@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subscope import schema as S
-from subscope.functions import churned_flag, month_key, ticket_segment
+from subscope.functions import churned_flag, exact_mean, month_key, ticket_segment
 from subscope.operators.reshape import one_row
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.plans import kpis
@@ -117,7 +117,7 @@ def feature_clicks(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 def feature_avg_time(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     return (t.feature_events.groupBy(C("feature_name").alias("Feature"))
-            .agg(F.avg(C("time_spent_seconds").cast("double")).alias("avg_time_secs")))
+            .agg(exact_mean("time_spent_seconds").alias("avg_time_secs")))
 
 
 def ticket_volume(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
