@@ -9,8 +9,8 @@ Model: StringIndexer + OneHotEncoder (unknown level -> all zeros), StandardScale
 on the numeric block, LogisticRegression with the L2 strength that matches
 scikit-learn's default C=1 (Spark's loss is a mean, scikit-learn's a sum:
 regParam = 1/n_train) and scikit-learn's default tolerance 1e-4. Training iterations are distributed Spark jobs; the
-feature table is checkpointed to the shared checkpoint folder first, so a lost
-executor recomputes from the checkpoint, not from the raw tables.
+feature table is written once to the shared checkpoint folder first, so the fit
+passes and a lost executor read those files, not the raw tables.
 """
 
 from __future__ import annotations
@@ -158,8 +158,10 @@ def fit_churn_model(t: Tables, p: Period = DEFAULT_PERIOD, cache_key=None) -> Ch
         return _FITTED[cache_key]
     feats = churn_feature_table(t, p).withColumn("split", _split_col()) \
         .withColumn("label", C("target").cast("double"))
-    # cut the lineage at the shared checkpoint folder before the iterative fit
-    feats = feats.checkpoint(eager=True)
+    # cut the lineage at the shared checkpoint folder before the iterative fit: the
+    # feature table is computed once, written, and every fit pass scans the files
+    from subscope.sources.store import written
+    feats = written(feats, "churn-features")
     train = feats.where(C("split") == "train")
     test = feats.where(C("split") == "test")
     n_train = train.count()

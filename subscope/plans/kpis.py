@@ -161,9 +161,12 @@ def cohort_retention_by_size(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame
 
 def cohort_retention_matrix(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """Cohort x period matrix of ``cohort_retention_long``; NULL where a cohort had no activity.
-    The pivot's column values are the distinct periods (months: a small set)."""
-    long = cohort_retention_long(t, p)
-    return long.groupBy("signup_cohort").pivot("cohort_period").agg(F.first("retention_pct"))
+    The pivot's column values are the distinct periods (months: a small set, collected)."""
+    from subscope.sources.store import written
+    # written once: the pivot's value list and the pivot itself then scan the small result
+    long = written(cohort_retention_long(t, p), "cohort-long")
+    periods = [r[0] for r in long.select("cohort_period").distinct().orderBy("cohort_period").collect()]
+    return long.groupBy("signup_cohort").pivot("cohort_period", periods).agg(F.first("retention_pct"))
 
 
 def monthly_mrr(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:

@@ -21,6 +21,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 from subscope.params import DEFAULT_PERIOD, Period
+from subscope.schema import SCHEMAS
 from subscope.session import checkpoint_dir
 from subscope.sources import binding
 from subscope.sources.binding import Tables, bind
@@ -78,13 +79,27 @@ def materialize(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIO
 
 
 def bound_tables(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD) -> Tables:
-    """The six model tables read from the store (written first if needed)."""
-    key = (id(spark), sf_dir, period)
-    root = _MEMO.get(key)
-    if root is None or not _exists(spark, root):
-        root = materialize(spark, sf_dir, period)
-        _MEMO[key] = root
-    read = spark.read.parquet
-    return Tables(*(read(f"{root}/{n}") for n in
-                    ["users", "subscriptions", "user_sessions", "transactions",
-                     "support_tickets", "feature_events"]))
+    """The six model tables read from the store (written first if needed).
+
+    Read with the known schemas (Parquet schema inference would run a job per
+    table) and kept per session: the store is immutable, so its DataFrames are too.
+    """
+    key = (id(spark._jsparkSession), sf_dir, period)
+    hit = _MEMO.get(key)
+    if hit is not None and _exists(spark, hit[0]):
+        return hit[1]
+    root = materialize(spark, sf_dir, period)
+    names = ["users", "subscriptions", "user_sessions", "transactions", "support_tickets", "feature_events"]
+    tables = Tables(*(spark.read.schema(SCHEMAS[n]).parquet(f"{root}/{n}") for n in names))
+    _MEMO[key] = (root, tables)
+    return tables
+
+
+def written(df, tag: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and return the
+    read-back frame: later jobs scan the files instead of recomputing the plan, and
+    the lineage ends at the files (an executor loss re-reads them)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/subscope-tmp/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
