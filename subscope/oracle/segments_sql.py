@@ -89,4 +89,11 @@ SELECT CASE WHEN tickets = 0 THEN '0 Tickets' WHEN tickets <= 2 THEN '1-2 Ticket
        COUNT(user_id) AS total, COUNT(CASE WHEN status = 'Churned' THEN 1 END) AS churned,
        CAST(COUNT(CASE WHEN status = 'Churned' THEN 1 END) AS DOUBLE) / COUNT(user_id) * 100.0 AS churn_rate
 FROM SegBase GROUP BY 1 ORDER BY 1""", ctes)
+    q["monthly_revenue_trend"] = with_binding("""
+SELECT CAST(date_trunc('month', transaction_date) AS DATE) AS month, CAST(SUM(amount) AS DOUBLE) AS amount
+FROM transactions WHERE status = 'Success' GROUP BY 1 ORDER BY 1""")
+    q["distinct_values"] = with_binding("""
+SELECT DISTINCT 'country' AS column_name, country AS value FROM users
+UNION ALL
+SELECT DISTINCT 'signup_channel', signup_channel FROM users""")
     return q

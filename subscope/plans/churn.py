@@ -300,3 +300,32 @@ def load_model(path: str) -> PipelineModel:
 def write_coefficients_csv(t: Tables, path: str, p: Period = DEFAULT_PERIOD) -> None:
     from subscope.sources.files import write_csv
     write_csv(coefficient_table(t, p), path, single_file=True)
+
+
+# ---------------------------------------------------------------- L02 / L03 as tables
+
+def standardized_features(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    """Z-scores of the numeric features from the pipeline's own StandardScaler
+    (sample standard deviation; a zero-variance column scales to 0). Rounded to 6 places."""
+    f = churn_feature_table(t, p)
+    va = VectorAssembler(inputCols=NUMERIC, outputCol="_raw")
+    sc = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True)
+    v = va.transform(f)
+    z = sc.fit(v).transform(v).select("user_id", vector_to_array("_z").alias("_z"))
+    return z.select("user_id", *[F.round(C("_z")[i], 6).alias(f"{c}_z") for i, c in enumerate(NUMERIC)])
+
+
+def category_indexes(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    """The one-hot slot of each categorical feature per user, from the pipeline's
+    StringIndexer (alphabetical order; labels collected are the categories, not rows)."""
+    f = churn_feature_table(t, p).select("user_id", *CATEGORICAL)
+    si = StringIndexer(inputCols=CATEGORICAL, outputCols=[f"{c}_slot" for c in CATEGORICAL],
+                       handleInvalid="keep", stringOrderType="alphabetAsc")
+    out = si.fit(f).transform(f)
+    return out.select("user_id", *[C(f"{c}_slot").cast("long").alias(f"{c}_slot") for c in CATEGORICAL])
+
+
+PLANS.update({
+    "standardized_features": standardized_features,
+    "category_indexes": category_indexes,
+})

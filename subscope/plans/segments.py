@@ -158,3 +158,23 @@ PLANS = {
     "csat_distribution": csat_distribution,
     "ticket_segment_churn_unrounded": ticket_segment_churn_unrounded,
 }
+
+
+def monthly_revenue_trend(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    """Monthly successful revenue with the month as a DATE (first day), for a time axis."""
+    return (t.transactions.where(C("status") == "Success")
+            .groupBy(F.trunc("transaction_date", "month").alias("month"))
+            .agg(F.sum("amount").cast("double").alias("amount")).orderBy("month"))
+
+
+def distinct_values(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    """The values offered for country and channel (distinct, per column)."""
+    c = t.users.select(F.lit("country").alias("column_name"), C("country").alias("value")).distinct()
+    ch = t.users.select(F.lit("signup_channel").alias("column_name"), C("signup_channel").alias("value")).distinct()
+    return c.unionByName(ch).orderBy("column_name", "value")
+
+
+PLANS.update({
+    "monthly_revenue_trend": monthly_revenue_trend,
+    "distinct_values": distinct_values,
+})
