@@ -36,3 +36,30 @@ def test_stream_dau_and_alerts(spark):
     assert dau == {D(2001, 6, 1): 1, D(2001, 6, 2): 1, D(2001, 6, 3): 1, D(2001, 6, 20): 1, D(2001, 6, 25): 1}
     # watermark 6/27: users 1 (last 6/1) and 3 (last 6/3) passed 10 idle days; 2 (6/20) and 4 not
     assert alerts == [1, 3]
+
+
+def test_stream_dau_equals_batch_on_driver_sessions(spark):
+    """Stream the bound sf0.001 sessions in file batches; every day the watermark has
+    closed must equal the batch daily count of distinct users."""
+    from pyspark.sql import functions as F
+
+    from subscope.plans import registry
+    from conftest import SF_SMALL
+
+    sessions = registry.tables_for(spark, SF_SMALL).user_sessions
+    d = tempfile.mkdtemp(prefix="subscope-stream-", dir="/tmp")
+    # four files, in event-time order, as a feed would deliver them
+    sessions.repartitionByRange(4, "session_date").write.parquet(f"{d}/src")
+    q = (daily_active_users_stream(session_stream(spark, f"{d}/src", max_files_per_trigger=1))
+         .writeStream.format("memory").queryName("t_dau_driver").outputMode("append")
+         .option("checkpointLocation", f"{d}/ck").start())
+    try:
+        q.processAllAvailable()
+        got = {r.session_date: r.dau for r in spark.sql("select * from t_dau_driver").collect()}
+    finally:
+        q.stop()
+    want = {r.session_date: r.dau for r in sessions.groupBy("session_date")
+            .agg(F.countDistinct("user_id").alias("dau")).collect()}
+    assert got, "no day was closed by the watermark"
+    assert max(got) < max(want)  # the newest days stay open
+    assert all(got[k] == want[k] for k in got)
