@@ -42,15 +42,19 @@ _DISTINCT_MARGIN = 1.25  # approx_count_distinct at rsd 0.05 is well within 25%
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str],
                     buckets: int = 256, accuracy: int = 100000, strategy: str = "auto",
-                    max_distinct: int = SINGLE_TASK_MAX_DISTINCT) -> DataFrame:
+                    max_distinct: int = SINGLE_TASK_MAX_DISTINCT,
+                    distinct_source: DataFrame | None = None) -> DataFrame:
     """One row: column ``names[i]`` is the ``probs[i]`` quantile of ``col`` (NULLs ignored).
 
     ``strategy``: "bucketed" (never one task per column), "single_task" (Spark's
     ``percentile``), or "auto": measure the distinct count (one pass, one number to
     the driver) and take "single_task" only when it is at most ``max_distinct``.
+    ``distinct_source``: a cheaper frame with the same distinct values of ``col``
+    (e.g. the table before dropping duplicate rows) to measure instead of ``df``.
     """
     if strategy == "auto":
-        nd = df.agg(F.approx_count_distinct(col, 0.05)).first()[0] or 0
+        src = df if distinct_source is None else distinct_source
+        nd = src.agg(F.approx_count_distinct(col, 0.05)).first()[0] or 0
         strategy = "single_task" if nd * _DISTINCT_MARGIN <= max_distinct else "bucketed"
     if strategy == "single_task":
         return _single_task(df, col, probs, names)

@@ -78,7 +78,8 @@ def iqr_outliers(t: Tables, p: Period = DEFAULT_PERIOD, dedup: bool = True) -> D
     out = []
     for table, col in OUTLIER_COLUMNS:
         df = getattr(src, table)
-        q = exact_quantiles(df, col, [0.25, 0.75], ["q1", "q3"])
+        # dropping identical rows keeps every distinct value: measure them on the raw table
+        q = exact_quantiles(df, col, [0.25, 0.75], ["q1", "q3"], distinct_source=getattr(t, table))
         q = q.select("q1", "q3", (C("q3") - C("q1")).alias("iqr"))
         q = q.withColumn("upper_fence", C("q3") + F.lit(S.IQR_FENCE) * C("iqr"))
         v = C(col).cast("double")
@@ -92,8 +93,10 @@ def iqr_outliers(t: Tables, p: Period = DEFAULT_PERIOD, dedup: bool = True) -> D
     return _union(out)
 
 
-def _caps(src: Tables) -> dict[str, DataFrame]:
-    return {f"{table}.{col}": exact_quantiles(getattr(src, table), col, [S.CAP_QUANTILE], ["cap"])
+def _caps(src: Tables, raw: Tables | None = None) -> dict[str, DataFrame]:
+    raw = raw or src
+    return {f"{table}.{col}": exact_quantiles(getattr(src, table), col, [S.CAP_QUANTILE], ["cap"],
+                                              distinct_source=getattr(raw, table))
             for table, col in CAP_COLUMNS}
 
 
@@ -101,7 +104,7 @@ def cap_at_p99(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """The p99 cap per column and how many rows it changes."""
     src = deduplicated(t)
     out = []
-    for (table, col), cap in zip(CAP_COLUMNS, _caps(src).values()):
+    for (table, col), cap in zip(CAP_COLUMNS, _caps(src, t).values()):
         df = getattr(src, table)
         n = df.crossJoin(F.broadcast(cap)).agg(count_when(C(col).cast("double") > C("cap")).alias("rows_capped"))
         out.append(cap.crossJoin(n).select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
@@ -112,7 +115,7 @@ def cap_at_p99(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 def impute_median(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """The CSAT fill value (median truncated to an integer) and how many NULLs it fills."""
     tk = deduplicated(t).support_tickets
-    med = exact_quantiles(tk, "satisfaction_score", [0.5], ["m"])
+    med = exact_quantiles(tk, "satisfaction_score", [0.5], ["m"], distinct_source=t.support_tickets)
     n = tk.agg(count_when(C("satisfaction_score").isNull()).alias("imputed_count"))
     return med.crossJoin(n).select(C("m").cast("long").alias("median_csat"), "imputed_count")
 
@@ -121,7 +124,7 @@ def clean_tables(t: Tables) -> Tables:
     """Deduplicated tables with session minutes and event seconds capped at p99
     (DOUBLE: the cap may be fractional) and NULL CSAT filled with the truncated median."""
     src = deduplicated(t)
-    caps = _caps(src)
+    caps = _caps(src, t)
 
     def capped(df, col, cap):
         v = C(col).cast("double")
@@ -130,7 +133,8 @@ def clean_tables(t: Tables) -> Tables:
 
     sess = capped(src.user_sessions, "session_duration_minutes", caps["user_sessions.session_duration_minutes"])
     ev = capped(src.feature_events, "time_spent_seconds", caps["feature_events.time_spent_seconds"])
-    med = exact_quantiles(src.support_tickets, "satisfaction_score", [0.5], ["m"])
+    med = exact_quantiles(src.support_tickets, "satisfaction_score", [0.5], ["m"],
+                          distinct_source=t.support_tickets)
     tk = (src.support_tickets.crossJoin(F.broadcast(med))
           .withColumn("satisfaction_score",
                       F.coalesce(C("satisfaction_score"), C("m").cast("int"))).drop("m"))
