@@ -74,7 +74,7 @@ def _bucketed(df: DataFrame, col: str, probs: list[float], names: list[str],
                       F.count(F.lit(1)).alias("n"))
 
     counts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    tagged = (counts.crossJoin(F.broadcast(sketch.select("bounds")))
+    tagged = (counts.withColumn("bounds", sketch.select("bounds").scalar())
               .withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("v"))))
               .drop("bounds"))
 

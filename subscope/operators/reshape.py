@@ -15,9 +15,21 @@ def unpivot(df: DataFrame, ids: list[str], values: list[str], name_col: str, val
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
-    """Join one-row aggregates side by side. Each input is a global aggregate, so exactly one row:
-    the broadcast is bounded by construction."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.crossJoin(F.broadcast(f))
-    return out
+    """Place one-row aggregates side by side as scalar subqueries.
+
+    Each input is a global aggregate (exactly one row). Each is packed into a
+    struct and read as a scalar subquery: Catalyst runs it once, merges
+    subqueries over the same source into one aggregate, and fails loudly if an
+    input ever had more than one row. No join is planned.
+    """
+    spark = frames[0].sparkSession
+    cols = []
+    for f in frames:
+        packed = f.select(F.struct(*[F.col(c) for c in f.columns]).alias("_r")).scalar()
+        cols += [packed.getField(c).alias(c) for c in f.columns]
+    return spark.range(1).select(*cols)
+
+
+def scalar(frame: DataFrame, col: str):
+    """The single value of a one-row frame, as a scalar-subquery column."""
+    return frame.select(col).scalar()

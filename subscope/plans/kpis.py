@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from subscope import schema as S
 from subscope.functions import count_when, lit_date, month_key, months_between_keys, month_start
-from subscope.operators.reshape import one_row, unpivot
+from subscope.operators.reshape import one_row, scalar, unpivot
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.sources.binding import Tables
 
@@ -44,24 +44,32 @@ def avg_mau(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     return _mean_of(monthly, "n", "avg_mau")
 
 
+def _stickiness_expr():
+    return (F.when(C("avg_mau") > 0, C("avg_dau") / C("avg_mau") * F.lit(100.0))
+            .otherwise(F.lit(0.0)))
+
+
 def stickiness(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    d, m = avg_dau(t, p), avg_mau(t, p)
-    return one_row(d, m).select(
-        "avg_dau", "avg_mau",
-        F.when(C("avg_mau") > 0, C("avg_dau") / C("avg_mau") * F.lit(100.0))
-        .otherwise(F.lit(0.0)).alias("stickiness"))
+    return one_row(avg_dau(t, p), avg_mau(t, p)).select(
+        "avg_dau", "avg_mau", _stickiness_expr().alias("stickiness"))
 
 
-def monthly_churn_rate(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    s = t.subscriptions
+def _churn_counts(t: Tables, p: Period) -> DataFrame:
     ms = lit_date(p.month_start)
-    g = s.agg(
+    return t.subscriptions.agg(
         count_when((C("status") == "Churned") & (month_key("end_date") == F.lit(p.month)))
         .alias("churned_in_month"),
         count_when((C("start_date") < ms) & ((C("status") == "Active") | (C("end_date") >= ms)))
         .alias("active_at_start"))
-    return g.select("churned_in_month", "active_at_start",
-                    _guard(C("churned_in_month"), C("active_at_start"), 100.0).alias("monthly_churn_rate"))
+
+
+def _churn_rate_expr():
+    return _guard(C("churned_in_month"), C("active_at_start"), 100.0)
+
+
+def monthly_churn_rate(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    return _churn_counts(t, p).select("churned_in_month", "active_at_start",
+                                      _churn_rate_expr().alias("monthly_churn_rate"))
 
 
 def period_revenue(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
@@ -74,17 +82,24 @@ def _month_mau(t: Tables, p: Period) -> DataFrame:
             .agg(F.countDistinct("user_id").alias("month_mau")))
 
 
+def _arpu_expr():
+    return _guard(C("mrr"), C("month_mau"))
+
+
+def _clv_expr(arpu, rate):
+    return F.when(rate > 0, arpu * (F.lit(1.0) / (rate / F.lit(100.0)))).otherwise(F.lit(0.0))
+
+
 def period_arpu(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     return one_row(period_revenue(t, p), _month_mau(t, p)).select(
-        "mrr", "month_mau", _guard(C("mrr"), C("month_mau")).alias("arpu"))
+        "mrr", "month_mau", _arpu_expr().alias("arpu"))
 
 
 def clv(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    r = one_row(period_arpu(t, p), monthly_churn_rate(t, p))
-    rate = C("monthly_churn_rate")
-    return r.select("arpu", "monthly_churn_rate",
-                    F.when(rate > 0, C("arpu") * (F.lit(1.0) / (rate / F.lit(100.0))))
-                    .otherwise(F.lit(0.0)).alias("clv"))
+    # every input is a base aggregate, so the scalar subqueries sit on one level and run together
+    r = one_row(period_revenue(t, p), _month_mau(t, p), _churn_counts(t, p))
+    r = r.select(_arpu_expr().alias("arpu"), _churn_rate_expr().alias("monthly_churn_rate"))
+    return r.select("arpu", "monthly_churn_rate", _clv_expr(C("arpu"), C("monthly_churn_rate")).alias("clv"))
 
 
 def funnel_rates(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
@@ -140,7 +155,7 @@ def cohort_retention_long(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     (period 0 whenever activity never precedes signup), so values can pass 100."""
     a = _cohort_activity(t)
     first = a.agg(F.min("cohort_period").alias("_p0"))
-    a = a.crossJoin(F.broadcast(first))
+    a = a.withColumn("_p0", scalar(first, "_p0"))
     w = Window.partitionBy("signup_cohort")  # one cohort's periods: months, a small bounded set
     base = F.max(F.when(C("cohort_period") == C("_p0"), C("active_users"))).over(w)
     return a.select("signup_cohort", "cohort_period", "active_users",
@@ -180,15 +195,16 @@ KPI_LABELS = ["DAU", "MAU", "Stickiness (DAU/MAU)", "Monthly Churn Rate", "MRR",
 
 
 def kpi_wide(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    s = stickiness(t, p)
-    c = clv(t, p)  # carries arpu and the churn rate
-    m = period_revenue(t, p)
     f = funnel_rates(t, p).select("signup_to_login", "login_to_paid", "paid_to_renewal")
-    return one_row(s, c, m, f).select(
+    base = one_row(avg_dau(t, p), avg_mau(t, p), _churn_counts(t, p), period_revenue(t, p),
+                   _month_mau(t, p), f)
+    r = base.select("*", _stickiness_expr().alias("_stick"), _churn_rate_expr().alias("_rate"),
+                    _arpu_expr().alias("_arpu"))
+    return r.select(
         C("avg_dau").alias("DAU"), C("avg_mau").alias("MAU"),
-        C("stickiness").alias("Stickiness (DAU/MAU)"),
-        C("monthly_churn_rate").alias("Monthly Churn Rate"), C("mrr").alias("MRR"),
-        C("arpu").alias("ARPU"), C("clv").alias("CLV"),
+        C("_stick").alias("Stickiness (DAU/MAU)"),
+        C("_rate").alias("Monthly Churn Rate"), C("mrr").alias("MRR"),
+        C("_arpu").alias("ARPU"), _clv_expr(C("_arpu"), C("_rate")).alias("CLV"),
         C("signup_to_login").alias("Signup-to-Login"), C("login_to_paid").alias("Login-to-Paid"),
         C("paid_to_renewal").alias("Paid-to-Renewal"))
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subscope.operators.reshape import scalar
 from subscope.functions import age_band, churned_flag, half_up, half_up_money, lit_date, month_key, pct
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.plans.churn import first_subscription
@@ -89,7 +90,8 @@ def plan_revenue_share(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     tot = g.agg(F.sum("users").alias("_u"), F.sum("_rev").alias("_r"))
     cents = (C("_rev") * 100).cast("long")
     tot_cents = (C("_r") * 100).cast("long")
-    return g.crossJoin(F.broadcast(tot)).select(
+    g = g.withColumn("_u", scalar(tot, "_u")).withColumn("_r", scalar(tot, "_r"))
+    return g.select(
         "plan_type", "users", C("_rev").cast("double").alias("revenue"),
         pct(C("users"), C("_u")).alias("user_share_pct"),
         pct(cents, tot_cents).alias("revenue_share_pct"))

@@ -19,7 +19,7 @@ from subscope import schema as S
 from subscope.functions import count_when, pct
 from subscope.operators.dedup import duplicate_count
 from subscope.operators.quantiles import exact_quantiles
-from subscope.operators.reshape import unpivot
+from subscope.operators.reshape import one_row, scalar, unpivot
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.sources.binding import Tables
 
@@ -83,10 +83,9 @@ def iqr_outliers(t: Tables, p: Period = DEFAULT_PERIOD, dedup: bool = True) -> D
         q = q.select("q1", "q3", (C("q3") - C("q1")).alias("iqr"))
         q = q.withColumn("upper_fence", C("q3") + F.lit(S.IQR_FENCE) * C("iqr"))
         v = C(col).cast("double")
-        cnt = df.crossJoin(F.broadcast(q)).agg(
-            count_when(v > C("upper_fence")).alias("outlier_count"),
-            F.count(F.lit(1)).alias("_rows"))
-        r = q.crossJoin(cnt)
+        cnt = df.agg(count_when(v > scalar(q, "upper_fence")).alias("outlier_count"),
+                     F.count(F.lit(1)).alias("_rows"))
+        r = one_row(q, cnt)
         out.append(r.select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
                             *[F.round(C(c), ROUND_DIGITS).alias(c) for c in ("q1", "q3", "iqr", "upper_fence")],
                             "outlier_count", pct(C("outlier_count"), C("_rows")).alias("outlier_pct")))
@@ -106,8 +105,8 @@ def cap_at_p99(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     out = []
     for (table, col), cap in zip(CAP_COLUMNS, _caps(src, t).values()):
         df = getattr(src, table)
-        n = df.crossJoin(F.broadcast(cap)).agg(count_when(C(col).cast("double") > C("cap")).alias("rows_capped"))
-        out.append(cap.crossJoin(n).select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
+        n = df.agg(count_when(C(col).cast("double") > scalar(cap, "cap")).alias("rows_capped"))
+        out.append(one_row(cap, n).select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
                                            F.round("cap", ROUND_DIGITS).alias("cap_value"), "rows_capped"))
     return _union(out)
 
@@ -117,7 +116,7 @@ def impute_median(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     tk = deduplicated(t).support_tickets
     med = exact_quantiles(tk, "satisfaction_score", [0.5], ["m"], distinct_source=t.support_tickets)
     n = tk.agg(count_when(C("satisfaction_score").isNull()).alias("imputed_count"))
-    return med.crossJoin(n).select(C("m").cast("long").alias("median_csat"), "imputed_count")
+    return one_row(med, n).select(C("m").cast("long").alias("median_csat"), "imputed_count")
 
 
 def clean_tables(t: Tables) -> Tables:
@@ -127,17 +126,15 @@ def clean_tables(t: Tables) -> Tables:
     caps = _caps(src, t)
 
     def capped(df, col, cap):
-        v = C(col).cast("double")
-        return (df.crossJoin(F.broadcast(cap))
-                .withColumn(col, F.when(v > C("cap"), C("cap")).otherwise(v)).drop("cap"))
+        v, c = C(col).cast("double"), scalar(cap, "cap")
+        return df.withColumn(col, F.when(v > c, c).otherwise(v))
 
     sess = capped(src.user_sessions, "session_duration_minutes", caps["user_sessions.session_duration_minutes"])
     ev = capped(src.feature_events, "time_spent_seconds", caps["feature_events.time_spent_seconds"])
     med = exact_quantiles(src.support_tickets, "satisfaction_score", [0.5], ["m"],
                           distinct_source=t.support_tickets)
-    tk = (src.support_tickets.crossJoin(F.broadcast(med))
-          .withColumn("satisfaction_score",
-                      F.coalesce(C("satisfaction_score"), C("m").cast("int"))).drop("m"))
+    tk = src.support_tickets.withColumn(
+        "satisfaction_score", F.coalesce(C("satisfaction_score"), scalar(med, "m").cast("int")))
     return Tables(src.users, src.subscriptions, sess, src.transactions, tk, ev)
 
 

@@ -19,7 +19,7 @@ from subscope import schema as S
 from subscope.functions import (age_band, churned_flag, count_when, half_up, half_up_money,
                                 lit_date, month_key, pct, stage_order, sum_when,
                                 ticket_segment)
-from subscope.operators.reshape import one_row
+from subscope.operators.reshape import one_row, scalar
 from subscope.operators.topk import ranked_values
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.sources.binding import Tables
@@ -48,8 +48,8 @@ def funnel_distribution(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     g = t.users.groupBy("funnel_stage").agg(F.count("user_id").alias("user_count"))
     # user_id is the key (never NULL), so the stage counts add up to COUNT(*)
     total = g.agg(F.sum("user_count").alias("_total"))
-    return (g.crossJoin(F.broadcast(total))
-            .select("funnel_stage", "user_count", pct(C("user_count"), C("_total")).alias("percentage"))
+    return (g.select("funnel_stage", "user_count",
+                     pct(C("user_count"), scalar(total, "_total")).alias("percentage"))
             .orderBy(C("user_count").desc()))
 
 
@@ -276,10 +276,9 @@ def feature_usage_share(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
         F.count(F.lit(1)).alias("total_clicks"),
         F.sum("time_spent_seconds").alias("_s"), F.count("time_spent_seconds").alias("_ns"))
     total = g.agg(F.sum("total_clicks").alias("_all"))
-    return (g.crossJoin(F.broadcast(total))
-            .select("feature_name", "total_clicks",
-                    half_up(C("_s"), C("_ns"), 1).alias("avg_duration_seconds"),
-                    pct(C("total_clicks"), C("_all")).alias("usage_share_pct"))
+    return (g.select("feature_name", "total_clicks",
+                     half_up(C("_s"), C("_ns"), 1).alias("avg_duration_seconds"),
+                     pct(C("total_clicks"), scalar(total, "_all")).alias("usage_share_pct"))
             .orderBy(C("total_clicks").desc()))
 
 
@@ -388,9 +387,9 @@ def top3_sessions_by_channel(t: Tables, p: Period = DEFAULT_PERIOD, k: int = 3)
     user_vals = t.user_sessions.select("user_id", m).distinct()
     top = ranked_values(user_vals.join(uc, "user_id"), "signup_channel", m, k, "session_rank")
     # a session can qualify only if its minutes reach the smallest top value of any
-    # channel: a one-row threshold (bounded broadcast), no shuffle of sessions by value
+    # channel: a scalar threshold, so no shuffle of sessions by value
     floor_ = top.agg(F.min(m).alias("_floor"))
-    cand = t.user_sessions.crossJoin(F.broadcast(floor_)).where(C(m) >= C("_floor")).drop("_floor")
+    cand = t.user_sessions.where(C(m) >= scalar(floor_, "_floor"))
     rows = cand.join(uc, "user_id").join(top, ["signup_channel", m])
     return (rows.select("signup_channel", "user_id", "session_date", m, "session_rank")
             .orderBy("signup_channel", "session_rank", "user_id", "session_date"))

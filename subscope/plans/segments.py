@@ -20,29 +20,40 @@ def _ratio100(num, den):
     return F.when(den > 0, num.cast("double") / den.cast("double") * F.lit(100.0)).otherwise(F.lit(0.0))
 
 
+def _total_users(t: Tables) -> DataFrame:
+    return t.users.agg(F.count(F.lit(1)).alias("total_users"))
+
+
+def _paying(t: Tables) -> DataFrame:
+    return (t.subscriptions.where((C("status") == "Active") & (C("plan_type") != "Free"))
+            .agg(F.countDistinct("user_id").alias("paying_users")))
+
+
+def _churned(t: Tables) -> DataFrame:
+    return (t.subscriptions.where(C("status") == "Churned")
+            .agg(F.countDistinct("user_id").alias("churned_users")))
+
+
 def paying_users(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    tot = t.users.agg(F.count(F.lit(1)).alias("total_users"))
-    pay = (t.subscriptions.where((C("status") == "Active") & (C("plan_type") != "Free"))
-           .agg(F.countDistinct("user_id").alias("paying_users")))
-    return one_row(tot, pay)
+    return one_row(_total_users(t), _paying(t))
 
 
 def lifetime_churn(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    tot = t.users.agg(F.count(F.lit(1)).alias("total_users"))
-    ch = (t.subscriptions.where(C("status") == "Churned")
-          .agg(F.countDistinct("user_id").alias("churned_users")))
-    return one_row(tot, ch).select("total_users", "churned_users",
-                                   _ratio100(C("churned_users"), C("total_users")).alias("lifetime_churn_rate"))
+    return one_row(_total_users(t), _churned(t)).select(
+        "total_users", "churned_users", _ratio100(C("churned_users"), C("total_users")).alias("lifetime_churn_rate"))
 
 
 def overview_kpis(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    r = one_row(paying_users(t, p), lifetime_churn(t, p).drop("total_users"),
-                kpis.stickiness(t, p), kpis.period_arpu(t, p))
+    # base aggregates only: the scalar subqueries sit on one level and run together
+    r = one_row(_total_users(t), _paying(t), _churned(t), kpis.avg_dau(t, p), kpis.avg_mau(t, p),
+                kpis.period_revenue(t, p), kpis._month_mau(t, p))
+    r = r.select("*", _ratio100(C("churned_users"), C("total_users")).alias("lifetime_churn_rate"),
+                 kpis._arpu_expr().alias("arpu"))
     rate = C("lifetime_churn_rate")
     return r.select(
         C("total_users").alias("total_customers"), "paying_users", "mrr",
-        C("avg_dau").alias("dau"), C("avg_mau").alias("mau"), "stickiness", "arpu",
-        "churned_users", "lifetime_churn_rate",
+        C("avg_dau").alias("dau"), C("avg_mau").alias("mau"), kpis._stickiness_expr().alias("stickiness"),
+        "arpu", "churned_users", "lifetime_churn_rate",
         F.when(rate > 0, C("arpu") * (F.lit(1.0) / (rate / F.lit(100.0)))).otherwise(F.lit(0.0)).alias("clv"))
 
 
