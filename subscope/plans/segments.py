@@ -100,7 +100,7 @@ def _stage_dim(t: Tables) -> DataFrame:
 def cumulative_funnel(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     counts = t.users.groupBy(C("funnel_stage").alias("Stage")).agg(F.count(F.lit(1)).alias("n"))
     dim = _stage_dim(t)
-    j = F.broadcast(dim).join(counts, "Stage", "left")
+    j = dim.join(counts, "Stage", "left")
     # suffix sum over the six stage rows (a fixed, six-row window)
     w = Window.orderBy(C("stage_order").desc()).rowsBetween(Window.unboundedPreceding, 0)
     first = Window.orderBy("stage_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
