@@ -72,7 +72,6 @@ SELECT user_id, target,
        CASE WHEN substr(md5(CAST(user_id AS VARCHAR)), 1, 2) < '33' THEN 'test' ELSE 'train' END AS split
 FROM Features""", c),
     }
-    from subscope import schema as S_
     from subscope.plans.churn import CATEGORICAL, NUMERIC
     stats = ", ".join(f"AVG(CAST({c} AS DOUBLE)) AS m_{c}, stddev_samp(CAST({c} AS DOUBLE)) AS s_{c}" for c in NUMERIC)
     zs = ", ".join(f"round(CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 0.0 ELSE (CAST(f.{c} AS DOUBLE) - m_{c}) / s_{c} END, 6)"

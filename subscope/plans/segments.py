@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subscope import schema as S
-from subscope.functions import churned_flag, exact_mean, month_key, ticket_segment
+from subscope.functions import churned_flag, exact_mean, ticket_segment
 from subscope.operators.reshape import one_row
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.plans import kpis
