@@ -112,3 +112,11 @@ def written(df, tag: str):
     path = f"{checkpoint_dir(spark).rstrip('/')}/subscope-tmp/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def purge_intermediates(spark: SparkSession) -> bool:
+    """Delete the intermediates ``written`` left under the checkpoint folder (not the
+    bound-table store). Call between runs, when no DataFrame from them is still in use."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/subscope-tmp"
+    p, fs = _fs(spark, path)
+    return bool(fs.exists(p) and fs.delete(p, True))

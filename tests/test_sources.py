@@ -93,3 +93,11 @@ def test_catalog_runner_records_errors_and_goes_on(spark):
     assert rows["broken_for_test"]["status"] == "error" and rows["broken_for_test"]["error"]
     assert rows["monthly_revenue"]["status"] == "ok"
     assert queries  # registry still intact
+
+
+def test_written_intermediates_and_purge(spark):
+    from subscope.sources.store import purge_intermediates, written
+    w = written(spark.range(5).toDF("x"), "purge-test")
+    assert sorted(r.x for r in w.collect()) == [0, 1, 2, 3, 4]
+    assert purge_intermediates(spark) is True
+    assert purge_intermediates(spark) is False
