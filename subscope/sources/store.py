@@ -117,6 +117,8 @@ def written(df, tag: str):
 def purge_intermediates(spark: SparkSession) -> bool:
     """Delete the intermediates ``written`` left under the checkpoint folder (not the
     bound-table store). Call between runs, when no DataFrame from them is still in use."""
+    from subscope.plans import churn
+    churn._FITTED.clear()  # fitted models keep frames that read these files
     path = f"{checkpoint_dir(spark).rstrip('/')}/subscope-tmp"
     p, fs = _fs(spark, path)
     return bool(fs.exists(p) and fs.delete(p, True))
