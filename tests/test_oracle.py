@@ -1,10 +1,13 @@
 """Every SQL-expressible query against its DuckDB oracle: on the bound driver
 tables (sf0.001; the driver repeats this at sf0.01) and on hand-made edge tables."""
 
+import datetime as dt
+
 import pytest
 
 from subscope.oracle.binding import unbound
 from subscope.oracle.compare import compare
+from subscope.params import Period
 from subscope.plans import registry
 
 from conftest import SF_SMALL
@@ -41,3 +44,18 @@ def test_lazy_binding_equals_store(spark, duck_small):
     for name in ["ticket_segment_churn", "top10_spenders", "cohort_retention_long"]:
         ok, msg = compare(registry.run(name, spark, SF_SMALL, materialized=False), duck_small, SQL[name])
         assert ok, (name, msg)
+
+
+EMPTY = Period(month_start=dt.date(1990, 1, 1), month_end=dt.date(1990, 1, 31),
+               dau_start=dt.date(1990, 1, 17), as_of=dt.date(1990, 1, 31), data_end=dt.date(1990, 1, 31))
+with unbound():
+    SQL_EMPTY = registry.oracle_sql(EMPTY)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_period_guards(fixture_pair, name):
+    """A month with no activity: every zero denominator must be guarded (ANSI mode
+    raises on division by zero) and agree with the SQL's NULL/0 results."""
+    tables, con = fixture_pair
+    ok, msg = compare(registry.PLANS[name](tables, EMPTY), con, SQL_EMPTY[name])
+    assert ok, msg
