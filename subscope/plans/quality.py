@@ -3,9 +3,10 @@ p99 caps, median imputation, key/foreign-key constraints, row counts.
 
 Each audit reads each table once with one aggregate (conditional counts for
 every column at once) and unions the small per-table results. Quantiles come
-from ``operators.quantiles.exact_quantiles``, which never puts a column into
-one task. As in the reference, duplicates are dropped before quantiles are
-taken, and fences are computed before caps.
+from ``operators.quantiles.exact_quantiles``: Spark's exact ``percentile`` when
+a measured distinct count proves its one-task map small, otherwise a bucketed
+plan in which no task holds the column. As in the reference, duplicates are
+dropped before quantiles are taken, and fences are computed before caps.
 """
 
 from __future__ import annotations
