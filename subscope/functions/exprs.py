@@ -33,6 +33,13 @@ def month_start(c) -> Column:
     return F.trunc(c, "month")
 
 
+def in_calendar_month(c, month: tuple) -> Column:
+    """``month_key(c) == 'yyyy-MM'`` for a DATE column, written as a date range so that
+    it reaches the Parquet scan as a pushed filter (and row-group statistics apply)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return c.between(lit_date(month[0]), lit_date(month[1]))
+
+
 def months_between_keys(later, earlier) -> Column:
     """Whole calendar months from ``earlier`` to ``later`` (12*dy + dm)."""
     return ((F.year(later) - F.year(earlier)) * 12

@@ -26,6 +26,13 @@ class Period:
     def month(self) -> str:
         return self.month_start.strftime("%Y-%m")
 
+    @property
+    def calendar_month(self) -> tuple[dt.date, dt.date]:
+        """First and last day of the calendar month of ``month_start``."""
+        first = self.month_start.replace(day=1)
+        last = (first + dt.timedelta(days=32)).replace(day=1) - dt.timedelta(days=1)
+        return first, last
+
     @property
     def data_end_exclusive(self) -> dt.date:
         return self.data_end + dt.timedelta(days=1)

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subscope import schema as S
-from subscope.functions import count_when, lit_date, month_key, months_between_keys, month_start
+from subscope.functions import (count_when, in_calendar_month, lit_date, month_key,
+                                months_between_keys, month_start)
 from subscope.operators.reshape import one_row, scalar, unpivot
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.sources.binding import Tables
@@ -39,7 +40,7 @@ def avg_dau(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 
 def avg_mau(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    monthly = (t.user_sessions.groupBy(month_key("session_date").alias("m"))
+    monthly = (t.user_sessions.groupBy(month_start("session_date").alias("m"))
                .agg(F.countDistinct("user_id").alias("n")))
     return _mean_of(monthly, "n", "avg_mau")
 
@@ -57,7 +58,7 @@ def stickiness(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 def _churn_counts(t: Tables, p: Period) -> DataFrame:
     ms = lit_date(p.month_start)
     return t.subscriptions.agg(
-        count_when((C("status") == "Churned") & (month_key("end_date") == F.lit(p.month)))
+        count_when((C("status") == "Churned") & in_calendar_month("end_date", p.calendar_month))
         .alias("churned_in_month"),
         count_when((C("start_date") < ms) & ((C("status") == "Active") | (C("end_date") >= ms)))
         .alias("active_at_start"))
@@ -73,12 +74,13 @@ def monthly_churn_rate(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 
 def period_revenue(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    tx = t.transactions.where((C("status") == "Success") & (month_key("transaction_date") == F.lit(p.month)))
+    tx = t.transactions.where((C("status") == "Success")
+                              & in_calendar_month("transaction_date", p.calendar_month))
     return tx.agg(F.coalesce(F.sum("amount").cast("double"), F.lit(0.0)).alias("mrr"))
 
 
 def _month_mau(t: Tables, p: Period) -> DataFrame:
-    return (t.user_sessions.where(month_key("session_date") == F.lit(p.month))
+    return (t.user_sessions.where(in_calendar_month("session_date", p.calendar_month))
             .agg(F.countDistinct("user_id").alias("month_mau")))
 
 
@@ -145,9 +147,9 @@ def _cohort_activity(t: Tables) -> DataFrame:
     act = t.user_sessions.select("user_id", month_start("session_date").alias("am")).distinct()
     coh = t.users.select("user_id", month_start("signup_date").alias("sc")).distinct()
     j = act.join(coh, "user_id")
-    return (j.groupBy(month_key("sc").alias("signup_cohort"),
-                      months_between_keys(C("am"), C("sc")).alias("cohort_period"))
-            .agg(F.countDistinct("user_id").alias("active_users")))
+    g = (j.groupBy(C("sc"), months_between_keys(C("am"), C("sc")).alias("cohort_period"))
+         .agg(F.countDistinct("user_id").alias("active_users")))
+    return g.select(month_key("sc").alias("signup_cohort"), "cohort_period", "active_users")
 
 
 def cohort_retention_long(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
@@ -166,8 +168,9 @@ def cohort_retention_long(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 def cohort_retention_by_size(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """Denominator by the dictionary's definition: users who signed up in the cohort month."""
     a = _cohort_activity(t)
-    size = (t.users.groupBy(month_key("signup_date").alias("signup_cohort"))
-            .agg(F.countDistinct("user_id").alias("cohort_size")))
+    size = (t.users.groupBy(month_start("signup_date").alias("_m"))
+            .agg(F.countDistinct("user_id").alias("cohort_size"))
+            .select(month_key("_m").alias("signup_cohort"), "cohort_size"))
     return a.join(size, "signup_cohort").select(
         "signup_cohort", "cohort_period", "active_users", "cohort_size",
         (C("active_users").cast("double") / C("cohort_size").cast("double") * F.lit(100.0))
@@ -186,8 +189,9 @@ def cohort_retention_matrix(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 def monthly_mrr(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     return (t.transactions.where(C("status") == "Success")
-            .groupBy(month_key("transaction_date").alias("month"))
-            .agg(F.sum("amount").cast("double").alias("amount")).orderBy("month"))
+            .groupBy(month_start("transaction_date").alias("_m"))
+            .agg(F.sum("amount").cast("double").alias("amount"))
+            .select(month_key("_m").alias("month"), "amount").orderBy("month"))
 
 
 KPI_LABELS = ["DAU", "MAU", "Stickiness (DAU/MAU)", "Monthly Churn Rate", "MRR", "ARPU", "CLV",

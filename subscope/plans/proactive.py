@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subscope.operators.reshape import scalar
-from subscope.functions import age_band, churned_flag, half_up, half_up_money, lit_date, month_key, pct
+from subscope.functions import age_band, churned_flag, half_up, half_up_money, lit_date, pct
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.plans.churn import first_subscription
 from subscope.sources.binding import Tables
@@ -65,7 +65,7 @@ def export_first_week_churn(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 
 def ticket_friction_churn(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    per_month = (t.support_tickets.groupBy("user_id", month_key("ticket_date").alias("m"))
+    per_month = (t.support_tickets.groupBy("user_id", F.trunc("ticket_date", "month").alias("m"))
                  .agg(F.count(F.lit(1)).alias("n")))
     fr = (per_month.groupBy("user_id").agg(F.max("n").alias("max_month_tickets"))
           .where(C("max_month_tickets") >= FRICTION_TICKETS).select("user_id", F.lit(1).alias("fr")))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from subscope import schema as S
 from subscope.functions import (age_band, churned_flag, count_when, half_up, half_up_money,
-                                lit_date, month_key, pct, stage_order, sum_when,
-                                ticket_segment)
+                                in_calendar_month, lit_date, month_key, month_start, pct,
+                                stage_order, sum_when, ticket_segment)
 from subscope.operators.reshape import one_row, scalar
 from subscope.operators.topk import ranked_values
 from subscope.params import DEFAULT_PERIOD, Period
@@ -55,8 +55,10 @@ def funnel_distribution(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 def monthly_active_users(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     s = t.user_sessions
-    return (s.groupBy(month_key("session_date").alias("session_month"))
+    # group on the DATE month and format only the grouped rows
+    return (s.groupBy(month_start("session_date").alias("_m"))
             .agg(F.countDistinct("user_id").alias("mau"))
+            .select(month_key("_m").alias("session_month"), "mau")
             .orderBy("session_month"))
 
 
@@ -82,9 +84,10 @@ def stickiness_month(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 def monthly_revenue(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     tx = t.transactions.where(C("status") == "Success")
-    return (tx.groupBy(month_key("transaction_date").alias("billing_month"))
+    return (tx.groupBy(month_start("transaction_date").alias("_m"))
             .agg(F.sum("amount").cast("double").alias("monthly_revenue"),
                  F.count("transaction_id").alias("transaction_count"))
+            .select(month_key("_m").alias("billing_month"), "monthly_revenue", "transaction_count")
             .orderBy("billing_month"))
 
 
@@ -93,7 +96,7 @@ def _month_activity(t: Tables, p: Period) -> DataFrame:
     ms = (t.user_sessions.where(_in_month("session_date", p))
           .groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sess")))
     mr = (t.transactions.where((C("status") == "Success")
-                               & (month_key("transaction_date") == F.lit(p.month)))
+                               & in_calendar_month("transaction_date", p.calendar_month))
           .groupBy("user_id").agg(F.sum("amount").alias("rev")))
     return ms.join(mr, "user_id", "left")
 
@@ -265,8 +268,9 @@ def revenue_by_country(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 
 def signup_cohort_size(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    return (t.users.groupBy(month_key("signup_date").alias("cohort_month"))
-            .agg(F.count("user_id").alias("size")).orderBy("cohort_month"))
+    return (t.users.groupBy(month_start("signup_date").alias("_m"))
+            .agg(F.count("user_id").alias("size"))
+            .select(month_key("_m").alias("cohort_month"), "size").orderBy("cohort_month"))
 
 
 # ---------------------------------------------------------------- Q19 - Q21: features
