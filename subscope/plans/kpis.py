@@ -1,10 +1,10 @@
 """KPI pipeline: DAU/MAU/stickiness, period churn, MRR, ARPU, CLV, funnel rates,
 A/B metrics, cohort retention and monthly MRR.
 
-Each KPI is a one-row aggregate; ``kpi_summary`` joins them (one-row frames, so
-the broadcasts are bounded by construction) and unpivots. The unrounded values
-follow the reference's float arithmetic order (a/b*100), with the same zero
-guards; sums of money are exact DECIMAL sums cast to DOUBLE once.
+Each KPI is a one-row aggregate; ``kpi_summary`` places the base aggregates side by
+side as scalar subqueries (one level, so they run together) and unpivots. The
+unrounded values follow the reference's float arithmetic order (a/b*100), with the
+same zero guards; sums of money are exact DECIMAL sums cast to DOUBLE once.
 """
 
 from __future__ import annotations
