@@ -97,3 +97,27 @@ def test_unpivot(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
     got = [tuple(r) for r in unpivot(df, [], ["a", "b"], "k", "v", ["A", "B"]).collect()]
     assert got == [("A", 1.0), ("B", 2.0)]
+
+
+def test_clean_tables_against_pandas(spark, fixture_tables):
+    """Dedup, then p99 caps (DOUBLE) on session minutes and event seconds, then NULL CSAT
+    filled with the truncated median: the same steps computed with pandas."""
+    from subscope.plans.quality import clean_tables
+
+    c = clean_tables(fixture_tables)
+    s = fixture_tables.user_sessions.toPandas().drop_duplicates()
+    cap = s["session_duration_minutes"].quantile(0.99)
+    want = sorted(min(float(v), cap) for v in s["session_duration_minutes"])
+    got = sorted(r[0] for r in c.user_sessions.select("session_duration_minutes").collect())
+    assert len(got) == len(s) and np.allclose(got, want)
+
+    e = fixture_tables.feature_events.toPandas().drop_duplicates()
+    ecap = e["time_spent_seconds"].quantile(0.99)
+    got_e = sorted(r[0] for r in c.feature_events.select("time_spent_seconds").collect())
+    assert np.allclose(got_e, sorted(min(float(v), ecap) for v in e["time_spent_seconds"]))
+
+    tk = fixture_tables.support_tickets.toPandas().drop_duplicates()
+    med = int(tk["satisfaction_score"].median())
+    want_t = sorted(int(v) if v == v and v is not None else med for v in tk["satisfaction_score"])
+    got_t = sorted(r[0] for r in c.support_tickets.select("satisfaction_score").collect())
+    assert got_t == want_t
