@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from subscope.llm.common import table
 from subscope.llm.exact_dedup import exact_dedup
+from subscope.llm.simhash import simhash_groups
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), extra=digest)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_simhash": op5_simhash,
 }
