@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from subscope.llm.common import table
 from subscope.llm.exact_dedup import exact_dedup
+from subscope.llm.packing import pack, pieces
 from subscope.llm.simhash import simhash_groups
 
 
@@ -15,11 +16,23 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), extra=digest)
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer file; the files are installed beside the libraries, never copied here."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), with_ids=False))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash": op5_simhash,
 }
