@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +97,16 @@ def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
             end = found.start() if found else len(data)
         yield data[start:end]
         start = end
+
+
+def keep_rows(df: DataFrame, text_col: str, decider: Callable[[], Callable[[list], object]]) -> DataFrame:
+    """Rows of ``df``, all columns, whose text passes. ``decider()`` makes, once a task, the function
+    from a list of texts (None for null) to booleans."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = decider()
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
