@@ -9,8 +9,8 @@ bytes saved by the toxic dictionary are the window's distance.
 
 A text is cut into windows of WINDOW words over the whole of it. How many windows save at
 least 2, 3, ... bytes, and the largest saving, are the features of a logistic model
-(Newton's method in numpy) that is calibrated on sampled documents the dictionaries did not
-see; its probability is the score.
+(Newton's method in numpy) that is calibrated on sampled documents whose dictionaries did not
+see them, weighted to the labels' shares in all rows; its probability is the score.
 
 The model is fitted on a bounded sample of labelled rows, in order of a hash of the id: at
 most DOCS rows and BYTES bytes of text per class, whole texts only.
@@ -37,6 +37,8 @@ from subscope.llm.common import blocks, keep_rows, keyed
 #: bounds of the learning sample, by label
 DOCS = {0: 12_000, 1: 4_000}
 BYTES = {0: 32 << 20, 1: 16 << 20}
+#: clean texts of the sample on which the model is calibrated
+CALIBRATED = 4_000
 #: words of a window
 WINDOW = 6
 #: different preceding words that make a word of toxic texts characteristic
@@ -91,12 +93,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 25) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, steps: int = 25) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w += np.linalg.solve(hessian, x.T @ (weight * (y - p)) - ridge * w)
     return w
 
 
@@ -108,33 +110,44 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def fit(clean: list[bytes], toxic: list[bytes]) -> Model:
-    """Dictionaries from every other text, calibration on the rest (from all, if few are toxic)."""
-    if not clean or not toxic:
-        return Model(b"", b"", None, 1.0 if toxic else 0.0)
-    halves = len(toxic) >= 40
-    learn = [t[::2] if halves else t for t in (clean, toxic)]
-    known = {w for t in clean for b in blocks(t) for w in _words(b)}
+def _dictionaries(clean: list[bytes], toxic: list[bytes], known: set[bytes]) -> Model:
     before: dict[bytes, set[bytes]] = {}
-    for text in learn[1]:
+    for text in toxic:
         words = [w for b in blocks(text) for w in _words(b)]
         for last, word in zip([b""] + words, words, strict=False):
             if word not in known:
                 before.setdefault(word, set()).add(last)
+    marked: set[bytes] = set()
     for contexts in range(CONTEXTS, 0, -1):
-        marked = {w for w, s in before.items() if len(s) >= contexts}
-        if marked:
-            break
-    samples = [b" " + b" ".join(found) + b" " for t in learn[1]
+        marked = marked or {w for w, s in before.items() if len(s) >= contexts}
+    samples = [b" " + b" ".join(found) + b" " for t in toxic
                if (found := [w for b in blocks(t) for w in _words(b) if w in marked])]
-    windows = [w for t in learn[0] for k, w in enumerate(_windows(t)) if k % 4 == 0]
-    windows = windows[::-(-len(windows) // 40_000) or 1]
-    model = Model(_dictionary(windows, ORDINARY_SIZE), _dictionary(samples, TOXIC_SIZE), None)
-    rest = [t[1::2] if halves else t for t in (clean, toxic)]
-    compressors = model.compressors()
-    x = np.array([model.features(t, compressors) for t in [*rest[0], *rest[1]]])
-    y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
-    model.weights = _logistic(x, y)
+    windows = [w for t in clean for k, w in enumerate(_windows(t)) if k % 4 == 0]
+    windows = windows[::max(1, len(windows) // 40_000)]
+    return Model(_dictionary(windows, ORDINARY_SIZE), _dictionary(samples, TOXIC_SIZE), None)
+
+
+def fit(clean: list[bytes], toxic: list[bytes], totals: tuple[int, int] | None = None) -> Model:
+    """Dictionaries from all given texts; calibration on features of each half under the
+    dictionaries of the other half, weighted to ``totals``, the numbers of clean and toxic rows
+    that the texts stand for."""
+    if not clean or not toxic:
+        return Model(b"", b"", None, 1.0 if toxic else 0.0)
+    known = {w for t in clean for b in blocks(t) for w in _words(b)}
+    measured = clean[:CALIBRATED]
+    x, y = [], []
+    for half in (0, 1):
+        other = [t[1 - half::2] or t for t in (measured, toxic)]
+        part = _dictionaries(*other, known)
+        compressors = part.compressors()
+        for label, texts in enumerate((measured, toxic)):
+            x += [part.features(t, compressors) for t in texts[half::2]]
+            y += [label] * len(texts[half::2])
+    y = np.array(y, float)
+    model = _dictionaries(clean, toxic, known)
+    total = totals or (len(clean), len(toxic))
+    weight = np.where(y == 1, total[1] / len(toxic), total[0] / len(measured))
+    model.weights = _logistic(np.array(x), y, weight / weight.mean())
     return model
 
 
@@ -143,6 +156,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on the bounded sample of rows of ``df`` that ``labels`` marks 0 or 1."""
     marks = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     sizes = df.select(F.col(id_col).alias("doc_id"), F.octet_length(text_col).alias("size")).where("size IS NOT NULL")
+    totals = dict(sizes.join(marks, "doc_id").groupBy("label").count().collect())
     texts: dict[int, list[bytes]] = {}
     for label in (0, 1):
         rows = (sizes.join(marks.where(F.col("label") == label), "doc_id")
@@ -157,7 +171,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         found = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
         picked = found.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
         texts[label] = [t.as_py() for t in picked.column("text").cast(pa.large_binary())]
-    return fit(texts[0], texts[1])
+    return fit(texts[0], texts[1], (totals.get(0, 0), totals.get(1, 0)))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
