@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subscope.llm import langid, toxicity
+from subscope.llm import langid, lm, toxicity
 from subscope.llm.common import fold, table
 from subscope.llm.exact_dedup import exact_dedup
 from subscope.llm.packing import pack, pieces
@@ -17,6 +17,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), extra=digest)
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score(docs, docs.where(fold("doc_id", 10) != 0))
+    return scored.withColumn("held_out", fold("doc_id", 10) == 0)
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public tokenizer file; the files are installed beside the libraries, never copied here."""
     import public_tokenizers
@@ -49,6 +55,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_lm_scores": op3_lm_scores,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
