@@ -10,6 +10,7 @@ from subscope.llm.common import fold, table
 from subscope.llm.exact_dedup import exact_dedup
 from subscope.llm.packing import pack, pieces
 from subscope.llm.simhash import simhash_groups
+from subscope.llm.topk import top_k
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "cover")
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_lm_scores": op3_lm_scores,
@@ -60,4 +65,5 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op9_exact_top_k": op9_exact_top_k,
 }
