@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subscope.llm import langid, lm, toxicity
+from subscope.llm import langid, lm, sentencepiece_codec, toxicity
 from subscope.llm.common import fold, table
 from subscope.llm.exact_dedup import exact_dedup
 from subscope.llm.packing import pack, pieces
 from subscope.llm.simhash import simhash_groups
+from subscope.llm.token_counts import token_counts
 from subscope.llm.topk import top_k
 
 
@@ -54,10 +55,25 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "cover")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text, decode the ids again and compare digests."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    encoded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model, "bpe", "doc_id", "text",
+                                         F.sha2(F.translate(F.coalesce("text", F.lit("")), "▁", " "), 256).alias("text_sha256"))
+    digests = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                             F.xxhash64("ids").alias("ids_xxhash64"), "text_sha256", "ids")
+    return (sentencepiece_codec.decode(digests, model).withColumn("decoded_sha256", F.sha2("decoded", 256))
+            .withColumn("round_trip", F.col("decoded_sha256") == F.col("text_sha256")).drop("ids", "decoded", "text_sha256"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_lm_scores": op3_lm_scores,
@@ -65,5 +81,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_token_counts": op10_token_counts,
 }
