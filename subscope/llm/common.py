@@ -60,29 +60,34 @@ def slot_bitmap(slots: DataFrame, slot: str = "slot") -> DataFrame:
 def with_membership(df: DataFrame, slot: Column, bitmap: DataFrame, name: str) -> DataFrame:
     """``df`` with boolean ``name``: whether the slot is set. The bitmap is broadcast; its size is
     fixed by SLOTS. A false positive is possible for hashed slots, a false negative is not."""
-    byte = "conv(hex(substring(_bits, cast(bitmap_bit_position(_slot) div 8 + 1 as int), 1)), 16, 10)"
-    hit = F.expr(f"getbit(cast({byte} as int), cast(bitmap_bit_position(_slot) % 8 as int)) = 1")
-    return (df.withColumn("_slot", slot)
-            .withColumn("_bucket", F.expr("bitmap_bucket_number(_slot)"))
-            .join(F.broadcast(bitmap), "_bucket", "left")
+    place = "bitmap_bit_position(_llm_slot)"
+    byte = f"conv(hex(substring(_bits, cast({place} div 8 + 1 as int), 1)), 16, 10)"
+    hit = F.expr(f"getbit(cast({byte} as int), cast({place} % 8 as int)) = 1")
+    return (df.withColumn("_llm_slot", slot)
+            .join(F.broadcast(bitmap), F.expr("bitmap_bucket_number(_llm_slot)") == F.col("_bucket"), "left")
             .withColumn(name, F.coalesce(hit, F.lit(False)))
-            .drop("_slot", "_bucket", "_bits"))
+            .drop("_llm_slot", "_bucket", "_bits"))
 
 
 def id_slot(col: str) -> Column:
     return F.pmod(F.xxhash64(F.col(col)), F.lit(SLOTS))
 
 
-def without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``df`` whose id is not in ``gone`` (one column, the ids); null ids match null ids.
+def without(df: DataFrame, gone: DataFrame, id_col: str, also: Column | None = None) -> DataFrame:
+    """Rows of ``df`` that are not in ``gone``: its first column holds ids, its second, if there is
+    one, the value of ``also``. Nulls match nulls.
 
-    Rows whose id misses the bitmap of gone ids stay without a shuffle; only the others,
-    the gone rows and a few false positives, meet ``gone`` in an exact anti join.
+    Rows whose id misses the bitmap of gone ids stay without a shuffle; only the others, the
+    gone rows and a few false positives, meet ``gone`` in an exact anti join.
     """
-    gone = cut(gone.toDF("_gone").distinct())
-    marked = with_membership(df, id_slot(id_col), slot_bitmap(gone.select(id_slot("_gone").alias("slot"))), "_maybe")
-    tested = marked.where("_maybe").join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    return marked.where("NOT _maybe").unionByName(tested).select(*[F.col(f"`{c}`") for c in df.columns])
+    gone = cut(gone.toDF("_gone", "_also") if also is not None else gone.toDF("_gone")).distinct()
+    slots = slot_bitmap(gone.select(id_slot("_gone").alias("slot")))
+    marked = with_membership(df, id_slot(id_col), slots, "_llm_maybe")
+    same = F.col(id_col).eqNullSafe(F.col("_gone"))
+    if also is not None:
+        same = same & also.eqNullSafe(F.col("_also"))
+    tested = marked.where("_llm_maybe").join(gone, same, "left_anti")
+    return marked.where("NOT _llm_maybe").unionByName(tested).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:

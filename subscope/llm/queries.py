@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subscope.llm import langid, lm, sentencepiece_codec, toxicity
+from subscope.llm import langid, license_scan, lm, sentencepiece_codec, toxicity
 from subscope.llm.common import fold, table
 from subscope.llm.exact_dedup import exact_dedup
 from subscope.llm.packing import pack, pieces
@@ -14,6 +14,14 @@ from subscope.llm.token_counts import token_counts
 from subscope.llm.topk import top_k
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document; the licences found, in the order of their places."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    names = F.array_distinct(F.transform("matches", lambda m: m["license"]))
+    return found.select("doc_id", F.array_join(names, ";").alias("licenses"), F.size("matches").cast("long").alias("n_matches"),
+                        F.try_element_at("matches", F.lit(1))["start"].alias("first_start"), "n_sentences", "n_unmatched")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = {"text_sha256": F.sha2("text", 256)}
     return exact_dedup(table(spark, sf_dir, "documents"), extra=digest)
@@ -75,6 +83,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_lm_scores": op3_lm_scores,
     "op4_best_fit_packing": op4_best_fit_packing,

@@ -121,6 +121,8 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; all columns kept."""
+    """``docs``, all columns, with the smallest id of each component. Rows of one id are one
+    document: they stay if any of them has its component's smallest id."""
     groups = simhash_groups(docs, id_col, text_col)
-    return without(docs, groups.where("doc_id <> component_id").select("doc_id"), id_col)
+    first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return without(docs, groups.groupBy("doc_id").agg(first.alias("first")).where("NOT first").select("doc_id"), id_col)
