@@ -85,21 +85,6 @@ def half_up_money(amount_sum, den, scale: int = 2) -> Column:
     return F.when(den != 0, half_up(c, den * 100, scale))
 
 
-def to_double(c) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return c.cast("double")
-
-
-def ratio_or_zero(num, den, factor: float = 1.0) -> Column:
-    """num/den*factor as DOUBLE, 0.0 when den is 0 or NULL (the KPI code's guard)."""
-    num = F.col(num) if isinstance(num, str) else num
-    den = F.col(den) if isinstance(den, str) else den
-    v = num.cast("double") / den.cast("double")
-    if factor != 1.0:
-        v = v * F.lit(factor)
-    return F.when(den > 0, v).otherwise(F.lit(0.0))
-
-
 def exact_mean(c) -> Column:
     """Mean as one division of an exact sum (integer or DECIMAL) by the count.
 

@@ -1,24 +1,22 @@
 """Exact quantiles (linear interpolation) computed without one task holding the data.
 
-Spark's exact ``percentile`` aggregate keeps a value->count map of the whole
-column in one final task. This operator finds the same order statistics with
-bounded work per task:
-
-1. ``percentile_approx`` over the column gives B-1 sketch bounds (one pass, a
-   fixed-size sketch per task), so value ranges ("buckets") hold ~n/B rows each;
-2. distinct values are counted (an aggregate, combined map-side: one value that
-   holds a third of all rows is one row after it) and tagged with their bucket;
-3. per-bucket totals (<= B rows) give each bucket's starting rank;
-4. only the buckets that hold a wanted rank are ordered, each in its own task,
-   to read off the value at that rank.
-
-The interpolation between the two neighbouring order statistics follows
-numpy/pandas ("linear"): a + (b-a)*t, or b - (b-a)*(1-t) when t >= 0.5.
-The bucketed plan is one lazy plan; nothing is collected to the driver.
-
-When a column's distinct values are provably few (measured with
-``approx_count_distinct``), Spark's exact ``percentile`` is cheaper: its one
-final task then holds a small map. ``strategy="auto"`` picks between the two.
+Spark's exact ``percentile`` aggregate keeps a value->count map of the whole column in one
+final task. This operator finds the same order statistics with bounded work per task, by one
+plan for every size of input:
+
+1. ``value_counts``: distinct values with their counts (combined map-side: one value that
+   holds a third of all rows is one row after it); callers may read other numbers from the
+   same frame;
+2. ``percentile_approx`` over the distinct values gives B-1 bounds (a fixed-size sketch per
+   task), so every bucket holds about 1/B of the distinct values; B follows the session's
+   shuffle partitions, which a cluster sizes by its data;
+3. per-bucket totals (B rows) give each bucket's starting rank;
+4. only the buckets that hold a wanted rank are ordered, each in its own task, to read off
+   the value at that rank.
+
+The interpolation between the two neighbouring order statistics follows numpy/pandas
+("linear"): a + (b-a)*t, or b - (b-a)*(1-t) when t >= 0.5. The plan is lazy; nothing runs
+and nothing is collected while it is built.
 """
 
 from __future__ import annotations
@@ -26,54 +24,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: buckets for each shuffle partition, and at least so many
+BUCKETS_PER_PARTITION = 4
+LEAST_BUCKETS = 64
 
-def approx_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str],
-                     accuracy: int = 100000) -> DataFrame:
-    v = F.col(col).cast("double")
-    q = F.percentile_approx(v, list(probs), accuracy)
-    return df.agg(q.alias("_q")).select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
-
-# Spark's exact ``percentile`` keeps one map entry per distinct value in its final
-# task; it is used only when a measured distinct count proves that map small.
-SINGLE_TASK_MAX_DISTINCT = 1_000_000
-_DISTINCT_MARGIN = 1.25  # approx_count_distinct at rsd 0.05 is well within 25%
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """(v double, c long): the distinct non-NULL values of ``col`` and how often each occurs."""
+    return (df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+            .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str],
-                    buckets: int = 256, accuracy: int = 100000, strategy: str = "auto",
-                    max_distinct: int = SINGLE_TASK_MAX_DISTINCT,
-                    distinct_source: DataFrame | None = None) -> DataFrame:
-    """One row: column ``names[i]`` is the ``probs[i]`` quantile of ``col`` (NULLs ignored).
-
-    ``strategy``: "bucketed" (never one task per column), "single_task" (Spark's
-    ``percentile``), or "auto": measure the distinct count (one pass, one number to
-    the driver) and take "single_task" only when it is at most ``max_distinct``.
-    ``distinct_source``: a cheaper frame with the same distinct values of ``col``
-    (e.g. the table before dropping duplicate rows) to measure instead of ``df``.
-    """
-    if strategy == "auto":
-        src = df if distinct_source is None else distinct_source
-        nd = src.agg(F.approx_count_distinct(col, 0.05)).first()[0] or 0
-        strategy = "single_task" if nd * _DISTINCT_MARGIN <= max_distinct else "bucketed"
-    if strategy == "single_task":
-        return _single_task(df, col, probs, names)
-    return _bucketed(df, col, probs, names, buckets, accuracy)
-
-
-def _single_task(df: DataFrame, col: str, probs: list[float], names: list[str]) -> DataFrame:
-    q = F.percentile(F.col(col).cast("double"), list(probs))
-    return df.agg(q.alias("_q")).select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-
-
-def _bucketed(df: DataFrame, col: str, probs: list[float], names: list[str],
-              buckets: int, accuracy: int) -> DataFrame:
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    splits = [i / buckets for i in range(1, buckets)]
-    sketch = vals.agg(F.percentile_approx("v", splits, accuracy).alias("bounds"),
-                      F.count(F.lit(1)).alias("n"))
+                    buckets: int | None = None, accuracy: int = 100000) -> DataFrame:
+    """One row: column ``names[i]`` is the ``probs[i]`` quantile of ``col`` (NULLs ignored)."""
+    return quantiles_of_counts(value_counts(df, col), probs, names, buckets, accuracy)
 
-    counts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+
+def quantiles_of_counts(counts: DataFrame, probs: list[float], names: list[str],
+                        buckets: int | None = None, accuracy: int = 100000) -> DataFrame:
+    """``exact_quantiles`` of the column that ``counts`` (v, c) stands for."""
+    if buckets is None:
+        partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(LEAST_BUCKETS, BUCKETS_PER_PARTITION * partitions)
+    splits = [i / buckets for i in range(1, buckets)]
+    sketch = counts.agg(F.percentile_approx("v", splits, accuracy).alias("bounds"),
+                        F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
     tagged = (counts.withColumn("bounds", sketch.select("bounds").scalar())
               .withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("v"))))
               .drop("bounds"))

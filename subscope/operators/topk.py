@@ -26,9 +26,3 @@ def ranked_values(pairs: DataFrame, group: str, value: str, k: int, rank_col: st
     return (distinct_pairs.withColumn(rank_col, F.dense_rank().over(w))
             .where(F.col(rank_col) <= k)
             .withColumn(rank_col, F.col(rank_col).cast("long")))
-
-
-def dense_rank_top(rows: DataFrame, group: str, value: str, k: int,
-                   rank_col: str = "rank") -> DataFrame:
-    top = ranked_values(rows, group, value, k, rank_col)
-    return rows.join(top, [group, value], "inner")

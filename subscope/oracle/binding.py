@@ -6,12 +6,11 @@ the driver's pre-registered views, so it stands alone.
 
 from __future__ import annotations
 
-from subscope.params import DEFAULT_PERIOD, Period, sql_date
+from subscope.params import DEFAULT_PERIOD, Period
 
 
-def binding_ctes(period: Period = DEFAULT_PERIOD) -> str:
-    end = sql_date(period.data_end)
-    return f"""
+def binding_ctes() -> str:
+    return """
 user_sessions AS (
   SELECT CAST(l.l_orderkey*10 + l.l_linenumber AS BIGINT) AS session_id,
          o.o_custkey AS user_id,
@@ -19,7 +18,6 @@ user_sessions AS (
          CAST(5 + l.l_partkey%51 + CASE WHEN (l.l_orderkey+l.l_linenumber)%97=0 THEN 120 ELSE 0 END AS INT)
            AS session_duration_minutes
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  WHERE CAST(l.l_shipdate AS DATE) <= {end}
 ),
 users AS (
   SELECT c.c_custkey AS user_id,
@@ -61,7 +59,7 @@ transactions AS (
          CAST(o_orderdate AS DATE) AS transaction_date,
          CAST(o_totalprice AS DECIMAL(10,2)) AS amount,
          CASE o_orderstatus WHEN 'F' THEN 'Success' WHEN 'O' THEN 'Failed' ELSE 'Refunded' END AS status
-  FROM orders WHERE CAST(o_orderdate AS DATE) <= {end}
+  FROM orders
 ),
 support_tickets AS (
   SELECT o_orderkey AS ticket_id, o_custkey AS user_id,
@@ -71,7 +69,7 @@ support_tickets AS (
          CAST(((o_orderkey*4801)%7200)/100.0 AS DECIMAL(5,2)) AS resolution_time_hours,
          CASE WHEN o_orderkey%13=0 THEN NULL ELSE CAST(1+o_orderkey%5 AS INT) END AS satisfaction_score
   FROM orders
-  WHERE o_orderpriority = '1-URGENT' AND CAST(o_orderdate AS DATE) <= {end}
+  WHERE o_orderpriority = '1-URGENT'
 ),
 feature_events AS (
   SELECT event_id, user_id,
@@ -103,7 +101,7 @@ def with_binding(body: str, ctes: str = "", period: Period = DEFAULT_PERIOD) ->
     if not _BOUND["on"]:
         return f"WITH {own}\n{body.strip()}" if own else body.strip()
     own = f",\n{own}" if own else ""
-    return f"WITH {binding_ctes(period).strip()}{own}\n{body.strip()}"
+    return f"WITH {binding_ctes().strip()}{own}\n{body.strip()}"
 
 
 def half_up_sql(num: str, den: str, scale: int = 2, factor: int = 1) -> str:

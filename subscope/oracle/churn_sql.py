@@ -69,7 +69,8 @@ def sql(p: Period = DEFAULT_PERIOD) -> dict[str, str]:
         "churn_feature_table": with_binding("SELECT * FROM Features", c),
         "train_test_split": with_binding("""
 SELECT user_id, target,
-       CASE WHEN substr(md5(CAST(user_id AS VARCHAR)), 1, 2) < '33' THEN 'test' ELSE 'train' END AS split
+       CASE WHEN row_number() OVER (PARTITION BY target ORDER BY md5(CAST(user_id AS VARCHAR)), user_id)
+                 <= floor(count(*) OVER (PARTITION BY target) * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split
 FROM Features""", c),
     }
     from subscope.plans.churn import CATEGORICAL, NUMERIC
@@ -79,4 +80,37 @@ FROM Features""", c),
     q["standardized_features"] = with_binding(f"SELECT f.user_id, {zs} FROM Features f, (SELECT {stats} FROM Features) st", c)
     slots = ", ".join(f"CAST(DENSE_RANK() OVER (ORDER BY {c}) - 1 AS BIGINT) AS {c}_slot" for c in CATEGORICAL)
     q["category_indexes"] = with_binding(f"SELECT user_id, {slots} FROM Features", c)
+    hot = ", ".join(f"array_to_string(list_transform({c}_levels, lambda x: CASE WHEN x = {c} THEN '1' ELSE '0' END), '') "
+                    f"AS {c}_one_hot" for c in CATEGORICAL)
+    levels = ", ".join(f"list_sort(list(DISTINCT {c}) FILTER ({c} IS NOT NULL)) AS {c}_levels" for c in CATEGORICAL)
+    q["one_hot_features"] = with_binding(f"SELECT user_id, {hot} FROM Features, (SELECT {levels} FROM Features)", c)
+    points = "(total_sessions * 7 + age * 3 + ticket_count * 11 + user_id * 13) % 100"
+    scored = c + f""",
+Scored AS (SELECT user_id, target AS actual, CAST({points} >= 50 AS BIGINT) AS predicted, ({points}) / 100.0 AS score FROM Features),
+Cells AS (SELECT count(*) FILTER (actual = 1 AND predicted = 1) AS tp, count(*) FILTER (actual = 0 AND predicted = 1) AS fp,
+                 count(*) FILTER (actual = 1 AND predicted = 0) AS fn, count(*) FILTER (actual = 0 AND predicted = 0) AS tn
+          FROM Scored),
+Classes AS (
+  SELECT label, support, coalesce(hit / nullif(marked, 0), 0.0) AS precision, coalesce(hit / nullif(support, 0), 0.0) AS recall
+  FROM (SELECT '0' AS label, CAST(tn AS DOUBLE) AS hit, tn + fp AS support, tn + fn AS marked FROM Cells
+        UNION ALL SELECT '1', CAST(tp AS DOUBLE), tp + fn, tp + fp FROM Cells)
+  WHERE support + marked > 0),
+Report AS (SELECT label, precision, recall,
+                  coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1_score, support FROM Classes)"""
+    q["fixed_binary_metrics"] = with_binding("""
+SELECT CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn) AS accuracy, p AS precision, r AS recall,
+       coalesce(2 * p * r / nullif(p + r, 0), 0.0) AS f1, tp, fp, fn, tn
+FROM (SELECT *, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0) AS p,
+             coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0) AS r FROM Cells)""", scored)
+    q["fixed_classification_report"] = with_binding("""
+SELECT label, precision, recall, f1_score, CAST(support AS BIGINT) AS support FROM Report
+UNION ALL SELECT 'accuracy', NULL, NULL, CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn), tp + tn + fp + fn FROM Cells
+UNION ALL SELECT 'macro avg', sum(precision) / count(*), sum(recall) / count(*), sum(f1_score) / count(*), CAST(sum(support) AS BIGINT) FROM Report
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                 sum(f1_score * support) / sum(support), CAST(sum(support) AS BIGINT) FROM Report""", scored)
+    q["fixed_confusion_matrix"] = with_binding("""
+SELECT actual, count(*) FILTER (predicted = 0) AS predicted_0, count(*) FILTER (predicted = 1) AS predicted_1
+FROM Scored GROUP BY actual""", scored)
+    q["fixed_risk_band_counts"] = with_binding(f"""
+SELECT CASE WHEN score < {S.RISK_LOW_BELOW} THEN '{S.RISK_BANDS[0]}' WHEN score < {S.RISK_MEDIUM_BELOW} THEN '{S.RISK_BANDS[1]}' ELSE '{S.RISK_BANDS[2]}' END AS risk_band, count(*) AS users FROM Scored GROUP BY 1""", scored)
     return q

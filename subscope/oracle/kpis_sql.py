@@ -105,9 +105,8 @@ SELECT c.signup_cohort, c.cohort_period, c.active_users, z.cohort_size,
 FROM CohortActivity c
 JOIN (SELECT strftime(signup_date, '%Y-%m') AS signup_cohort, COUNT(DISTINCT user_id) AS cohort_size
       FROM users GROUP BY 1) z ON z.signup_cohort = c.signup_cohort""", ctes)
-    q["cohort_retention_matrix"] = with_binding("""
-PIVOT (SELECT signup_cohort, cohort_period, retention_pct FROM CohortLong)
-ON cohort_period USING first(retention_pct) GROUP BY signup_cohort""", ctes)
+    cells = ", ".join(f'MAX(CASE WHEN cohort_period = {i} THEN retention_pct END) AS "{i}"' for i in p.cohort_periods)
+    q["cohort_retention_matrix"] = with_binding(f"SELECT signup_cohort, {cells} FROM CohortLong GROUP BY signup_cohort", ctes)
     q["monthly_mrr"] = with_binding("""
 SELECT strftime(transaction_date, '%Y-%m') AS month, CAST(SUM(amount) AS DOUBLE) AS amount
 FROM transactions WHERE status = 'Success' GROUP BY 1 ORDER BY 1""")

@@ -51,6 +51,18 @@ SELECT '{t}' AS table_name, '{c}' AS column_name, round(cap, 6) AS cap_value,
 FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.99) AS cap FROM (SELECT DISTINCT * FROM {t}))""")
     q["cap_at_p99"] = with_binding("\nUNION ALL ".join(parts))
 
+    for key, t, c in [("clean_sessions", "user_sessions", "session_duration_minutes"),
+                      ("clean_events", "feature_events", "time_spent_seconds")]:
+        q[key] = with_binding(f"""
+SELECT d.* REPLACE (CASE WHEN {c} > cap THEN cap ELSE CAST({c} AS DOUBLE) END AS {c})
+FROM (SELECT DISTINCT * FROM {t}) d,
+     (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.99) AS cap FROM (SELECT DISTINCT * FROM {t}))""")
+    q["clean_tickets"] = with_binding("""
+SELECT d.* REPLACE (COALESCE(satisfaction_score, fill) AS satisfaction_score)
+FROM (SELECT DISTINCT * FROM support_tickets) d,
+     (SELECT CAST(trunc(median(CAST(satisfaction_score AS DOUBLE))) AS INTEGER) AS fill
+      FROM (SELECT DISTINCT * FROM support_tickets))""")
+
     q["impute_median"] = with_binding("""
 SELECT CAST(trunc(median(CAST(satisfaction_score AS DOUBLE))) AS BIGINT) AS median_csat,
        COUNT(*) - COUNT(satisfaction_score) AS imputed_count

@@ -12,20 +12,28 @@ class Period:
 
     ``month_start``/``month_end``: the month every "this month" metric uses.
     ``dau_start``: first day of the daily-active window (ends at ``month_end``).
-    ``as_of``: the day recency is measured from.
-    ``data_end``: facts dated after this day are not bound (driver tables only).
+    ``as_of``: the day recency is measured from, the last day of the data.
+    ``first_month``/``last_month``: months that signups and activity fall in; they name the
+    columns of the cohort matrix.
     """
 
     month_start: dt.date = dt.date(2001, 6, 1)
     month_end: dt.date = dt.date(2001, 6, 30)
     dau_start: dt.date = dt.date(2001, 6, 17)
-    as_of: dt.date = dt.date(2001, 6, 30)
-    data_end: dt.date = dt.date(2001, 6, 30)
+    as_of: dt.date = dt.date(2001, 11, 4)
+    first_month: dt.date = dt.date(1994, 11, 1)
+    last_month: dt.date = dt.date(2001, 11, 1)
 
     @property
     def month(self) -> str:
         return self.month_start.strftime("%Y-%m")
 
+    @property
+    def cohort_periods(self) -> range:
+        """Months from a signup to an activity that the declared months allow."""
+        span = (self.last_month.year - self.first_month.year) * 12 + self.last_month.month - self.first_month.month
+        return range(span + 1)
+
     @property
     def calendar_month(self) -> tuple[dt.date, dt.date]:
         """First and last day of the calendar month of ``month_start``."""
@@ -33,10 +41,6 @@ class Period:
         last = (first + dt.timedelta(days=32)).replace(day=1) - dt.timedelta(days=1)
         return first, last
 
-    @property
-    def data_end_exclusive(self) -> dt.date:
-        return self.data_end + dt.timedelta(days=1)
-
 
 DEFAULT_PERIOD = Period()
 

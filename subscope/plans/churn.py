@@ -2,8 +2,7 @@
 
 Features: one aggregate per fact table, each keyed by user_id (partial
 aggregation, so a heavy user collapses before the shuffle), then a chain of
-left joins on user_id. Every side is unique per user, so nothing fans out, and
-all sides are hash-partitioned on user_id, so the chain adds no exchanges.
+left joins on user_id. Every side is unique per user, so nothing fans out.
 
 Model: StringIndexer + OneHotEncoder (unknown level -> all zeros), StandardScaler
 on the numeric block, LogisticRegression with the L2 strength that matches
@@ -21,6 +20,7 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from subscope import schema as S
 from subscope.functions import count_when, exact_mean, feature_column, lit_date, risk_band
@@ -32,7 +32,7 @@ C = F.col
 FEATURE_COLUMNS = [feature_column(f) for f in S.FEATURES]
 NUMERIC = S.CHURN_NUMERIC + FEATURE_COLUMNS
 CATEGORICAL = S.CHURN_CATEGORICAL
-TEST_HASH_BELOW = "33"  # first two hex digits of md5(user_id) below this: test (51/256)
+TEST_SHARE = 0.2  # of each class
 
 
 # ---------------------------------------------------------------- F01 - F07
@@ -46,12 +46,29 @@ def activity_features(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
                     F.datediff(lit_date(p.as_of), C("_last")).cast("long").alias("recency"))
 
 
+def features_present(t: Tables) -> list[str]:
+    """The columns of the click pivot: the known features, then any others the events hold
+    (their names are collected: categories, not rows)."""
+    names = t.feature_events.select("feature_name").where("feature_name IS NOT NULL").distinct()
+    return S.FEATURES + sorted({r[0] for r in names.collect()} - set(S.FEATURES))
+
+
+def event_features(t: Tables) -> DataFrame:
+    """Clicks of every feature and time per user, in one aggregate over the events."""
+    clicks = [F.count(F.when(C("feature_name") == f, C("event_id"))).alias(feature_column(f)) for f in features_present(t)]
+    return t.feature_events.groupBy("user_id").agg(
+        *clicks, F.sum("time_spent_seconds").cast("long").alias("total_feature_time"),
+        exact_mean("time_spent_seconds").alias("avg_feature_time"))
+
+
+def click_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith("feat_") and c.endswith("_clicks")]
+
+
 def feature_click_pivot(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    """Clicks per user and feature; the feature list is fixed, so the columns are too."""
-    g = (t.feature_events.groupBy("user_id").pivot("feature_name", S.FEATURES)
-         .agg(F.count("event_id")))
-    return g.select("user_id", *[F.coalesce(C(f), F.lit(0)).cast("long").alias(feature_column(f))
-                                 for f in S.FEATURES])
+    """Clicks per user and feature, a column for each feature."""
+    f = event_features(t)
+    return f.select("user_id", *click_columns(f))
 
 
 def feature_time(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
@@ -85,12 +102,11 @@ def churn_feature_table(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     u = t.users.select("user_id", "age", "signup_channel", "country", "experiment_group")
     j = (u.join(first_subscription(t, p), "user_id", "left")
          .join(activity_features(t, p), "user_id", "left")
-         .join(feature_click_pivot(t, p), "user_id", "left")
-         .join(feature_time(t, p), "user_id", "left")
+         .join(event_features(t), "user_id", "left")
          .join(payment_features(t, p), "user_id", "left")
          .join(support_features(t, p), "user_id", "left"))
     zero_long = ["total_sessions", "recency", "total_feature_time", "failed_payments",
-                 "refunded_payments", "ticket_count"] + FEATURE_COLUMNS
+                 "refunded_payments", "ticket_count"] + click_columns(j)
     zero_double = ["avg_session_duration", "avg_feature_time", "total_spend", "avg_resolution_time"]
     return j.select(
         "user_id", C("age").cast("long").alias("age"), *CATEGORICAL[:3],
@@ -102,26 +118,41 @@ def churn_feature_table(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 
 def train_test_split(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    """Repeatable 80/20 split by a hash of user_id, computed per row (no sampling state)."""
-    f = churn_feature_table(t, p)
-    return f.select("user_id", "target", _split_col().alias("split"))
+    """Repeatable split, stratified by target: of each class, the TEST_SHARE with the smallest
+    md5(user_id) are test."""
+    return with_split(churn_feature_table(t, p).select("user_id", "target"))
+
+
+def with_split(f: DataFrame) -> DataFrame:
+    """``f`` with ``split``. A user's rank in its class is the number of users in smaller md5 buckets
+    (the first two digits: 256 counts a class) plus the place in its own bucket, so no task
+    orders a whole class."""
+    f = f.withColumn("_h", F.md5(C("user_id").cast("string"))).withColumn("_b", F.substring("_h", 1, 2))
+    counts = f.groupBy("target", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("target")
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("target", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                           F.sum("_n").over(whole).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("target", "_b").orderBy("_h", "user_id"))
+    test = C("_before") + C("_place") <= F.floor(C("_all") * TEST_SHARE + 0.5)
+    return (f.withColumn("_place", place).join(counts, ["target", "_b"])
+            .withColumn("split", F.when(test, "test").otherwise("train"))
+            .drop("_h", "_b", "_place", "_before", "_all").select(*f.columns[:-2], "split"))
 
 
-def _split_col():
-    h = F.substring(F.md5(C("user_id").cast("string")), 1, 2)
-    return F.when(h < F.lit(TEST_HASH_BELOW), F.lit("test")).otherwise(F.lit("train"))
+# ---------------------------------------------------------------- L02 - L10
 
+def numeric_columns(features: DataFrame) -> list[str]:
+    return S.CHURN_NUMERIC + click_columns(features)
 
-# ---------------------------------------------------------------- L02 - L10
 
-def build_pipeline(n_train: int, max_iter: int = 1000) -> Pipeline:
+def build_pipeline(n_train: int, numeric: list[str], max_iter: int = 1000) -> Pipeline:
     # one indexer for the four columns: one pass over the data instead of four
     idx = [StringIndexer(inputCols=CATEGORICAL, outputCols=[f"{c}_idx" for c in CATEGORICAL],
                          handleInvalid="keep", stringOrderType="alphabetAsc")]
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEGORICAL],
-                        outputCols=[f"{c}_ohe" for c in CATEGORICAL], dropLast=True,
-                        handleInvalid="keep")
-    num = VectorAssembler(inputCols=NUMERIC, outputCol="num_raw")
+                        outputCols=[f"{c}_ohe" for c in CATEGORICAL], dropLast=True)  # the unknown level
+    num = VectorAssembler(inputCols=numeric, outputCol="num_raw")
     scaler = StandardScaler(inputCol="num_raw", outputCol="num_scaled", withMean=True, withStd=True)
     allv = VectorAssembler(inputCols=["num_scaled"] + [f"{c}_ohe" for c in CATEGORICAL],
                            outputCol="features")
@@ -144,7 +175,7 @@ class ChurnModel:
 
     def coefficients(self) -> list[tuple[str, float]]:
         lr = self.model.stages[-1]
-        names = list(NUMERIC)
+        names = numeric_columns(self.features)
         for c, labels in zip(CATEGORICAL, self.model.stages[0].labelsArray):
             names += [f"{c}_{lab}" for lab in labels]  # dropped last slot = unknown
         return list(zip(names, [float(x) for x in lr.coefficients.toArray()]))
@@ -153,98 +184,128 @@ class ChurnModel:
 _FITTED: dict = {}
 
 
-def fit_churn_model(t: Tables, p: Period = DEFAULT_PERIOD, cache_key=None) -> ChurnModel:
-    if cache_key is not None and cache_key in _FITTED:
-        return _FITTED[cache_key]
-    feats = churn_feature_table(t, p).withColumn("split", _split_col()) \
-        .withColumn("label", C("target").cast("double"))
-    # cut the lineage at the shared checkpoint folder before the iterative fit: the
-    # feature table is computed once, written, and every fit pass scans the files
+def _features(t: Tables, p: Period) -> DataFrame:
+    """The feature table with split and label, written once to the shared checkpoint folder: the
+    lineage is cut before the iterative fit, and every pass scans the files."""
     from subscope.sources.store import written
-    feats = written(feats, "churn-features")
-    train = feats.where(C("split") == "train")
-    test = feats.where(C("split") == "test")
-    n_train = train.count()
-    model = build_pipeline(n_train).fit(train)
-    cm = ChurnModel(model, feats, test)
-    if cache_key is not None:
-        _FITTED[cache_key] = cm
-    return cm
+    feats = with_split(churn_feature_table(t, p)).withColumn("label", C("target").cast("double"))
+    token = getattr(t, "token", None)
+    return written(feats, "churn-features", None if token is None else f"{token} {p} {feats.schema.simpleString()}")
 
 
-def _key(t: Tables, p: Period):
-    return (id(t.users.sparkSession), str(t.users.inputFiles()[:1]), p)
+def fit_churn_model(t: Tables, p: Period = DEFAULT_PERIOD) -> ChurnModel:
+    """The fitted model. It is kept only for tables that say what they hold (``token``)."""
+    key = (t.users.sparkSession.sparkContext.applicationId, getattr(t, "token", None), p)
+    if key[1] is not None and key in _FITTED:
+        return _FITTED[key]
+    feats = _features(t, p)
+    train = feats.where(C("split") == "train")
+    model = build_pipeline(train.count(), numeric_columns(feats)).fit(train)
+    cm = ChurnModel(model, feats, feats.where(C("split") == "test"))
+    if key[1] is not None:
+        _FITTED[key] = cm
+    return cm
 
 
 def _preds(t: Tables, p: Period) -> DataFrame:
-    return fit_churn_model(t, p, _key(t, p)).predictions().select(
+    return fit_churn_model(t, p).predictions().select(
         C("label").cast("long").alias("actual"), C("prediction").cast("long").alias("predicted"))
 
 
-def binary_metrics(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    g = _preds(t, p).agg(
-        count_when((C("actual") == 1) & (C("predicted") == 1)).alias("tp"),
-        count_when((C("actual") == 0) & (C("predicted") == 1)).alias("fp"),
-        count_when((C("actual") == 1) & (C("predicted") == 0)).alias("fn"),
-        count_when((C("actual") == 0) & (C("predicted") == 0)).alias("tn"))
-    z = F.lit(0.0)
-    prec = F.coalesce(F.try_divide(C("tp").cast("double"), (C("tp") + C("fp")).cast("double")), z)
-    rec = F.coalesce(F.try_divide(C("tp").cast("double"), (C("tp") + C("fn")).cast("double")), z)
-    return g.select(
-        F.try_divide((C("tp") + C("tn")).cast("double"),
-                     (C("tp") + C("tn") + C("fp") + C("fn")).cast("double")).alias("accuracy"),
-        prec.alias("precision"), rec.alias("recall"),
-        F.coalesce(F.try_divide(2 * prec * rec, prec + rec), z).alias("f1"), "tp", "fp", "fn", "tn")
+def _or_zero(num, den) -> F.Column:
+    return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
-def classification_report(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    """Per class precision/recall/F1/support, then accuracy, macro and weighted averages."""
-    pr = _preds(t, p)
-    # each prediction counts toward its actual class (support, recall) and its predicted class (precision)
-    a = pr.select(C("actual").alias("cls"), (C("actual") == C("predicted")).cast("long").alias("hit"),
-                  F.lit(1).alias("is_actual"), F.lit(0).alias("is_pred"))
-    b = pr.select(C("predicted").alias("cls"), (C("actual") == C("predicted")).cast("long").alias("hit"),
-                  F.lit(0).alias("is_actual"), F.lit(1).alias("is_pred"))
-    g = a.unionByName(b).groupBy("cls").agg(
-        F.sum(C("hit") * C("is_actual")).alias("tp"), F.sum("is_actual").alias("support"),
-        F.sum("is_pred").alias("predicted"))
-    z = F.lit(0.0)
-    prec = F.coalesce(F.try_divide(C("tp").cast("double"), C("predicted").cast("double")), z)
-    rec = F.coalesce(F.try_divide(C("tp").cast("double"), C("support").cast("double")), z)
-    per = g.select(C("cls").cast("string").alias("label"), prec.alias("precision"), rec.alias("recall"),
-                   F.coalesce(F.try_divide(2 * prec * rec, prec + rec), z).alias("f1_score"),
-                   C("support").cast("long").alias("support"), C("tp"))
-    tot = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("hits"),
-                  F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1_score").alias("mf"),
-                  F.sum(C("precision") * C("support")).alias("wp"), F.sum(C("recall") * C("support")).alias("wr"),
-                  F.sum(C("f1_score") * C("support")).alias("wf"))
-    acc = C("hits").cast("double") / C("n").cast("double")
-    def row(label, prec_, rec_, f1_):
-        return F.struct(F.lit(label).alias("label"), prec_.cast("double").alias("precision"),
-                        rec_.cast("double").alias("recall"), f1_.cast("double").alias("f1_score"),
-                        C("n").cast("long").alias("support"))
+def _counts(preds: DataFrame) -> DataFrame:
+    """tp, fp, fn, tn of (actual, predicted): one pass, one row."""
+    return preds.agg(*[count_when((C("actual") == a) & (C("predicted") == b)).alias(n)
+                       for n, a, b in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))])
+
 
+def binary_metrics_of(preds: DataFrame) -> DataFrame:
+    prec, rec = _or_zero(C("tp"), C("tp") + C("fp")), _or_zero(C("tp"), C("tp") + C("fn"))
+    hits, rows = C("tp") + C("tn"), C("tp") + C("tn") + C("fp") + C("fn")
+    return _counts(preds).select(
+        F.try_divide(hits.cast("double"), rows.cast("double")).alias("accuracy"),
+        prec.alias("precision"), rec.alias("recall"), _or_zero(2 * prec * rec, prec + rec).alias("f1"),
+        "tp", "fp", "fn", "tn")
+
+
+def classification_report_of(preds: DataFrame) -> DataFrame:
+    """Per class precision/recall/F1/support, then accuracy, macro and weighted averages: all from
+    the four confusion counts. A class that is neither actual nor predicted has no row."""
+    def one(label, hit, support, predicted):
+        prec, rec = _or_zero(hit, predicted), _or_zero(hit, support)
+        return F.struct(F.lit(label).alias("label"), prec.alias("precision"), rec.alias("recall"),
+                        _or_zero(2 * prec * rec, prec + rec).alias("f1_score"),
+                        support.cast("long").alias("support"), (support + predicted).alias("_seen"))
+
+    def row(label, precision, recall, f1):
+        return F.struct(F.lit(label).alias("label"), precision.cast("double").alias("precision"),
+                        recall.cast("double").alias("recall"), f1.cast("double").alias("f1_score"), n.alias("support"))
+
+    classes = F.filter(F.array(one("0", C("tn"), C("tn") + C("fp"), C("tn") + C("fn")),
+                               one("1", C("tp"), C("tp") + C("fn"), C("tp") + C("fp"))), lambda c: c["_seen"] > 0)
+    n = (C("tp") + C("fp") + C("fn") + C("tn")).cast("long")
+    total = lambda value: F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + value(c))
+    macro = [F.try_divide(total(lambda c, k=k: c[k]), F.size("classes").cast("double")) for k in ("precision", "recall", "f1_score")]
+    weighted = [F.try_divide(total(lambda c, k=k: c[k] * c["support"]), n.cast("double")) for k in ("precision", "recall", "f1_score")]
     none = F.lit(None)
-    n = C("n").cast("double")
-    summary = tot.select(F.explode(F.array(
-        row("accuracy", none, none, acc),
-        row("macro avg", C("mp"), C("mr"), C("mf")),
-        row("weighted avg", C("wp") / n, C("wr") / n, C("wf") / n),
-    )).alias("r")).select("r.*")
-    return per.drop("tp").unionByName(summary)
+    accuracy = F.try_divide((C("tp") + C("tn")).cast("double"), n.cast("double"))
+    per = F.transform("classes", lambda c: F.struct(*[c[k].alias(k) for k in ("label", "precision", "recall", "f1_score", "support")]))
+    summary = F.array(row("accuracy", none, none, accuracy), row("macro avg", *macro), row("weighted avg", *weighted))
+    return _counts(preds).withColumn("classes", classes).select(F.inline(F.concat(per, summary)))
+
+
+def confusion_matrix_of(preds: DataFrame) -> DataFrame:
+    return preds.groupBy("actual").agg(*[count_when(C("predicted") == k).alias(f"predicted_{k}") for k in (0, 1)])
+
+
+def risk_band_counts_of(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("risk_band").agg(F.count(F.lit(1)).alias("users"))
+
+
+def binary_metrics(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    return binary_metrics_of(_preds(t, p))
+
+
+def classification_report(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    return classification_report_of(_preds(t, p))
 
 
 def confusion_matrix(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    pr = _preds(t, p)
-    g = pr.groupBy("actual").pivot("predicted", [0, 1]).count()
-    return g.select("actual", F.coalesce(C("0"), F.lit(0)).alias("predicted_0"),
-                    F.coalesce(C("1"), F.lit(0)).alias("predicted_1"))
+    return confusion_matrix_of(_preds(t, p))
+
+
+def fixed_scores(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    """A score made from table columns, the same on every engine: (user_id, actual, predicted,
+    score). The metric formulas are checked on it, apart from any fitted model."""
+    f = churn_feature_table(t, p)
+    points = (C("total_sessions") * 7 + C("age") * 3 + C("ticket_count") * 11 + C("user_id") * 13) % 100
+    return f.select("user_id", C("target").alias("actual"), (points >= 50).cast("long").alias("predicted"),
+                    (points / F.lit(100.0)).alias("score"))
+
+
+def fixed_binary_metrics(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    return binary_metrics_of(fixed_scores(t, p))
+
+
+def fixed_classification_report(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    return classification_report_of(fixed_scores(t, p))
+
+
+def fixed_confusion_matrix(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    return confusion_matrix_of(fixed_scores(t, p))
+
+
+def fixed_risk_band_counts(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    return risk_band_counts_of(fixed_scores(t, p).withColumn("risk_band", risk_band(C("score"))))
 
 
 def coefficient_table(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """Model coefficients by absolute size. Built from model metadata: one row per
     feature slot (a few dozen), not per data row."""
-    cm = fit_churn_model(t, p, _key(t, p))
+    cm = fit_churn_model(t, p)
     spark = t.users.sparkSession
     rows = [(n, c, abs(c)) for n, c in cm.coefficients()]
     df = spark.createDataFrame(rows, "Feature string, Coefficient double, Absolute_Coefficient double")
@@ -257,7 +318,7 @@ def top_coefficients(t: Tables, p: Period = DEFAULT_PERIOD, k: int = 10) -> Data
 
 def score_users(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """Batch scoring of every user (the reference scores one form row at a time)."""
-    cm = fit_churn_model(t, p, _key(t, p))
+    cm = fit_churn_model(t, p)
     scored = cm.model.transform(cm.features)
     prob = vector_to_array(C("probability"))[1]
     return scored.select("user_id", prob.alias("churn_probability"),
@@ -265,7 +326,7 @@ def score_users(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 
 def risk_band_counts(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    return score_users(t, p).groupBy("risk_band").agg(F.count(F.lit(1)).alias("users"))
+    return risk_band_counts_of(score_users(t, p))
 
 
 PLANS = {
@@ -284,6 +345,10 @@ PLANS = {
     "top_coefficients": top_coefficients,
     "score_users": score_users,
     "risk_band_counts": risk_band_counts,
+    "fixed_binary_metrics": fixed_binary_metrics,
+    "fixed_classification_report": fixed_classification_report,
+    "fixed_confusion_matrix": fixed_confusion_matrix,
+    "fixed_risk_band_counts": fixed_risk_band_counts,
 }
 
 
@@ -307,12 +372,13 @@ def write_coefficients_csv(t: Tables, path: str, p: Period = DEFAULT_PERIOD) ->
 def standardized_features(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """Z-scores of the numeric features from the pipeline's own StandardScaler
     (sample standard deviation; a zero-variance column scales to 0). Rounded to 6 places."""
-    f = churn_feature_table(t, p)
-    va = VectorAssembler(inputCols=NUMERIC, outputCol="_raw")
+    f = _features(t, p)
+    numeric = numeric_columns(f)
+    va = VectorAssembler(inputCols=numeric, outputCol="_raw")
     sc = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True)
     v = va.transform(f)
     z = sc.fit(v).transform(v).select("user_id", vector_to_array("_z").alias("_z"))
-    return z.select("user_id", *[F.round(C("_z")[i], 6).alias(f"{c}_z") for i, c in enumerate(NUMERIC)])
+    return z.select("user_id", *[F.round(C("_z")[i], 6).alias(f"{c}_z") for i, c in enumerate(numeric)])
 
 
 def category_indexes(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
@@ -325,7 +391,21 @@ def category_indexes(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     return out.select("user_id", *[C(f"{c}_slot").cast("long").alias(f"{c}_slot") for c in CATEGORICAL])
 
 
+def one_hot_features(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    """The one-hot vector of each categorical feature per user, as text of 0 and 1 in
+    alphabetical order of the levels; a missing level is all zeros."""
+    f = _features(t, p).select("user_id", *CATEGORICAL)
+    si = StringIndexer(inputCols=CATEGORICAL, outputCols=[f"{c}_idx" for c in CATEGORICAL],
+                       handleInvalid="keep", stringOrderType="alphabetAsc")
+    ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEGORICAL], outputCols=[f"{c}_ohe" for c in CATEGORICAL],
+                        dropLast=True)
+    out = Pipeline(stages=[si, ohe]).fit(f).transform(f)
+    digits = lambda c: F.array_join(F.transform(vector_to_array(c), lambda x: x.cast("int").cast("string")), "")
+    return out.select("user_id", *[digits(f"{c}_ohe").alias(f"{c}_one_hot") for c in CATEGORICAL])
+
+
 PLANS.update({
+    "one_hot_features": one_hot_features,
     "standardized_features": standardized_features,
     "category_indexes": category_indexes,
 })

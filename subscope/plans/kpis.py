@@ -179,12 +179,13 @@ def cohort_retention_by_size(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame
 
 def cohort_retention_matrix(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """Cohort x period matrix of ``cohort_retention_long``; NULL where a cohort had no activity.
-    The pivot's column values are the distinct periods (months: a small set, collected)."""
-    from subscope.sources.store import written
-    # written once: the pivot's value list and the pivot itself then scan the small result
-    long = written(cohort_retention_long(t, p), "cohort-long")
-    periods = [r[0] for r in long.select("cohort_period").distinct().orderBy("cohort_period").collect()]
-    return long.groupBy("signup_cohort").pivot("cohort_period", periods).agg(F.first("retention_pct"))
+    One column for each period the declared months allow; a row outside them is an error."""
+    k = C("cohort_period")
+    allowed = k.between(p.cohort_periods[0], p.cohort_periods[-1])
+    inside = F.when(allowed, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("activity outside Period.first_month..last_month, period "), k.cast("string"))).cast("boolean"))
+    return cohort_retention_long(t, p).where(inside).groupBy("signup_cohort").agg(
+        *[F.max(F.when(k == i, C("retention_pct"))).alias(str(i)) for i in p.cohort_periods])
 
 
 def monthly_mrr(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:

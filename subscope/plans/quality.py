@@ -3,10 +3,10 @@ p99 caps, median imputation, key/foreign-key constraints, row counts.
 
 Each audit reads each table once with one aggregate (conditional counts for
 every column at once) and unions the small per-table results. Quantiles come
-from ``operators.quantiles.exact_quantiles``: Spark's exact ``percentile`` when
-a measured distinct count proves its one-task map small, otherwise a bucketed
-plan in which no task holds the column. As in the reference, duplicates are
-dropped before quantiles are taken, and fences are computed before caps.
+from ``operators.quantiles``: after the duplicates are dropped, a column becomes
+one (value, count) frame, and both its quantiles and the rows beyond a fence or
+cap are read from that frame. As in the reference, duplicates are dropped before
+quantiles are taken, and fences are computed before caps.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from subscope import schema as S
 from subscope.functions import count_when, pct
 from subscope.operators.dedup import duplicate_count
-from subscope.operators.quantiles import exact_quantiles
+from subscope.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
 from subscope.operators.reshape import one_row, scalar, unpivot
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.sources.binding import Tables
@@ -75,38 +75,35 @@ def drop_duplicates(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 def iqr_outliers(t: Tables, p: Period = DEFAULT_PERIOD, dedup: bool = True) -> DataFrame:
     """Upper-side IQR fence (Q3 + 1.5 IQR) and the rows above it, per audited column."""
-    src = deduplicated(t) if dedup else t
     out = []
     for table, col in OUTLIER_COLUMNS:
-        df = getattr(src, table)
-        # dropping identical rows keeps every distinct value: measure them on the raw table
-        q = exact_quantiles(df, col, [0.25, 0.75], ["q1", "q3"], distinct_source=getattr(t, table))
+        df = getattr(t, table)
+        df = df.dropDuplicates() if dedup else df
+        counts = value_counts(df, col)
+        q = quantiles_of_counts(counts, [0.25, 0.75], ["q1", "q3"])
         q = q.select("q1", "q3", (C("q3") - C("q1")).alias("iqr"))
         q = q.withColumn("upper_fence", C("q3") + F.lit(S.IQR_FENCE) * C("iqr"))
-        v = C(col).cast("double")
-        cnt = df.agg(count_when(v > scalar(q, "upper_fence")).alias("outlier_count"),
-                     F.count(F.lit(1)).alias("_rows"))
-        r = one_row(q, cnt)
+        beyond = counts.agg(_rows_above(scalar(q, "upper_fence")).alias("outlier_count"))
+        rows = df.agg(F.count(F.lit(1)).alias("_rows"))  # rows without a value count too
+        r = one_row(q, beyond, rows)
         out.append(r.select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
                             *[F.round(C(c), ROUND_DIGITS).alias(c) for c in ("q1", "q3", "iqr", "upper_fence")],
                             "outlier_count", pct(C("outlier_count"), C("_rows")).alias("outlier_pct")))
     return _union(out)
 
 
-def _caps(src: Tables, raw: Tables | None = None) -> dict[str, DataFrame]:
-    raw = raw or src
-    return {f"{table}.{col}": exact_quantiles(getattr(src, table), col, [S.CAP_QUANTILE], ["cap"],
-                                              distinct_source=getattr(raw, table))
-            for table, col in CAP_COLUMNS}
+def _rows_above(bound) -> F.Column:
+    """Rows of a (v, c) frame with a value above ``bound``."""
+    return F.coalesce(F.sum(F.when(C("v") > bound, C("c"))), F.lit(0))
 
 
 def cap_at_p99(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """The p99 cap per column and how many rows it changes."""
-    src = deduplicated(t)
     out = []
-    for (table, col), cap in zip(CAP_COLUMNS, _caps(src, t).values()):
-        df = getattr(src, table)
-        n = df.agg(count_when(C(col).cast("double") > scalar(cap, "cap")).alias("rows_capped"))
+    for table, col in CAP_COLUMNS:
+        counts = value_counts(getattr(t, table).dropDuplicates(), col)
+        cap = quantiles_of_counts(counts, [S.CAP_QUANTILE], ["cap"])
+        n = counts.agg(_rows_above(scalar(cap, "cap")).alias("rows_capped"))
         out.append(one_row(cap, n).select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
                                            F.round("cap", ROUND_DIGITS).alias("cap_value"), "rows_capped"))
     return _union(out)
@@ -114,29 +111,41 @@ def cap_at_p99(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 def impute_median(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """The CSAT fill value (median truncated to an integer) and how many NULLs it fills."""
-    tk = deduplicated(t).support_tickets
-    med = exact_quantiles(tk, "satisfaction_score", [0.5], ["m"], distinct_source=t.support_tickets)
+    tk = t.support_tickets.dropDuplicates()
+    med = exact_quantiles(tk, "satisfaction_score", [0.5], ["m"])
     n = tk.agg(count_when(C("satisfaction_score").isNull()).alias("imputed_count"))
     return one_row(med, n).select(C("m").cast("long").alias("median_csat"), "imputed_count")
 
 
-def clean_tables(t: Tables) -> Tables:
-    """Deduplicated tables with session minutes and event seconds capped at p99
-    (DOUBLE: the cap may be fractional) and NULL CSAT filled with the truncated median."""
-    src = deduplicated(t)
-    caps = _caps(src, t)
+def _capped(df: DataFrame, col: str) -> DataFrame:
+    """Without repeated rows, ``col`` capped at its p99 (DOUBLE: the cap may be fractional)."""
+    df = df.dropDuplicates()
+    cap = scalar(exact_quantiles(df, col, [S.CAP_QUANTILE], ["cap"]), "cap")
+    v = C(col).cast("double")
+    return df.withColumn(col, F.when(v > cap, cap).otherwise(v))
+
+
+def clean_sessions(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    """The cleaned sessions: repeated rows dropped, minutes capped at p99."""
+    return _capped(t.user_sessions, "session_duration_minutes")
+
 
-    def capped(df, col, cap):
-        v, c = C(col).cast("double"), scalar(cap, "cap")
-        return df.withColumn(col, F.when(v > c, c).otherwise(v))
+def clean_events(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    """The cleaned events: repeated rows dropped, seconds capped at p99."""
+    return _capped(t.feature_events, "time_spent_seconds")
 
-    sess = capped(src.user_sessions, "session_duration_minutes", caps["user_sessions.session_duration_minutes"])
-    ev = capped(src.feature_events, "time_spent_seconds", caps["feature_events.time_spent_seconds"])
-    med = exact_quantiles(src.support_tickets, "satisfaction_score", [0.5], ["m"],
-                          distinct_source=t.support_tickets)
-    tk = src.support_tickets.withColumn(
-        "satisfaction_score", F.coalesce(C("satisfaction_score"), scalar(med, "m").cast("int")))
-    return Tables(src.users, src.subscriptions, sess, src.transactions, tk, ev)
+
+def clean_tickets(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    """The cleaned tickets: repeated rows dropped, NULL CSAT filled with the truncated median."""
+    tk = t.support_tickets.dropDuplicates()
+    med = scalar(exact_quantiles(tk, "satisfaction_score", [0.5], ["m"]), "m")
+    return tk.withColumn("satisfaction_score", F.coalesce(C("satisfaction_score"), med.cast("int")))
+
+
+def clean_tables(t: Tables) -> Tables:
+    """All six tables after cleaning."""
+    src = deduplicated(t)
+    return Tables(src.users, src.subscriptions, clean_sessions(t), src.transactions, clean_tickets(t), clean_events(t))
 
 
 def constraint_audit(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
@@ -180,6 +189,9 @@ PLANS = {
     "iqr_outliers": iqr_outliers,
     "cap_at_p99": cap_at_p99,
     "impute_median": impute_median,
+    "clean_sessions": clean_sessions,
+    "clean_events": clean_events,
+    "clean_tickets": clean_tickets,
     "constraint_audit": constraint_audit,
     "table_row_counts": table_row_counts,
 }

@@ -11,26 +11,18 @@ from subscope.sources.binding import Tables, bind
 
 
 def _plans() -> dict[str, Callable[..., DataFrame]]:
-    from subscope.plans import queries
+    from subscope.plans import churn, kpis, proactive, quality, queries, segments, transfers
     out = dict(queries.QUERIES)
-    for mod_name in ("kpis", "quality", "churn", "segments", "proactive"):
-        try:
-            mod = __import__(f"subscope.plans.{mod_name}", fromlist=["PLANS"])
-        except ImportError:  # module not written yet
-            continue
-        out.update(getattr(mod, "PLANS"))
+    for module in (kpis, quality, churn, segments, proactive, transfers):
+        out.update(module.PLANS)
     return out
 
 
 def _sql(p: Period) -> dict[str, str]:
-    from subscope.oracle import queries_sql
+    from subscope.oracle import churn_sql, kpis_sql, proactive_sql, quality_sql, queries_sql, segments_sql, transfers_sql
     out = dict(queries_sql.query_sql(p))
-    for mod_name in ("kpis_sql", "quality_sql", "churn_sql", "segments_sql", "proactive_sql"):
-        try:
-            mod = __import__(f"subscope.oracle.{mod_name}", fromlist=["sql"])
-        except ImportError:
-            continue
-        out.update(mod.sql(p))
+    for module in (kpis_sql, quality_sql, churn_sql, segments_sql, proactive_sql, transfers_sql):
+        out.update(module.sql(p))
     return out
 
 

@@ -80,13 +80,7 @@ CSV_DROPPED_KEYS = {k: v for k, v in PRIMARY_KEYS.items() if k != "users"}
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's (domains and labels).
 # ---------------------------------------------------------------------------
-PLANS = ["Free", "Pro", "Enterprise"]
-CHANNELS = ["Organic Search", "Google Ads", "LinkedIn", "Referral", "Email Campaign"]
 FEATURES = ["Dashboard", "Reports", "Export", "Settings", "Search", "Integrations"]
-SUPPORT_CATEGORIES = ["Billing", "Technical", "Account", "FeatureRequest"]
-SUBSCRIPTION_STATUSES = ["Active", "Churned", "Expired"]
-TRANSACTION_STATUSES = ["Success", "Failed", "Refunded"]
-EXPERIMENT_GROUPS = ["A", "B"]
 FUNNEL_STAGES = ["Signup", "Email Verification", "First Login", "Feature Adoption",
                  "Subscription", "Renewal"]
 LOGIN_STAGES = ["First Login", "Feature Adoption", "Subscription", "Renewal"]

@@ -39,18 +39,18 @@ _LOCAL_CKPT: dict = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it. Only when it is unset
-    (tests, a laptop) is a local folder created, once per SparkContext, and
-    registered with ``setCheckpointDir`` (a core config cannot be set at run time).
+    Uses ``spark.checkpoint.dir`` when the cluster sets it, or else the folder a program has
+    given to ``setCheckpointDir``. Only on a local master (tests, a laptop) is a local folder
+    created instead, once per SparkContext; on a cluster the executors would each write to
+    their own disk, so there it is an error.
     """
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    key = sc.applicationId
+    path = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_CKPT.get(key) or sc.getCheckpointDir()
     if not path:
-        key = id(sc._jsc)
-        path = _LOCAL_CKPT.get(key)
-        if path is None:
-            path = tempfile.mkdtemp(prefix="subscope-ckpt-")
-            _LOCAL_CKPT[key] = path
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _LOCAL_CKPT[key] = tempfile.mkdtemp(prefix="subscope-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path

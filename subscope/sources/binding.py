@@ -3,8 +3,7 @@
 Every column is a deterministic expression of driver columns, the same text as
 the oracle's binding CTEs (``subscope.oracle.binding``). All of it is lazy: the
 result is six DataFrames whose plans Catalyst prunes and pushes down into the
-parquet scans. The date limit is written as a range on the raw timestamp so
-that it reaches the scan as a pushed filter.
+parquet scans. Every row of the driver tables is bound, whatever its date.
 """
 
 from __future__ import annotations
@@ -58,10 +57,6 @@ SECOND_SUB_EVERY = 29
 SECOND_SUB_OFFSET = 10000000
 
 
-def _ts_before(d) -> F.Column:
-    return F.expr(f"TIMESTAMP_NTZ '{d.isoformat()} 00:00:00'")
-
-
 def _case(col: F.Column, pairs, other) -> F.Column:
     e = None
     for k, v in pairs:
@@ -73,9 +68,8 @@ def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bind_sessions(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD) -> DataFrame:
+def bind_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = (read_driver(spark, sf_dir, "lineitem")
-          .where(F.col("l_shipdate") < _ts_before(period.data_end_exclusive))
           .select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate"))
     o = read_driver(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
@@ -121,8 +115,11 @@ def _user_base(spark: SparkSession, sf_dir: str, first_last: DataFrame) -> DataF
     )
 
 
-def bind(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD) -> Tables:
-    sessions = bind_sessions(spark, sf_dir, period)
+def bind(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD,
+         sessions: DataFrame | None = None) -> Tables:
+    """The six tables; ``sessions``: bound sessions that are written already."""
+    if sessions is None:
+        sessions = bind_sessions(spark, sf_dir)
     base = _user_base(spark, sf_dir, _first_last_session(sessions))
     users = base.select("user_id", "signup_date", "signup_channel", "age", "country",
                         "experiment_group", "funnel_stage")
@@ -143,8 +140,7 @@ def bind(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD) -> T
         F.lit(None).cast("date").alias("end_date"), F.lit("Active").alias("status")))
     subscriptions = first_sub.unionByName(second_sub)
 
-    orders = (read_driver(spark, sf_dir, "orders")
-              .where(F.col("o_orderdate") < _ts_before(period.data_end_exclusive)))
+    orders = read_driver(spark, sf_dir, "orders")
     transactions = orders.select(
         F.col("o_orderkey").alias("transaction_id"),
         F.col("o_custkey").alias("user_id"),

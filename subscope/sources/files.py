@@ -61,21 +61,22 @@ def read_tables_parquet(spark: SparkSession, path: str) -> Tables:
     return Tables(*(spark.read.schema(S.SCHEMAS[n]).parquet(f"{path}/{n}") for n in TABLE_ORDER))
 
 
-def load_tables(sources: list[tuple[str, Callable[[], Tables]]]) -> tuple[Tables | None, str | bool]:
-    """First source that resolves wins; returns (tables, its label), or (None, False).
+def load_tables(sources: list[tuple[str, Callable[[], Tables]]]) -> tuple[Tables | None, str | bool, dict[str, str]]:
+    """First source that resolves wins: (tables, its label, reasons), or (None, False, reasons).
 
-    A source resolves when its six tables can be planned (paths exist, schemas
-    apply). Nothing is read beyond file listing.
+    A source resolves when its six tables can be planned (paths exist, schemas apply); nothing
+    is read beyond file listing. ``reasons`` tells for each source before it what was wrong.
     """
+    reasons: dict[str, str] = {}
     for label, make in sources:
         try:
             t = make()
             for df in t.as_dict().values():
                 df.schema  # noqa: B018 - forces analysis
-            return t, label
-        except Exception:  # noqa: BLE001 - a failing source falls through to the next
-            continue
-    return None, False
+            return t, label, reasons
+        except Exception as e:  # noqa: BLE001 - a failing source falls through to the next, on record
+            reasons[label] = f"{type(e).__name__}: {str(e)[:500]}"
+    return None, False, reasons
 
 
 # ---------------------------------------------------------------- metric outputs

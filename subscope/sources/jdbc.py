@@ -17,9 +17,18 @@ from subscope.sources.files import TABLE_ORDER
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str = "user_id",
-              lower: int = 0, upper: int = 1, num_partitions: int = 8,
+              lower: int | None = None, upper: int | None = None, num_partitions: int = 8,
               properties: dict | None = None) -> DataFrame:
+    """``table`` in ``num_partitions`` ranges of ``partition_column``; bounds that are not given are
+    the column's MIN and MAX, which the database answers."""
     props = dict(properties or {})
+    if lower is None or upper is None:
+        ends = spark.read.jdbc(url, f"(SELECT MIN({partition_column}) lo, MAX({partition_column}) hi FROM {table}) ends",
+                               properties=props).first()
+        lower = ends[0] if lower is None else lower
+        upper = ends[1] if upper is None else upper
+        if lower is None or upper is None:  # no row, or none with a value
+            return spark.read.jdbc(url, table, properties=props)
     return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper,
                            numPartitions=num_partitions, properties=props)
 

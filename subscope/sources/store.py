@@ -1,15 +1,15 @@
-"""The six bound tables, written once to the shared checkpoint folder.
-
-Binding derives the model from the driver tables (a lineitem x orders join and
-per-user aggregates); every query needs some of it. Writing the six tables once
-as Parquet under ``spark.checkpoint.dir`` turns that into a scan with pushed
-filters and pruned columns for every later query, and cuts the lineage: a lost
-executor re-reads the written table instead of re-running the binding.
-
-The store key covers the input files (path, size, modification time), the
-period and the binding code, so a changed input or binding never reads a stale
-store. The store is published by renaming a complete staging folder, so it either
-exists whole or not at all.
+"""The six bound tables, each written once to the shared checkpoint folder when first used.
+
+Binding derives the model from the driver tables (a lineitem x orders join and per-user
+aggregates). A table is written as Parquet under ``spark.checkpoint.dir`` the first time a
+query asks for it, and only then; ``users`` and ``subscriptions`` are derived from the
+written sessions. Every later query scans files with pushed filters and pruned columns, and
+the lineage ends there: a lost executor re-reads the files.
+
+The store's key covers every input file (path, size, modification time, at any depth), the
+period and the binding code, so a changed input or binding never reads a stale store. A
+writer fills a folder of its own and marks it published as its last step; readers take only
+marked folders. Two writers leave two whole folders, of which any reader takes one.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from __future__ import annotations
 import hashlib
 import inspect
 import uuid
+from functools import cached_property
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.schema import SCHEMAS
@@ -27,15 +28,16 @@ from subscope.sources import binding
 from subscope.sources.binding import Tables, bind
 
 DRIVER_TABLES = ["customer", "nation", "orders", "lineitem", "events"]
-STORE_LAYOUT = 2  # bump when the written layout changes: older stores are not reused
+STORE_LAYOUT = 3  # bump when the written layout changes: older stores are not reused
 DATE_ORDER = {"user_sessions": "session_date", "transactions": "transaction_date",
               "support_tickets": "ticket_date", "feature_events": "event_time"}
+FROM_SESSIONS = ("users", "subscriptions")
+_PUBLISHED = "_PUBLISHED"
 _MEMO: dict = {}
 
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
@@ -53,9 +55,13 @@ def _fingerprint(spark: SparkSession, sf_dir: str, period: Period) -> str:
         path = f"{sf_dir}/{name}.parquet"
         p, fs = _fs(spark, path)
         h.update(path.encode())
+        found = []
         if fs.exists(p):
-            for st in fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]:
-                h.update(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}".encode())
+            files = fs.listFiles(p, True)
+            while files.hasNext():
+                st = files.next()
+                found.append(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}")
+        h.update("\n".join(sorted(found)).encode())
     return h.hexdigest()[:20]
 
 
@@ -63,55 +69,81 @@ def store_path(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD
     return f"{checkpoint_dir(spark).rstrip('/')}/subscope-store/{_fingerprint(spark, sf_dir, period)}"
 
 
-def materialize(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD) -> str:
-    """Write the six bound tables unless the store exists; return the store folder.
+def published(spark: SparkSession, root: str, name: str) -> str | None:
+    """The first published folder of ``name`` under ``root``."""
+    p, fs = _fs(spark, f"{root}/{name}")
+    if not fs.exists(p):
+        return None
+    folders = sorted(str(st.getPath()) for st in fs.listStatus(p) if st.isDirectory())
+    return next((f for f in folders if _exists(spark, f"{f}/{_PUBLISHED}")), None)
+
+
+def publish(df: DataFrame, root: str, name: str) -> str:
+    """Write ``df`` to a new folder of ``name`` and mark it published."""
+    folder = f"{root}/{name}/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(folder)
+    p, fs = _fs(df.sparkSession, f"{folder}/{_PUBLISHED}")
+    fs.create(p).close()
+    return folder
+
+
+class StoredTables(Tables):
+    """The six tables; each is written, unless it is published, when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, period: Period, root: str):
+        self.spark, self.sf_dir, self.period, self.root = spark, sf_dir, period, root
+        #: identifies the content: results kept for these tables may be kept under it
+        self.token = root
+
+    def _table(self, name: str) -> DataFrame:
+        folder = published(self.spark, self.root, name)
+        if folder is None:
+            sessions = self.user_sessions if name in FROM_SESSIONS else None
+            df = getattr(bind(self.spark, self.sf_dir, self.period, sessions), name)
+            if name in DATE_ORDER:
+                # date-ordered row groups: Parquet statistics then skip most of a fact table for a
+                # one-month filter. Sorting inside each task needs no shuffle, so a day holding a
+                # third of the rows does not become one task.
+                df = df.sortWithinPartitions(DATE_ORDER[name])
+            folder = publish(df, self.root, name)
+        # the known schema: inferring it would run a job for every table
+        return self.spark.read.schema(SCHEMAS[name]).parquet(folder)
+
+    users = cached_property(lambda self: self._table("users"))
+    subscriptions = cached_property(lambda self: self._table("subscriptions"))
+    user_sessions = cached_property(lambda self: self._table("user_sessions"))
+    transactions = cached_property(lambda self: self._table("transactions"))
+    support_tickets = cached_property(lambda self: self._table("support_tickets"))
+    feature_events = cached_property(lambda self: self._table("feature_events"))
+
 
-    The tables go to a fresh folder that is then renamed into place in one step,
-    so a reader sees either no store or a whole one, even with concurrent writers.
-    """
+def bound_tables(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD) -> Tables:
+    """The six model tables of the store; kept per application for as long as its inputs and its
+    folder are the same."""
     root = store_path(spark, sf_dir, period)
-    if _exists(spark, root):
-        return root
-    staging = f"{root}.staging-{uuid.uuid4().hex}"
-    for name, df in bind(spark, sf_dir, period).as_dict().items():
-        if name in DATE_ORDER:
-            # date-ordered row groups: Parquet min/max statistics then skip most of a fact
-            # table for a one-month filter. Sorting inside each task needs no shuffle, so a
-            # day holding a third of the rows does not become one task.
-            df = df.sortWithinPartitions(DATE_ORDER[name])
-        df.write.mode("errorifexists").parquet(f"{staging}/{name}")
-    src, fs = _fs(spark, staging)
-    dst, _ = _fs(spark, root)
-    if not fs.rename(src, dst) and not fs.exists(dst):
-        raise RuntimeError(f"could not publish the bound-table store at {root}")
-    return root
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _MEMO or not _exists(spark, root):
+        _MEMO[key] = StoredTables(spark, sf_dir, period, root)
+    return _MEMO[key]
 
 
-def bound_tables(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD) -> Tables:
-    """The six model tables read from the store (written first if needed).
-
-    Read with the known schemas (Parquet schema inference would run a job per
-    table) and kept per session: the store is immutable, so its DataFrames are too.
-    """
-    key = (id(spark._jsparkSession), sf_dir, period)
-    hit = _MEMO.get(key)
-    if hit is not None and _exists(spark, hit[0]):
-        return hit[1]
-    root = materialize(spark, sf_dir, period)
-    names = ["users", "subscriptions", "user_sessions", "transactions", "support_tickets", "feature_events"]
-    tables = Tables(*(spark.read.schema(SCHEMAS[n]).parquet(f"{root}/{n}") for n in names))
-    _MEMO[key] = (root, tables)
-    return tables
-
-
-def written(df, tag: str):
-    """Write ``df`` once as Parquet under the shared checkpoint folder and return the
-    read-back frame: later jobs scan the files instead of recomputing the plan, and
-    the lineage ends at the files (an executor loss re-reads them)."""
+def materialize(spark: SparkSession, sf_dir: str, period: Period = DEFAULT_PERIOD) -> str:
+    """Write all six tables that are not published yet; the store's folder."""
+    tables = bound_tables(spark, sf_dir, period)
+    for df in tables.as_dict().values():
+        df.schema  # noqa: B018 - asking for a table writes it
+    return tables.root
+
+
+def written(df: DataFrame, tag: str, token: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet under the shared checkpoint folder, read back: later jobs scan
+    the files, and the lineage ends there. With ``token``, which must identify the content, a
+    folder published before is used again."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/subscope-tmp/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/subscope-tmp"
+    name = tag if token is None else f"{tag}-{hashlib.sha1(token.encode()).hexdigest()[:20]}"
+    folder = published(spark, root, name) if token is not None else None
+    return spark.read.schema(df.schema).parquet(folder or publish(df, root, name))
 
 
 def purge_intermediates(spark: SparkSession) -> bool:

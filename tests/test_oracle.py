@@ -47,7 +47,7 @@ def test_lazy_binding_equals_store(spark, duck_small):
 
 
 EMPTY = Period(month_start=dt.date(1990, 1, 1), month_end=dt.date(1990, 1, 31),
-               dau_start=dt.date(1990, 1, 17), as_of=dt.date(1990, 1, 31), data_end=dt.date(1990, 1, 31))
+               dau_start=dt.date(1990, 1, 17), as_of=dt.date(1990, 1, 31))
 with unbound():
     SQL_EMPTY = registry.oracle_sql(EMPTY)
 

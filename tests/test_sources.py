@@ -3,6 +3,8 @@ metric and coefficient files, and the query-catalog runner."""
 
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from subscope import schema as S
@@ -46,13 +48,14 @@ def test_parquet_round_trip(spark, fixture_tables):
 def test_fallback_loader(spark, fixture_tables):
     d = _tmp()
     files.write_tables_csv(fixture_tables, d)
-    t, label = files.load_tables([
+    t, label, reasons = files.load_tables([
         ("Parquet store", lambda: files.read_tables_parquet(spark, "/tmp/subscope-does-not-exist")),
         ("CSV Backup", lambda: files.read_tables_csv(spark, d)),
     ])
+    assert list(reasons) == ["Parquet store"] and "subscope-does-not-exist" in reasons["Parquet store"]
     assert label == "CSV Backup" and t.users.count() == fixture_tables.users.count()
-    t, label = files.load_tables([("nothing", lambda: files.read_tables_csv(spark, "/tmp/subscope-nope"))])
-    assert t is None and label is False
+    t, label, reasons = files.load_tables([("nothing", lambda: files.read_tables_csv(spark, "/tmp/subscope-nope"))])
+    assert t is None and label is False and list(reasons) == ["nothing"]
 
 
 def test_metric_tables_round_trip(spark):
@@ -112,3 +115,61 @@ def test_catalog_runs_every_registered_query(spark):
     failed = [(r["name"], r["error"]) for r in rows if r["status"] != "ok"]
     assert not failed, failed
     assert all(r["row_count"] is not None for r in rows)  # some are legitimately empty at sf0.001
+
+
+def _copy_tables(src, names):
+    import shutil
+    d = tempfile.mkdtemp(prefix="subscope-in-", dir="/tmp")
+    for n in names:
+        shutil.copy(f"{src}/{n}.parquet", f"{d}/{n}.parquet")
+    return d
+
+
+def test_store_follows_its_inputs_and_writes_only_what_is_asked(spark):
+    from subscope.sources import store
+    d = _copy_tables(SF_SMALL, store.DRIVER_TABLES)
+    t = store.bound_tables(spark, d)
+    n = t.users.count()
+    assert store.published(spark, t.root, "users") and store.published(spark, t.root, "user_sessions")
+    assert all(store.published(spark, t.root, x) is None for x in ("transactions", "support_tickets", "feature_events"))
+    assert store.bound_tables(spark, d) is t
+    spark.read.parquet(f"{SF_SMALL}/customer.parquet").limit(50).toPandas().to_parquet(f"{d}/customer.parquet")
+    assert store.bound_tables(spark, d).users.count() == 50 < n
+
+
+def test_store_takes_one_of_two_writers_and_no_half_written_folder(spark):
+    from subscope.sources import store
+    root = tempfile.mkdtemp(prefix="subscope-pub-", dir="/tmp")
+    df = spark.range(7)
+    df.write.parquet(f"{root}/x/0-not-marked")
+    assert store.published(spark, root, "x") is None
+    store.publish(df, root, "x")
+    store.publish(df, root, "x")
+    assert spark.read.parquet(store.published(spark, root, "x")).count() == 7
+
+
+def test_store_sees_files_of_nested_folders(spark):
+    from subscope.sources import store
+    d = _copy_tables(SF_SMALL, [n for n in store.DRIVER_TABLES if n != "events"])
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    events.write.partitionBy("event_type").parquet(f"{d}/events.parquet")
+    first = store.store_path(spark, d)
+    events.limit(3).write.mode("append").partitionBy("event_type").parquet(f"{d}/events.parquet")
+    assert store.store_path(spark, d) != first
+
+
+def test_written_again_by_content(spark):
+    from subscope.sources.store import purge_intermediates, written
+    a, b = written(spark.range(3), "again", "content 1"), written(spark.range(4), "again", "content 1")
+    assert a.count() == b.count() == 3 and written(spark.range(4), "again", "content 2").count() == 4
+    assert purge_intermediates(spark)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    import types
+
+    from subscope import session
+    context = types.SimpleNamespace(applicationId="none", master="spark://somewhere:7077", getCheckpointDir=lambda: None)
+    fake = types.SimpleNamespace(sparkContext=context, conf=types.SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(fake)
