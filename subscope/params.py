@@ -14,7 +14,8 @@ class Period:
     ``dau_start``: first day of the daily-active window (ends at ``month_end``).
     ``as_of``: the day recency is measured from, the last day of the data.
     ``first_month``/``last_month``: months that signups and activity fall in; they name the
-    columns of the cohort matrix.
+    columns of the cohort matrix, from ``first_offset`` months after signup (below 0: activity
+    before signup is expected) to the whole span.
     """
 
     month_start: dt.date = dt.date(2001, 6, 1)
@@ -23,6 +24,7 @@ class Period:
     as_of: dt.date = dt.date(2001, 11, 4)
     first_month: dt.date = dt.date(1994, 11, 1)
     last_month: dt.date = dt.date(2001, 11, 1)
+    first_offset: int = 0
 
     @property
     def month(self) -> str:
@@ -32,7 +34,7 @@ class Period:
     def cohort_periods(self) -> range:
         """Months from a signup to an activity that the declared months allow."""
         span = (self.last_month.year - self.first_month.year) * 12 + self.last_month.month - self.first_month.month
-        return range(span + 1)
+        return range(self.first_offset, span + 1)
 
     @property
     def calendar_month(self) -> tuple[dt.date, dt.date]:

@@ -183,7 +183,7 @@ def cohort_retention_matrix(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     k = C("cohort_period")
     allowed = k.between(p.cohort_periods[0], p.cohort_periods[-1])
     inside = F.when(allowed, F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("activity outside Period.first_month..last_month, period "), k.cast("string"))).cast("boolean"))
+        F.raise_error(F.concat(F.lit("activity outside the Period's cohort months, period "), k.cast("string"))).cast("boolean"))
     return cohort_retention_long(t, p).where(inside).groupBy("signup_cohort").agg(
         *[F.max(F.when(k == i, C("retention_pct"))).alias(str(i)) for i in p.cohort_periods])
 

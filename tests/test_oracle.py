@@ -22,14 +22,16 @@ def test_driver_tables(spark, duck_small, name):
     assert ok, msg
 
 
+#: the hand-made users have activity before their signup
+FIXTURE_PERIOD = Period(first_offset=-12)
 with unbound():
-    SQL_UNBOUND = registry.oracle_sql()
+    SQL_UNBOUND = registry.oracle_sql(FIXTURE_PERIOD)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_hand_made_fixtures(fixture_pair, name):
     tables, con = fixture_pair
-    ok, msg = compare(registry.PLANS[name](tables), con, SQL_UNBOUND[name])
+    ok, msg = compare(registry.PLANS[name](tables, FIXTURE_PERIOD), con, SQL_UNBOUND[name])
     assert ok, msg
 
 
@@ -46,7 +48,13 @@ def test_lazy_binding_equals_store(spark, duck_small):
         assert ok, (name, msg)
 
 
-EMPTY = Period(month_start=dt.date(1990, 1, 1), month_end=dt.date(1990, 1, 31),
+def test_cohort_matrix_rejects_periods_it_has_no_column_for(spark):
+    tables = registry.tables_for(spark, SF_SMALL)
+    with pytest.raises(Exception, match="cohort months"):
+        registry.PLANS["cohort_retention_matrix"](tables, Period(first_offset=1)).collect()
+
+
+EMPTY = Period(first_offset=-12, month_start=dt.date(1990, 1, 1), month_end=dt.date(1990, 1, 31),
                dau_start=dt.date(1990, 1, 17), as_of=dt.date(1990, 1, 31))
 with unbound():
     SQL_EMPTY = registry.oracle_sql(EMPTY)
