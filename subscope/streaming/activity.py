@@ -3,32 +3,23 @@
 * ``daily_active_users_stream``: exact DAU per event-time day. (user, day) pairs
   are deduplicated with state bounded by the watermark, then counted per
   1-day window; a day is emitted once the watermark passes its end (append).
-* ``inactivity_alerts_stream``: the "no login for N days" alert. Per-user state
-  holds the last session time; an event-time timeout fires when the watermark
-  passes last session + N days, and the alert is emitted then. Arrow-batched
-  ``applyInPandasWithState``: one small pandas frame per user and trigger.
+* ``inactivity_alerts_stream``: the "no login for N days" alert. A session window
+  of N days per user goes on while the user comes back in time; once the
+  watermark passes its end, N days after the last session, it is emitted as the
+  alert (append). Every idle period gives one alert, whether or not the user
+  came back since, so the result does not depend on how the input falls into
+  triggers. It is all built-in state, without Python.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from subscope import schema as S
 
-ALERT_SCHEMA = T.StructType([
-    T.StructField("user_id", T.LongType()),
-    T.StructField("last_session", T.TimestampType()),
-    T.StructField("alert_after", T.TimestampType()),
-])
-STATE_SCHEMA = T.StructType([T.StructField("last_ms", T.LongType())])
-
-
 def session_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Sessions arriving as Parquet files in a folder (schema given, never inferred)."""
     r = spark.readStream.schema(S.USER_SESSIONS)
@@ -51,34 +42,12 @@ def daily_active_users_stream(sessions: DataFrame, lateness: str = "2 days") ->
 
 
 def inactivity_alerts_stream(sessions: DataFrame, gap_days: int = 10, lateness: str = "1 day") -> DataFrame:
-    gap_ms = gap_days * 86_400_000
-
-    def track(key, frames, state):
-        if state.hasTimedOut:
-            (last_ms,) = state.get
-            state.remove()
-            last = pd.Timestamp(last_ms, unit="ms")
-            yield pd.DataFrame({"user_id": [key[0]], "last_session": [last],
-                                "alert_after": [last + pd.Timedelta(days=gap_days)]})
-            return
-        newest = None
-        for f in frames:
-            if len(f):
-                m = int(pd.to_datetime(f["ts"]).max().value // 1_000_000)
-                newest = m if newest is None else max(newest, m)
-        if state.exists:
-            (prev,) = state.get
-            newest = prev if newest is None else max(prev, newest)
-        if newest is not None:
-            state.update((newest,))
-            state.setTimeoutTimestamp(newest + gap_ms)
-        yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"),
-                            "last_session": pd.Series([], dtype="datetime64[ns]"),
-                            "alert_after": pd.Series([], dtype="datetime64[ns]")})
-
     ev = _event_time(sessions).withWatermark("ts", lateness)
-    return ev.groupBy("user_id").applyInPandasWithState(
-        track, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    # a session exactly gap_days after the last one still continues the window
+    gap = F.session_window("ts", f"{gap_days} days 1 microsecond")
+    return (ev.groupBy("user_id", gap.alias("active")).agg(F.max("ts").alias("last_session"))
+            .select("user_id", "last_session",
+                    (F.col("last_session") + F.expr(f"INTERVAL {gap_days} DAYS")).alias("alert_after")))
 
 
 def batch_inactivity(sessions: DataFrame, watermark: dt.datetime, gap_days: int) -> DataFrame:

@@ -5,6 +5,7 @@ import tempfile
 
 from subscope import schema as S
 from subscope.streaming import daily_active_users_stream, inactivity_alerts_stream, session_stream
+from subscope.streaming.activity import batch_inactivity
 
 D = dt.date
 
@@ -28,14 +29,18 @@ def test_stream_dau_and_alerts(spark):
             q1.processAllAvailable()
             q2.processAllAvailable()
         dau = {r.session_date: r.dau for r in spark.sql("select * from t_dau").collect()}
-        alerts = sorted(r.user_id for r in spark.sql("select * from t_alerts").collect())
+        alerts = sorted((r.user_id, r.last_session.date()) for r in spark.sql("select * from t_alerts").collect())
+        late = sorted(r.user_id for r in batch_inactivity(spark.read.schema(S.USER_SESSIONS).parquet(src), dt.datetime(2001, 6, 27), 10).collect())
     finally:
         q1.stop()
         q2.stop()
     # days closed by the watermark (max 6/28 - 2 days): exact distinct users per day
     assert dau == {D(2001, 6, 1): 1, D(2001, 6, 2): 1, D(2001, 6, 3): 1, D(2001, 6, 20): 1, D(2001, 6, 25): 1}
-    # watermark 6/27: users 1 (last 6/1) and 3 (last 6/3) passed 10 idle days; 2 (6/20) and 4 not
-    assert alerts == [1, 3]
+    # watermark 6/27: users 1 (last 6/1) and 3 (last 6/3) passed 10 idle days, and user 2 did before
+    # coming back on 6/20; user 4 did not
+    assert alerts == [(1, D(2001, 6, 1)), (2, D(2001, 6, 2)), (3, D(2001, 6, 3))]
+    # those still idle are the batch definition's users
+    assert [u for u, last in alerts if (u, last) != (2, D(2001, 6, 2))] == late == [1, 3]
 
 
 def test_stream_dau_equals_batch_on_driver_sessions(spark):
