@@ -104,6 +104,14 @@ def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         start = end
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, without a copy: what a task makes of a slice's texts is small and goes
+    before the next slice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def keep_rows(df: DataFrame, text_col: str, decider: Callable[[], Callable[[list], object]]) -> DataFrame:
     """Rows of ``df``, all columns, whose text passes. ``decider()`` makes, once a task, the function
     from a list of texts (None for null) to booleans."""
@@ -111,7 +119,7 @@ def keep_rows(df: DataFrame, text_col: str, decider: Callable[[], Callable[[list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = decider()
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(decide(batch.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subscope.llm.common import cut, keep_rows, keyed
+from subscope.llm.common import cut, keep_rows, keyed, sliced
 
 NONE = "und"
 #: characters of an n-gram; a word's ends count as a space
@@ -43,7 +43,7 @@ SHARE = 0.2
 #: a filter keeps texts of which a language covers at least this share of the n-grams
 COVER = 0.25
 #: characters looked up at once; n-grams that a task keeps counted before it hands them on
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 HELD = 2_000_000
 
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -182,7 +182,7 @@ def ngram_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([names, pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
             held.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(text)
@@ -222,7 +222,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter, model = letters(), Model(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             names, score, cover = model.predict(batch.column(1).to_pylist(), letter)
             arrays = [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(cover)]
             yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[2:]], ["doc_id", "lang_pred", "score", "cover", *extra])

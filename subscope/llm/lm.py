@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subscope.llm.common import blocks, cut, keyed
+from subscope.llm.common import blocks, cut, keyed, sliced
 
 #: tokens whose counts travel to the tasks, at most, and the longest of them in bytes
 KNOWN = 1 << 18
@@ -263,7 +263,7 @@ def score(df: DataFrame, learning: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, base, p = shared.value
         of = ids.get
-        for batch in batches:
+        for batch in sliced(batches):
             parts, lengths, rare_of, rare_tokens, rare_times = [], [], [0], [], []
             for text in batch.column(1).cast(pa.large_binary()):
                 rare, length = Counter(), 0

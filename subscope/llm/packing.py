@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subscope.llm.common import cut, keyed
+from subscope.llm.common import cut, keyed, sliced
 from subscope.llm.word_bpe import Encoder
 
 CAPACITY = 2048
@@ -51,7 +51,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
         end = np.array([END], "<u4").tobytes()
-        for batch in batches:
+        for batch in sliced(batches):
             rows, cols = [], ([], [], [], [], [])
             for row, text in enumerate(batch.column(1)):
                 ids = encoder.encode(text.as_py()) + end

@@ -61,6 +61,12 @@ class Pieces:
             if "\n" in self.text[piece] or SPACE in self.text[piece].lstrip(SPACE):
                 raise ValueError(f"words cannot be cut around the piece {self.text[piece]!r}")
         self.scores = {self.text[i]: float(self.score[i]) for i in usual}
+        # lengths of the pieces that end in two given characters, longest first
+        ends: dict[str, set[int]] = {}
+        for piece in usual:
+            if len(self.text[piece]) > 1:
+                ends.setdefault(self.text[piece][-2:], set()).add(len(self.text[piece]))
+        self.lengths = {two: sorted(found, reverse=True) for two, found in ends.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
 
     def _merged(self, symbols: list[str]) -> list[str]:
@@ -93,10 +99,18 @@ class Pieces:
     def step(self, word: str, end: int, score: list[float], last: list[int]) -> int:
         """Extend the forward pass to the prefix that ends at ``end``; returns the last piece's length."""
         best, piece, length = -np.inf, UNKNOWN, 1
-        for n in range(1, min(end, self.longest) + 1):
-            found = self.id.get(word[end - n:end])
-            if found is not None and score[end - n] + self.score[found] > best and self.follows(last[end - n], found):
-                best, piece, length = score[end - n] + self.score[found], found, n
+        for n in [*self.lengths.get(word[end - 2:end], ()), 1] if end > 1 else [1]:
+            if n > end:
+                continue
+            part = word[end - n:end]
+            found = self.id.get(part)
+            if found is None:
+                continue
+            total = score[end - n] + self.scores[part]
+            if total > best and self.follows(last[end - n], found):
+                best, piece, length = total, found, n
+                if self.bpe:  # no second one may follow
+                    break
         score.append(best if piece != UNKNOWN else score[end - 1] + self.unknown_score)
         last.append(piece)
         return length

@@ -20,15 +20,16 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subscope.llm.common import keyed
+from subscope.llm.common import keyed, sliced
 from subscope.llm.piece_model import SPACE, UNKNOWN, Pieces, groups
 
 #: words kept encoded before a group of new texts, and the longest of them
-CACHE = 400_000
+CACHE = 300_000
 LONGEST = 64
 #: groups of fewer words, and longer words, go one by one
 FEW = 16
@@ -88,11 +89,14 @@ class Codec:
         last = np.full(score.shape, UNKNOWN, np.int64)
         length = np.ones(score.shape, np.int64)
         for end in range(1, n + 1):
-            for size in range(1, min(end, p.longest) + 1):
-                h = hashes[:, end] - hashes[:, end - size] * self.powers[size - 1]
+            rest = np.arange(len(same_length))
+            for size in range(min(end, p.longest), 0, -1):
+                if p.bpe:  # where a piece may follow, no second one may
+                    rest = rest[np.isneginf(score[rest, end])]
+                h = hashes[rest, end] - hashes[rest, end - size] * self.powers[size - 1]
                 at = np.searchsorted(self.keys, h).clip(max=len(self.keys) - 1)
-                rows = np.flatnonzero(self.keys[at] == h)
-                piece = self.key_ids[at[rows]]
+                hit = self.keys[at] == h
+                rows, piece = rest[hit], self.key_ids[at[hit]]
                 total = score[rows, end - size] + p.score[piece]
                 better = total > score[rows, end]
                 if p.bpe:
@@ -113,13 +117,15 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        out, kept = [], self.cache
+        out = []
         for group in groups(texts):
-            if len(kept) > CACHE:
-                kept.clear()
-            self.learn({w for text in group for w in text if w not in kept})
+            needed = {w for text in group for w in text}
+            if len(self.cache) > CACHE:  # the words of these texts, frequent ones among them, stay
+                self.cache = {w: self.cache[w] for w in needed if w in self.cache}
+            kept = self.cache
+            self.learn({w for w in needed if w not in kept})
             out += [np.frombuffer(b"".join(map(kept.__getitem__, text)), "<i4") for text in group]
-            for long in {w for text in group for w in text if len(w) > LONGEST}:
+            for long in [w for w in needed if len(w) > LONGEST]:
                 del kept[long]
         return out
 
@@ -136,7 +142,7 @@ def encode(df: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model, kind)
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             found = codec.encode(batch.column(1).to_pylist())
             offsets = np.cumsum([0, *map(len, found)])
             flat = pa.array(np.concatenate([np.zeros(0, "<i4"), *found]))
@@ -151,8 +157,9 @@ def encode(df: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id",
 def decode(df: DataFrame, model: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """``df`` with the ids' text in column ``to``; null ids give null."""
     @F.pandas_udf("string")
-    def text(ids):
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(model)
-        return ids.map(lambda row: None if row is None else codec.decode(row.tolist()))
+        for ids in batches:
+            yield ids.map(lambda row: None if row is None else codec.decode(row.tolist()))
 
     return df.withColumn(to, text(ids_col))

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from subscope.llm.common import keyed
+from subscope.llm.common import keyed, sliced
 from subscope.llm.piece_model import UNKNOWN, Pieces, groups
 
 #: counts kept before a group of new texts, and the longest pre-token among them
-CACHE = 600_000
+CACHE = 400_000
 LONGEST = 64
 
 
@@ -56,15 +56,16 @@ def token_counts(df: DataFrame, model: str, kind: str = "bpe", id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, kept = Pieces(model, kind), {}
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             n_words, n_tokens = [], []
             for group in groups(batch.column(1).to_pylist()):
-                if len(kept) > CACHE:
-                    kept.clear()
-                kept.update(trie_counts(pieces, {w for text in group for w in text if w not in kept}))
+                needed = {w for text in group for w in text}
+                if len(kept) > CACHE:  # the words of these texts, frequent ones among them, stay
+                    kept = {w: kept[w] for w in needed if w in kept}
+                kept.update(trie_counts(pieces, {w for w in needed if w not in kept}))
                 n_words += map(len, group)
                 n_tokens += [sum(map(kept.__getitem__, text)) for text in group]
-                for long in {w for text in group for w in text if len(w) > LONGEST}:
+                for long in [w for w in needed if len(w) > LONGEST]:
                     del kept[long]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())],
                                              ["doc_id", "n_words", "n_tokens"])

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subscope.llm.common import blocks, keep_rows, keyed
+from subscope.llm.common import blocks, keep_rows, keyed, sliced
 
 #: bounds of the learning sample, by label
 DOCS = {0: 12_000, 1: 4_000}
@@ -181,7 +181,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors() if model.weights is not None else None
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t.as_py() for t in batch.column(1).cast(pa.large_binary())]
             scores = pa.array(model.score(texts, compressors), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores, *batch.columns[2:]], ["doc_id", "score", *extra])

@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-#: chunks and words kept at once; the memory bound of a task (about 100 bytes each)
-CACHE = 600_000
+#: chunks and words kept at once; the memory bound of a task (about 200 bytes each)
+CACHE = {"chunks": 200_000, "words": 400_000}
 #: longer chunks are not kept
 LONGEST = 64
 #: visible ASCII and Latin letters without compositions: no normalisation beyond lower case
@@ -36,7 +36,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         shown = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
         ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        if len(self) >= CACHE:
+        if len(self) >= CACHE["words"]:
             self.clear()
         if len(word) <= LONGEST:
             self[word] = ids
@@ -52,7 +52,7 @@ class _Chunks(dict):
             ids = b"".join(map(self.words.__getitem__, _PRE_TOKEN.findall(chunk.lower())))
         else:
             ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE:
+        if len(self) >= CACHE["chunks"]:
             self.clear()
         if len(chunk) <= LONGEST:
             self[chunk] = ids
