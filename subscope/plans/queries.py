@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from subscope import schema as S
 from subscope.functions import (age_band, churned_flag, count_when, half_up, half_up_money,
                                 in_calendar_month, lit_date, month_key, month_start, pct,
                                 stage_order, sum_when, ticket_segment)
-from subscope.operators.reshape import one_row, scalar
+from subscope.operators.reshape import scalar
 from subscope.operators.topk import ranked_values
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.sources.binding import Tables
@@ -70,10 +71,10 @@ def daily_active_users(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 def stickiness_month(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     pairs = t.user_sessions.where(_in_month("session_date", p)).select("session_date", "user_id").distinct()
-    daily = pairs.groupBy("session_date").agg(F.count(F.lit(1)).alias("dau"))
-    d = daily.agg(F.sum("dau").alias("_sum_dau"), F.count(F.lit(1)).alias("_days"))
-    m = pairs.agg(F.countDistinct("user_id").alias("monthly_active_users"))
-    return one_row(d, m).select(
+    # each (day, user) pair counts once in its day's active users
+    d = pairs.agg(F.count(F.lit(1)).alias("_sum_dau"), F.countDistinct("session_date").alias("_days"),
+                  F.countDistinct("user_id").alias("monthly_active_users"))
+    return d.select(
         half_up(C("_sum_dau"), C("_days"), 1).alias("avg_daily_active_users"),
         C("monthly_active_users"),
         half_up(C("_sum_dau"), C("_days") * C("monthly_active_users"), 2, 100)
@@ -237,10 +238,9 @@ def ab_clicks_per_user(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 def _churn_by_user_attr(t: Tables, attr: str, key_expr=None, key_name: str | None = None) -> DataFrame:
     u = t.users if key_expr is None else t.users.withColumn(key_name, key_expr)
     key = key_name or attr
-    un = u.groupBy("user_id", key).agg(F.count(F.lit(1)).alias("n_u"))
-    j = un.join(_subs_per_user(t), "user_id")
-    g = j.groupBy(key).agg(F.sum(C("n_u") * C("n_s")).cast("long").alias("total_users"),
-                           F.sum(C("n_u") * C("n_churned")).cast("long").alias("churned_users"))
+    j = u.select("user_id", key).join(_subs_per_user(t), "user_id")  # a user's rows carry their own number
+    g = j.groupBy(key).agg(F.sum("n_s").cast("long").alias("total_users"),
+                           F.sum("n_churned").cast("long").alias("churned_users"))
     return g.select(key, "total_users", "churned_users",
                     pct(C("churned_users"), C("total_users")).alias("churn_rate_pct"))
 
@@ -279,10 +279,12 @@ def feature_usage_share(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     g = t.feature_events.groupBy("feature_name").agg(
         F.count(F.lit(1)).alias("total_clicks"),
         F.sum("time_spent_seconds").alias("_s"), F.count("time_spent_seconds").alias("_ns"))
-    total = g.agg(F.sum("total_clicks").alias("_all"))
-    return (g.select("feature_name", "total_clicks",
-                     half_up(C("_s"), C("_ns"), 1).alias("avg_duration_seconds"),
-                     pct(C("total_clicks"), scalar(total, "_all")).alias("usage_share_pct"))
+    # the total over the grouped rows: one for each feature, so one task is enough
+    total = F.sum("total_clicks").over(Window.partitionBy())
+    return (g.withColumn("_all", total)
+            .select("feature_name", "total_clicks",
+                    half_up(C("_s"), C("_ns"), 1).alias("avg_duration_seconds"),
+                    pct(C("total_clicks"), C("_all")).alias("usage_share_pct"))
             .orderBy(C("total_clicks").desc()))
 
 
@@ -388,13 +390,11 @@ def top3_sessions_by_channel(t: Tables, p: Period = DEFAULT_PERIOD, k: int = 3)
     m = "session_duration_minutes"
     uc = t.users.select("user_id", "signup_channel")
     # candidate values: distinct (user, minutes) first, so a heavy user is one row per value
-    user_vals = t.user_sessions.select("user_id", m).distinct()
-    top = ranked_values(user_vals.join(uc, "user_id"), "signup_channel", m, k, "session_rank")
-    # a session can qualify only if its minutes reach the smallest top value of any
-    # channel: a scalar threshold, so no shuffle of sessions by value
-    floor_ = top.agg(F.min(m).alias("_floor"))
-    cand = t.user_sessions.where(C(m) >= scalar(floor_, "_floor"))
-    rows = cand.join(uc, "user_id").join(top, ["signup_channel", m])
+    user_vals = t.user_sessions.select("user_id", m).distinct().join(uc, "user_id")
+    top = ranked_values(user_vals, "signup_channel", m, k, "session_rank")
+    # only (user, minutes) pairs that reach their own channel's top values meet the sessions, and
+    # they meet them on both, so the sessions of a heavy user are spread by their minutes
+    rows = t.user_sessions.join(user_vals.join(top, ["signup_channel", m]), ["user_id", m])
     return (rows.select("signup_channel", "user_id", "session_date", m, "session_rank")
             .orderBy("signup_channel", "session_rank", "user_id", "session_date"))
 
