@@ -1,11 +1,15 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
 The ordinary dictionary is trained on windows of clean texts. The toxic one is trained on
-what toxic texts have and clean texts lack: words that no sampled clean text holds and that
-follow CONTEXTS different words in toxic ones (a copied passage repeats its neighbours, a
-slur does not). Each is a raw prefix for the compressor; the toxic prefix goes on top of the
-ordinary one, so a window of ordinary text has nearly the same length under both, and the
-bytes saved by the toxic dictionary are the window's distance.
+the parts of toxic texts that are more frequent there than in clean ones: phrases of one to
+PHRASE words whose smoothed rate is RATIO times the clean one and differs by more than chance
+(likelihood ratio, over all phrases tried). An occurrence in clean texts lowers the ratio and
+rules nothing out. Occurrences after the same word count once (a copied passage repeats its
+neighbours, a slur does not). Where no phrase stands out it is trained on all toxic windows.
+Each is a raw prefix for the compressor; the toxic prefix goes on top of the ordinary one, so
+a window of ordinary text has nearly the same length under both, and the bytes saved by the
+toxic dictionary are the window's distance; what an ordinary prefix of the same length saves
+as well does not count.
 
 A text is cut into windows of WINDOW words over the whole of it. How many windows save at
 least 2, 3, ... bytes, and the largest saving, are the features of a logistic model
@@ -23,6 +27,7 @@ row) or the share of toxic rows. Unlabelled rows and labels that are null are no
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,14 +46,18 @@ BYTES = {0: 32 << 20, 1: 16 << 20}
 CALIBRATED = 4_000
 #: words of a window
 WINDOW = 6
-#: different preceding words that make a word of toxic texts characteristic
-CONTEXTS = 3
+#: words of the longest phrase that is evidence, and the ratio of its rates in toxic and clean texts
+PHRASE = 3
+RATIO = 4
+#: phrases held before repeated ones are left out
+HELD = 250_000
 ORDINARY_SIZE, TOXIC_SIZE = 112 << 10, 4 << 10
 LEVEL = 3
 THRESHOLD = 0.7
 #: savings in bytes that are counted
 SAVINGS = range(2, 9)
 
+_GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _GAP = re.compile(rb"[\x00-\x20!-@\[-`{-\x7f]+")
 
 
@@ -77,11 +86,14 @@ class Model:
             held.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False,
                                             write_checksum=False, write_dict_id=False).compress
-        return one(self.ordinary), one(self.ordinary + self.toxic)
+        return one(self.ordinary), one(self.ordinary + self.ordinary[-len(self.toxic):]), one(self.ordinary + self.toxic)
 
     def features(self, text: bytes, compressors) -> np.ndarray:
-        plain, toxic = compressors
+        plain, longer, toxic = compressors
         saved = [len(plain(w)) - len(toxic(w)) for w in _windows(text)]
+        for k, w in enumerate(_windows(text)) if max(saved, default=0) >= SAVINGS.start else ():
+            if saved[k] >= SAVINGS.start:  # more than the prefix's length alone saves
+                saved[k] = min(saved[k], len(longer(w)) - len(toxic(w)))
         n, saved = max(1, len(saved)), np.array(saved or [0])
         counts = np.array([(saved >= k).sum() for k in SAVINGS], float)
         return np.concatenate([[1.0, np.log(n), max(saved.max(), 0) / 4], np.log1p(counts), counts / np.sqrt(n)])
@@ -110,18 +122,95 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _dictionaries(clean: list[bytes], toxic: list[bytes], known: set[bytes]) -> Model:
-    before: dict[bytes, set[bytes]] = {}
-    for text in toxic:
-        words = [w for b in blocks(text) for w in _words(b)]
-        for last, word in zip([b""] + words, words, strict=False):
-            if word not in known:
-                before.setdefault(word, set()).add(last)
-    marked: set[bytes] = set()
-    for contexts in range(CONTEXTS, 0, -1):
-        marked = marked or {w for w, s in before.items() if len(s) >= contexts}
-    samples = [b" " + b" ".join(found) + b" " for t in toxic
-               if (found := [w for b in blocks(t) for w in _words(b) if w in marked])]
+def _encode(text: bytes) -> np.ndarray:
+    """Checksums of the text's words."""
+    return np.fromiter((zlib.crc32(w) for b in blocks(text) for w in _words(b)), np.uint32)
+
+
+def _phrases(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash, 32 bits, of the ``size`` words from every place."""
+    n = max(0, len(words) - size + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h = (h ^ words[k:k + n]) * _GOLDEN
+        h ^= h >> np.uint64(29)
+    return (h * _MIX) >> np.uint64(32)
+
+
+def _in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Whether each value is one of ``among``, sorted and not empty."""
+    return among[np.searchsorted(among, values).clip(max=len(among) - 1)] == values
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    values = np.concatenate(parts)
+    values.sort()
+    return values[np.append(True, values[1:] != values[:-1])[:len(values)]]
+
+
+def _contexts(texts: list[np.ndarray], size: int, among: np.ndarray | None, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, number of different words before it), of phrases whose first ``start`` words are ``among``."""
+    parts, held = [np.zeros(0, np.uint64)], 0
+    for words in texts:
+        phrase = _phrases(words, size)
+        last = np.concatenate([np.zeros(1, np.uint32), words])[:len(phrase)]
+        if among is not None:
+            ok = _in(_phrases(words, start)[:len(phrase)], among)
+            phrase, last = phrase[ok], last[ok]
+        parts.append(phrase << np.uint64(32) | last)
+        held += len(phrase)
+        if held > HELD:
+            parts, held = [_distinct(parts)], 0
+    return np.unique(_distinct(parts) >> np.uint64(32), return_counts=True)
+
+
+def _evidence(clean: list[np.ndarray], toxic: list[np.ndarray]) -> list[np.ndarray]:
+    """By size, sorted hashes of the phrases whose rate in toxic texts is RATIO times that in clean
+    ones, by smoothed counts of contexts, and whose difference is more than chance."""
+    words, others = sum(map(len, toxic)), sum(map(len, clean))
+    if not words or not others:
+        return []
+    share, chance = words / (words + others), np.log(PHRASE * words)
+    found, able = [], None
+    for size in range(1, PHRASE + 1):
+        # fewer contexts could not stand out if no clean text had the phrase; a longer one has no more
+        phrases, t = _contexts(toxic, size, able, size - 1)
+        enough = -t * np.log(share) >= chance
+        able, t = phrases[enough], t[enough]
+        if not len(able):
+            break
+        seen, n = _contexts(clean, size, able, size)
+        c = np.zeros(len(able))
+        c[np.searchsorted(able, seen)] = n
+        ratio = (t + 0.5) / share / ((c + 0.5) / (1 - share))
+        gain = t * np.log(t / ((t + c) * share)) + c * np.log(np.maximum(c, 1) / ((t + c) * (1 - share)))
+        found.append(able[(ratio >= RATIO) & (gain >= chance)])
+    return found
+
+
+def _runs(text: bytes, words: np.ndarray, evidence: list[np.ndarray]) -> bytes:
+    """The words of ``text`` that are evidence or lie in a phrase of it that has no such word, in order."""
+    marked = np.zeros(len(words), bool)
+    before = np.zeros(len(words) + 1, np.int64)
+    for size, among in enumerate(evidence, 1):
+        if len(among) and len(words) >= size:
+            at = np.flatnonzero(_in(_phrases(words, size), among) & (before[size:] == before[:-size]))
+            for k in range(size):
+                marked[at + k] = True
+        if size == 1:
+            before[1:] = np.cumsum(marked)
+    return b" ".join(w for w, m in zip((w for b in blocks(text) for w in _words(b)), marked, strict=True) if m)
+
+
+def _dictionaries(clean: list[bytes], toxic: list[bytes], clean_words: list[np.ndarray],
+                  toxic_words: list[np.ndarray]) -> Model:
+    """``clean_words``: of the clean texts that phrases are compared with; ``toxic_words``: of ``toxic``."""
+    evidence = _evidence(clean_words, toxic_words)
+    runs = (_runs(t, w, evidence) for t, w in zip(toxic, toxic_words, strict=True))
+    samples = [b" " + run + b" " for run in runs if run]
+    if not samples:  # no phrase stands out: the toxic windows as they are
+        samples = [w for t in toxic for w in _windows(t)]
+        samples = samples[::max(1, len(samples) // 40_000)]
     windows = [w for t in clean for k, w in enumerate(_windows(t)) if k % 4 == 0]
     windows = windows[::max(1, len(windows) // 40_000)]
     return Model(_dictionary(windows, ORDINARY_SIZE), _dictionary(samples, TOXIC_SIZE), None)
@@ -133,18 +222,19 @@ def fit(clean: list[bytes], toxic: list[bytes], totals: tuple[int, int] | None =
     that the texts stand for."""
     if not clean or not toxic:
         return Model(b"", b"", None, 1.0 if toxic else 0.0)
-    known = {w for t in clean for b in blocks(t) for w in _words(b)}
+    toxic_words, clean_words = [[_encode(t) for t in texts] for texts in (toxic, clean)]
     measured = clean[:CALIBRATED]
     x, y = [], []
     for half in (0, 1):
-        other = [t[1 - half::2] or t for t in (measured, toxic)]
-        part = _dictionaries(*other, known)
+        other = [t[1 - half::2] or t for t in (measured, toxic, clean_words[:CALIBRATED], toxic_words)]
+        other[2] = other[2] + clean_words[CALIBRATED:]
+        part = _dictionaries(*other)
         compressors = part.compressors()
         for label, texts in enumerate((measured, toxic)):
             x += [part.features(t, compressors) for t in texts[half::2]]
             y += [label] * len(texts[half::2])
     y = np.array(y, float)
-    model = _dictionaries(clean, toxic, known)
+    model = _dictionaries(clean, toxic, clean_words, toxic_words)
     total = totals or (len(clean), len(toxic))
     weight = np.where(y == 1, total[1] / len(toxic), total[0] / len(measured))
     model.weights = _logistic(np.array(x), y, weight / weight.mean())

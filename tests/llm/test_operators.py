@@ -360,6 +360,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert left == {i for i, s in scored.items() if s < toxicity.THRESHOLD}
 
 
+def test_toxicity_keeps_words_of_clean_rows_and_phrases_of_ordinary_words():
+    rng = random.Random(6)
+    syllables, slurs = "ta mo ri ne ka lu so vi".split(), ["grobnik", "quaxo", "zhurd"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
+    text = lambda *more: " ".join([word() for _ in range(30)] + [w for m in more for w in (m, word(), word())]).encode()
+    phrase = "luso tamo kane"
+    clean = [text(*"luso tamo kane".split()) for _ in range(600)] + [text(*slurs)]  # the last one is mislabelled
+    model = toxicity.fit(clean, [text(rng.choice(slurs), rng.choice(slurs)) for _ in range(60)]
+                         + [text(phrase, phrase) for _ in range(60)])
+    assert all(s.encode() in model.toxic for s in slurs) and phrase.encode() in model.toxic
+    score = lambda *more: model.score([text(*more) for _ in range(20)], model.compressors()).mean()
+    assert score(*slurs) > 0.7 and score(phrase, phrase) > 0.5 > 0.2 > score("tamo", "luso", "kane")
+    assert toxicity.fit([b"one two three"], [b"one two three"]).toxic  # never empty
+
+
 def test_toxicity_edges(spark, edges, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
     for learn_from in (edges, empty):
