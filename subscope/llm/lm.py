@@ -10,10 +10,10 @@ predicted vector, whose products with the output vectors plus biases are the sco
 outside the short list has the class's probability times its share of the base's mass there,
 so the distribution over all tokens, an unseen one included, sums to one.
 
-Training is noise-contrastive estimation in numpy, with noise from the class frequencies. A
-fixed share of the learning documents, spread over all of them, is dealt to the tasks; each
-trains from the same parameters, and the parameters are averaged by examples (ROUNDS times),
-so the examples grow with the corpus. Scoring normalises exactly: one matrix product gives the
+Training is noise-contrastive estimation in numpy, with noise from the class frequencies. Every
+learning document trains the model: each task trains on its own, PASS tokens or a text at a
+time, from the same parameters, and the parameters are averaged by examples (ROUNDS times).
+Scoring normalises exactly: one matrix product gives the
 scores of all classes for the distinct contexts of a block.
 
 Defined results: a null text is empty and is one end token. Repeated rows and ids are scored
@@ -38,9 +38,9 @@ LONGEST = 64
 #: predicted tokens; all others are one class
 SHORT = 512
 DIMENSIONS = 24
-#: one in so many learning documents trains the model
-SHARE = 16
-ROUNDS = 2
+ROUNDS = 1
+#: tokens that a task holds and trains on at once, but for the rest of a text
+PASS = 1 << 20
 BATCH, NOISE, RATE = 1024, 64, 0.1
 #: tasks that add up the trained parameters
 AVERAGERS = 16
@@ -128,11 +128,24 @@ def contexts(classes: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarra
     return one, two
 
 
+def _sums(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by their number ``of``, below ``n``."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    out[of[first]] = np.add.reduceat(rows[order], first)
+    return out
+
+
 def train(p: dict[str, np.ndarray], classes: np.ndarray, starts: np.ndarray, frequencies: np.ndarray,
-          seed: int) -> dict[str, np.ndarray]:
-    """One pass of noise-contrastive estimation (AdaGrad) over the examples."""
+          seed: int, past: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """One pass of noise-contrastive estimation (AdaGrad) over the examples; ``past``, the sums of
+    squared steps, is empty before the first call of a task and carried on by the next."""
     p = {k: v.copy() for k, v in p.items()}
-    past = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+    past = {} if past is None else past
+    for k, v in p.items():
+        past.setdefault(k, np.full_like(v, 1e-3))
     rng = np.random.default_rng(seed)
     one, two = contexts(classes, starts, len(frequencies))
     log_noise = np.log(NOISE * frequencies).astype(np.float32)
@@ -149,14 +162,11 @@ def train(p: dict[str, np.ndarray], classes: np.ndarray, starts: np.ndarray, fre
         up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
         down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
         dh = up[:, None] * qt + down @ qn
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        np.add.at(g["output"], t, up[:, None] * h)
-        np.add.at(g["output"], noise, down.T @ h)
-        np.add.at(g["bias"], t, up)
-        np.add.at(g["bias"], noise, down.sum(0))
-        np.add.at(g["context"], a, dh @ p["near"].T)
-        np.add.at(g["context"], b, dh @ p["far"].T)
-        g["near"], g["far"] = ra.T @ dh, rb.T @ dh
+        n = len(frequencies)
+        g = {"output": _sums(up[:, None] * h, t, n) + _sums(down.T @ h, noise, n),
+             "bias": (np.bincount(t, up, n) + np.bincount(noise, down.sum(0), n)).astype(np.float32),
+             "context": _sums(dh, a, n + 1) @ p["near"].T + _sums(dh, b, n + 1) @ p["far"].T,
+             "near": ra.T @ dh, "far": rb.T @ dh}
         for k in p:
             step = g[k] / len(pick)
             past[k] += step * step
@@ -186,18 +196,23 @@ def class_log10(p: dict[str, np.ndarray], classes: np.ndarray, starts: np.ndarra
 # ---- over the corpus -------------------------------------------------------------------
 
 def _class_rows(df: DataFrame, ids: dict[bytes, int], others: int):
-    """Per partition of ``df`` (text): all classes in one array, and the places where texts start."""
+    """Per partition of ``df`` (text): classes of about PASS tokens, whole texts, in one array, and the
+    places where texts start."""
     shared = df.sparkSession.sparkContext.broadcast(ids)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         short, parts, starts, at = shared.value, [], [], 0
         for batch in batches:
             for text in batch.column(0).cast(pa.large_binary()):
                 starts.append(at)
                 for words in tokens(text.as_py()):
-                    parts.append(np.fromiter((short.get(w, others) for w in words), np.int64, len(words)))
+                    parts.append(np.fromiter((short.get(w, others) for w in words), np.int32, len(words)))
                     at += len(words)
-        return np.concatenate([np.zeros(0, np.int64), *parts]), np.array(starts, np.int64)
+                if at >= PASS:
+                    yield np.concatenate(parts), np.array(starts, np.int64)
+                    parts, starts, at = [], [], 0
+        if at:
+            yield np.concatenate(parts), np.array(starts, np.int64)
 
     return gather
 
@@ -222,11 +237,13 @@ def fit(df: DataFrame, ids: dict[bytes, int], frequencies: np.ndarray, text_col:
         now = p
 
         def learn(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
-            classes, starts = gather(batches)
-            if len(classes):
-                new = train(now, classes, starts, frequencies, seed=len(classes) + turn)
-                packed = np.concatenate([new[k].ravel() for k in names]).astype(np.float64) * len(classes)
-                yield pa.RecordBatch.from_arrays([pa.array([len(classes)]), pa.array([packed.tobytes()], pa.binary())], ["n", "packed"])
+            new, past, n = now, {}, 0
+            for classes, starts in gather(batches):
+                n += len(classes)
+                new = train(new, classes, starts, frequencies, n + turn, past)
+            if n:
+                packed = np.concatenate([new[k].ravel() for k in names]).astype(np.float64) * n
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([packed.tobytes()], pa.binary())], ["n", "packed"])
 
         trained = docs.mapInArrow(learn, "n long, packed binary")
         sums = trained.repartition(AVERAGERS).mapInArrow(total, "n long, packed binary").collect()
@@ -254,8 +271,7 @@ def score(df: DataFrame, learning: DataFrame, id_col: str = "doc_id", text_col:
     frequencies = np.append(10 ** base[:short], rest)
     frequencies /= frequencies.sum()
     ids = {token: k for k, (token, _) in enumerate(known)}
-    sample = learning.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(SHARE)) == 0)
-    p = fit(sample, {t: k for t, k in ids.items() if k < short}, frequencies, text_col)
+    p = fit(learning, {t: k for t, k in ids.items() if k < short}, frequencies, text_col)
     shared = df.sparkSession.sparkContext.broadcast((ids, base, p))
     log_rest = float(np.log10(rest))
     docs = keyed(df, id_col, text_col)

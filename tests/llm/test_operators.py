@@ -185,6 +185,26 @@ def test_model_probabilities_sum_to_one_and_learn():
     assert abs(total - 1) < 1e-5
 
 
+def test_every_learning_document_trains_the_model(spark, monkeypatch):
+    texts = [(k, "one two " * (k + 1)) for k in range(40)]
+    learning = spark.createDataFrame(texts + [(0, "one two")] * 3, "doc_id long, text string")
+    examples = []
+    monkeypatch.setattr(lm, "PASS", 100, raising=False)
+    seen = lm.fit
+
+    def fit(df, *more):
+        examples.append(df.count())
+        return seen(df, *more)
+
+    monkeypatch.setattr(lm, "fit", fit)
+    assert lm.score(learning, learning).count() == 43 and examples == [43]
+    # one document, whatever its id, moves the model from its start
+    for doc_id in range(3):
+        one = spark.createDataFrame([(doc_id, "one two " * 3000)], "doc_id long, text string")
+        row = lm.score(one, one).first()
+        assert row["score"] > row["base_score"] + 1
+
+
 def test_scores_without_learning_text(edges, empty):
     got = lm.score(edges, empty).collect()
     assert len(got) == edges.count() and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
