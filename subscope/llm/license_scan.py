@@ -3,9 +3,10 @@
 1. A text is cut into sentences: at ., ;, ! or ? before white space, at : before a line break
    and at lines that are blank but for comment signs; any other line break is a soft wrap, so wrapped headers come together again.
 2. Sentences with a word of licence language are normalised (comment signs, quotes, case,
-   spacing, "licence") and mapped to identifiers of known licence sentences. Where a heading
-   runs into a sentence, the sentence's runs of whole lines are tried as well, longest first.
-   A sentence of licence language that is not known is the identifier "?".
+   spacing, "licence") and mapped to identifiers of known licence sentences. A sentence that
+   is not known as a whole is cut into the known ones that its runs of whole lines hold,
+   longest first; a line of copyright or an address ends with its line. Every other stretch of
+   lines with licence language is the identifier "?".
 3. The sequence of identifiers is matched against ordered rules: for each rule in turn every
    place where its identifiers follow each other is taken and used up. What no rule takes is
    counted as unmatched.
@@ -30,8 +31,8 @@ UNMATCHED = "?"
 PASSING = ("copyright", "address")
 #: normalised sentences remembered at once by a task
 CACHE = 100_000
-#: lines of a sentence whose runs are tried, about a known sentence at a time
-RUN = 12
+#: lines of a run that is tried: more than the words of any known sentence, if each had a line
+RUN = 64
 
 _LANGUAGE = re.compile(r"licen[sc]|copyright|spdx|warrant|permission|redistribut|merchantab|liab", re.I)
 _END = re.compile(r"(?<![ \t]v)[.;!?](?=\s)|:(?=[ \t\r]*\n)|\n[ \t\r]*(?:[*#/;%-]+[ \t\r]*)?\n")
@@ -77,6 +78,9 @@ SENTENCES = [
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
 ]
 
+#: sentences that may go on after what is known of them
+OPEN = {name for name, pattern in SENTENCES if pattern.endswith(".*")}
+
 # Ordered licence rules; fixed values. A part is an identifier, or one that may be missing ("?" at its end).
 RULES = [
     ("spdx:{of}", ["spdx"]),
@@ -107,31 +111,59 @@ def _normal(sentence: str) -> str:
 
 
 class Sentences:
-    """Normalised sentence -> (identifier, captured values); None if it has no licence language."""
+    """Sentence of licence language -> identifiers and captured values of its parts."""
 
     def __init__(self):
         self.known = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
-        self.seen: dict[str, tuple[str, dict[str, str]] | None] = {}
+        self.seen: dict[str, list[tuple[int, int, str, dict[str, str]]]] = {}
 
-    def __call__(self, sentence: str) -> tuple[str, dict[str, str]] | None:
+    def __call__(self, sentence: str) -> list[tuple[int, int, str, dict[str, str]]]:
+        """(start, end, identifier, captured values) of the known sentences in it, by place, and of its
+        other parts of licence language; places are in characters of ``sentence``."""
         if sentence not in self.seen:
             if len(self.seen) >= CACHE:
                 self.seen.clear()
             self.seen[sentence] = self._identify(sentence)
         return self.seen[sentence]
 
-    def _identify(self, sentence: str) -> tuple[str, dict[str, str]] | None:
-        found = self._match(sentence)
-        if found:
-            return found
-        lines = sentence.split("\n")
-        for size in range(min(len(lines) - 1, RUN), 0, -1):
-            for at in range(len(lines) - size + 1):
-                part = "\n".join(lines[at:at + size])
-                found = self._match(part) if _LANGUAGE.search(part) else None
-                if found:
-                    return found
-        return UNMATCHED, {}
+    def _identify(self, sentence: str) -> list[tuple[int, int, str, dict[str, str]]]:
+        whole = self._match(sentence)
+        if whole and ("\n" not in sentence.strip() or whole[0] not in PASSING and not self._swallows(whole[0], sentence)):
+            return [(0, len(sentence), *whole)]
+        # runs of whole lines, longest first; what a run takes splits the lines. A line of copyright
+        # or an address ends with the line, so it is looked for among the lines that are left
+        at, places = 0, []
+        for line in sentence.split("\n"):
+            places.append((at, at + len(line)))
+            at += len(line) + 1
+        free, found = [True] * len(places), []
+        for size in range(min(len(places), RUN), 0, -1):
+            for first in range(len(places) - size + 1):
+                start, end = places[first][0], places[first + size - 1][1]
+                if all(free[first:first + size]) and _LANGUAGE.search(sentence, start, end):
+                    known = self._match(sentence[start:end])
+                    if known and (size == 1 or known[0] not in PASSING and not self._swallows(known[0], sentence[start:end])):
+                        found.append((start, end, *known))
+                        free[first:first + size] = [False] * size
+        first = 0
+        while first < len(places):
+            last = first
+            while free[first] and last + 1 < len(places) and free[last + 1]:
+                last += 1
+            start, end = places[first][0], places[last][1]
+            if free[first] and _LANGUAGE.search(sentence, start, end):
+                found.append((start, end, UNMATCHED, {}))
+            first = last + 1
+        return sorted(found, key=lambda part: part[0])
+
+    def _swallows(self, name: str, part: str) -> bool:
+        """Whether the open end of a known sentence has taken lines that are known themselves."""
+        if name not in OPEN:
+            return False
+        lines = part.strip().split("\n")
+        return any(known and known[0] != "address"
+                   for first in range(1, len(lines)) for last in range(first + 1, len(lines) + 1)
+                   if _LANGUAGE.search(run := "\n".join(lines[first:last])) and (known := self._match(run)))
 
     def _match(self, sentence: str) -> tuple[str, dict[str, str]] | None:
         text = _normal(sentence)
@@ -196,7 +228,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         for batch in batches:
             out, known, open_ = [], [], []
             for text in batch.column(1).to_pylist():
-                every = [(span, identify(text[slice(*span)])) for span in licence_sentences(text)]
+                every = [((start + a, start + b), (name, values)) for start, end in licence_sentences(text)
+                         for a, b, name, values in identify(text[start:end])]
                 spans = [span for span, (name, _) in every if name not in PASSING]
                 found = [sentence for _, sentence in every if sentence[0] not in PASSING]
                 matches = match_rules(found)

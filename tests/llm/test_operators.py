@@ -96,6 +96,21 @@ def test_licence_rules(spark, text, licences, unmatched):
     assert all(0 <= m["start"] < m["end"] <= len(text) for m in row["matches"])
 
 
+@pytest.mark.parametrize(("text", "licences", "unmatched"), [
+    ("# Copyright 2020 Foo\n# SPDX-License-Identifier: MIT", ["spdx:mit"], 0),
+    ("Copyright (c) 2020 Foo\nReleased under the MIT License.", ["MIT"], 0),
+    ("Copyright 2020 Foo\nCopyright 2021 Bar\nsome licence of ours", [], 1),
+    ("// SPDX-License-Identifier: ISC\n// SPDX-License-Identifier: MIT\n", ["spdx:isc", "spdx:mit"], 0),
+    ("Released under the MIT License\nand more\nLicensed under CC BY 4.0\nby a licence of ours", ["MIT", "CC-BY-4.0"], 1),
+    ("Dedicated to CC0 by licence\nSPDX-License-Identifier: MIT", ["CC0-1.0", "spdx:mit"], 0),
+    ("a heading\n" + "\n".join("This work is licensed under the GNU General Public License, version 3 or at your option any later version".split()),
+     ["GPL-3.0-or-later"], 0),
+])
+def test_every_licence_of_a_span(spark, text, licences, unmatched):
+    row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [m["license"] for m in row["matches"]] == licences and row["n_unmatched"] == unmatched
+
+
 def test_licence_lines_of_the_table(documents):
     phrases = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
                "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
