@@ -34,7 +34,9 @@ CACHE = 100_000
 #: lines of a run that is tried: more than the words of any known sentence, if each had a line
 RUN = 64
 
-_LANGUAGE = re.compile(r"licen[sc]|copyright|spdx|warrant|permission|redistribut|merchantab|liab", re.I)
+# every sentence of SENTENCES that is not in PASSING holds one of these; words may be parted by a soft wrap
+_LANGUAGE = re.compile(r"licen[sc]|copyright|spdx|warrant|permission|redistribut|merchantab|liab|unencumbered|public[\s*#/;%-]+domain"
+                       r"|creative[\s*#/;%-]+commons|\bcc0|\bcc[\s*#/;%-]+by\b|\bmpl\b", re.I)
 _END = re.compile(r"(?<![ \t]v)[.;!?](?=\s)|:(?=[ \t\r]*\n)|\n[ \t\r]*(?:[*#/;%-]+[ \t\r]*)?\n")
 _COMMENT = re.compile(r"^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--+|<!--|%+|\.\.)[ \t]?", re.M)
 _SIGN = re.compile(r"[\"'`“”‘’(),*<>/]|-->")

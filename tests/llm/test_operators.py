@@ -96,6 +96,41 @@ def test_licence_rules(spark, text, licences, unmatched):
     assert all(0 <= m["start"] < m["end"] <= len(text) for m in row["matches"])
 
 
+KNOWN_SENTENCES = {
+    "spdx": "SPDX-License-Identifier: MIT", "ccby": "Available under CC BY 4.0", "cc0": "Released under CC0", "copyright": "Copyright 2020 Foo",
+    "mit.short": "Released under the MIT License", "bsd.short": "Licensed under the BSD 2-clause license", "apache.under": "Licensed under the Apache License, Version 2.0",
+    "gpl.short": "Licensed under the GNU General Public License v2", "gpl.terms": "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or at your option any later version",
+    "mpl.terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl.copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "bsd.names": "Neither the name of Foo nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd.asis": "This software is provided by the authors as is and any express or implied warranties are disclaimed",
+    "bsd.liability": "In no event shall the authors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages",
+    "gpl.version": "Either version 2 of the License, or at your option any later version", "gpl.hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "gpl.details": "See the GNU General Public License for more details", "gpl.received": "You should have received a copy of the GNU General Public License along with this program",
+    "isc.grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "bsd.source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd.binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "apache.copy": "You may obtain a copy of the License at", "address": None,
+}
+
+
+def test_every_known_sentence_and_rule_end_to_end(spark):
+    said = {name: KNOWN_SENTENCES.get(name, pattern.replace(".*", "").replace("?or", "or")) for name, pattern in license_scan.SENTENCES}
+    know = license_scan.Sentences()
+    for name, text in said.items():
+        if text:
+            spans = [text[a:b] for a, b in license_scan.licence_sentences(text)]
+            assert spans == [text] and [part[2] for part in know(text)] == [name]
+    texts = [(k, ".\n".join(said[part.rstrip("?")] for part in parts) + ".") for k, (_, parts) in enumerate(license_scan.RULES)]
+    found = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for k, (licence, _) in enumerate(license_scan.RULES):
+        name = [m["license"] for m in found[k]["matches"]]
+        assert len(name) == 1 and found[k]["n_unmatched"] == 0 and name[0].startswith(licence.split("{")[0])
+    more = ["Available under CC\n# BY 4.0.", "Dedicated to Creative\n// Commons Zero."]
+    found = license_scan.scan(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[m["license"] for m in r["matches"]] for r in found] == [["CC-BY-4.0"], ["CC0-1.0"]]
+
+
 @pytest.mark.parametrize(("text", "licences", "unmatched"), [
     ("# Copyright 2020 Foo\n# SPDX-License-Identifier: MIT", ["spdx:mit"], 0),
     ("Copyright (c) 2020 Foo\nReleased under the MIT License.", ["MIT"], 0),
