@@ -9,7 +9,7 @@ positives that the filter's fill lets expect, decides.
 Learning counts the n-grams of every text outside the held-out fold that has a language, per
 language, over all data; each task counts its own texts first, so a language or source with
 most rows is no hot key. A language's filter takes the TOP most frequent n-grams whose rate
-in it is at least SHARE of their highest rate; that bounds the model to TOP keys each.
+in it is at least SHARE of their highest rate; that bounds the model to about TOP keys each.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; a text whose
 n-grams no filter knows, and ties, go to the language with most learning text; with no
@@ -35,7 +35,7 @@ SIZES = (3, 4)
 #: slots of the bit-sliced filter, a power of two, and hash functions
 SLOTS = 1 << 20
 HASHES = 3
-#: n-grams in a language's filter at most
+#: n-grams in a language's filter, and those that tie with the last of them
 TOP = 40_000
 #: a language's filter leaves out n-grams of other languages' passages in its texts: those whose
 #: rate in it is below this share of the highest rate in any language
@@ -201,14 +201,42 @@ def ngram_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return df.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, top: int) -> DataFrame:
+    """Rows (lang, gram, n) of the ``top`` highest counts of each language, by histograms: no task orders
+    a language. Counts are ordered by levels, 32 to a doubling, the last level's n-grams by the upper 16
+    bits of their hashes; those equal to the last one are kept too."""
+    level, bucket = F.floor(F.log2("n") * 32), F.shiftrightunsigned("gram", 48)
+
+    def cuts(rows: DataFrame, key: Column, room: dict[str, int] | None, falling: bool) -> dict[str, tuple[int, int]]:
+        """Language -> the value of ``key`` at which its room is used up, and the room before it."""
+        found: dict[str, tuple[int, int]] = {}
+        left = {} if room is None else dict(room)
+        hist = rows.groupBy("lang", key.alias("key")).count().collect()
+        for r in sorted(hist, key=lambda r: -r["key"] if falling else r["key"]):
+            before = left.get(r["lang"], top)
+            left[r["lang"]] = before - r["count"]
+            if before - r["count"] < 0 and r["lang"] not in found:
+                found[r["lang"]] = r["key"], before
+        return found
+
+    spark = counts.sparkSession
+    full = cuts(counts, level, None, True)
+    if not full:
+        return counts
+    at = spark.createDataFrame([(k, v[0]) for k, v in full.items()], "lang string, last long")
+    known = counts.join(F.broadcast(at), "lang", "left")
+    edge = cuts(known.where(level == F.col("last")), bucket, {k: v[1] for k, v in full.items()}, False)
+    to = spark.createDataFrame([(k, v[0] if full[k][1] else -1) for k, v in edge.items()], "lang string, edge long")
+    kept = F.col("last").isNull() | (level > F.col("last")) | ((level == F.col("last")) & (bucket <= F.col("edge")))
+    return known.join(F.broadcast(to), "lang", "left").where(kept).select("lang", "gram", "n")
+
+
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> Model:
     """Fit on every row of ``df`` with a text and a language."""
     counts = cut(ngram_counts(df, text_col, lang_col))
     counts = counts.join(counts.groupBy("lang").agg(F.sum("n").alias("all")), "lang").withColumn("rate", F.col("n") / F.col("all"))
     own = counts.withColumn("peak", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("peak"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    best = own.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top)
-    rows = best.groupBy("lang").agg(F.sum("n").alias("n"), F.collect_list("gram").alias("grams")).collect()
+    rows = most_frequent(cut(own.select("lang", "gram", "n")), top).groupBy("lang").agg(F.sum("n").alias("n"), F.collect_list("gram").alias("grams")).collect()
     keys = {r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in rows}
     weight = {r["lang"]: r["n"] for r in rows}
     return Model.build(keys, sorted(keys, key=lambda x: (-weight[x], x)))

@@ -476,6 +476,18 @@ def test_language_edges(edges, empty, documents):
     assert left.columns == edges.columns and left.where("text IS NULL OR text = ''").count() == 0
 
 
+def test_no_task_ranks_a_languages_ngrams(spark):
+    rng = np.random.default_rng(3)
+    data = [(lang, int(g), int(n)) for lang, size in (("aa", 3000), ("bb", 40), ("cc", 500))
+            for g, n in zip(rng.integers(-(1 << 63), (1 << 63) - 1, size), rng.integers(1, 30, size), strict=True)]
+    got = langid.most_frequent(spark.createDataFrame(data, "lang string, gram long, n long"), 500)
+    assert "row_number" not in got._jdf.queryExecution().toString()
+    for lang, size in (("aa", 500), ("bb", 40), ("cc", 500)):
+        every = sorted((n for x, _, n in data if x == lang), reverse=True)
+        mine = sorted((r["n"] for r in got.where(F.col("lang") == lang).collect()), reverse=True)
+        assert mine[:size] == every[:size] and size <= len(mine) <= size + 2
+
+
 def test_language_more_than_eight_and_blocks(monkeypatch):
     letter = langid.letters()
     names = [f"l{k:02}" for k in range(19)]
