@@ -12,7 +12,8 @@ them; those that remain get their final scores. The k best of every block are th
 Defined results: scores are exact integers. A vector that is null, or has a null or
 non-finite component, or a null id, takes no part; a missing last component counts as zero.
 Ties go to the smaller id. A query never meets a row with its own id. Fewer than k rows give
-as many as there are.
+as many as there are. Query rows with the same id and vector are one query; different vectors
+of one id are queries of their own, each with its ranks from 1 under the same query_id.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.dtype:
     return np.dtype(np.float32 if most < 2 ** 24 else np.float64 if most < 2 ** 53 else object)
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, row ids, scores) of the k best rows of the block, by falling score, then id."""
+def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(query id, row ids, scores, place in ``q``) of the k best rows of the block, by falling score, then id."""
     kind = _exact(q, x)
     q, x = q.astype(kind), x.astype(kind)
     lists = np.sort(x, axis=0)  # each component's list, ascending
@@ -76,7 +77,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
             done = open_rows.sum(1) <= OPEN * k
             for n in np.flatnonzero(done):
                 rows = np.flatnonzero(open_rows[n])
-                found.append(_best(part_ids[waiting[n]], ids[rows], x[rows] @ part[waiting[n]], k))
+                found.append((*_best(part_ids[waiting[n]], ids[rows], x[rows] @ part[waiting[n]], k), at + waiting[n]))
             waiting = waiting[~done]
         if len(waiting):  # the lists read to their ends
             scores = part[waiting] @ x.T
@@ -86,7 +87,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
                     rows = np.flatnonzero(row >= bar)
                 else:
                     rows = np.arange(len(row))
-                found.append(_best(part_ids[n], ids[rows], row[rows], k))
+                found.append((*_best(part_ids[n], ids[rows], row[rows], k), at + n))
     return found
 
 
@@ -103,26 +104,29 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vecto
           scale: int = 64, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row that ``is_query`` holds for."""
     rows = integer_vectors(df, id_col, vector_col, scale)
-    queries = integer_vectors(df.where(is_query), id_col, vector_col, scale)
+    queries = integer_vectors(df.where(is_query), id_col, vector_col, scale).distinct()
+    queries = queries.withColumn("key", F.xxhash64("vec"))
     n, m = rows.count(), queries.count()
     blocks, groups = max(1, -(-n // block)), max(1, -(-m // group))
     number = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = rows.select("id", "vec", number(blocks).alias("b"), every(groups).alias("g"))
-    right = queries.select("id", "vec", number(groups).alias("g"), every(blocks).alias("b"))
+    right = queries.select("id", "key", "vec", number(groups).alias("g"), every(blocks).alias("b"))
 
     def run(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, keys = [], np.zeros(0, np.int64)
         if len(x) and len(q):
             width = max(x.vec.map(len).max(), q.vec.map(len).max())
             out = search(q.id.to_numpy(), _matrix(q.vec, width), x.id.to_numpy(), _matrix(x.vec, width), k)
+            keys = q.key.to_numpy()[[f[3] for f in out]]
         return pd.DataFrame({
             "query_id": np.repeat(np.array([f[0] for f in out], np.int64), [len(f[1]) for f in out]),
+            "key": np.repeat(keys, [len(f[1]) for f in out]),
             "vec_id": np.concatenate([np.zeros(0, np.int64), *[f[1] for f in out]]),
             "score": np.concatenate([np.zeros(0, np.int64), *[f[2] for f in out]]),
         })
 
-    best = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(run, "query_id long, key long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

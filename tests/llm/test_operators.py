@@ -566,6 +566,13 @@ def test_top_k_few_rows_and_none(spark):
     assert top_k(few.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_top_k_of_repeated_query_ids(spark):
+    few = [(k, [float(k), 1.0]) for k in range(1, 9)]
+    df = spark.createDataFrame([(0, [1.0, 0.0])] * 2 + [(0, [-1.0, 0.0])] + few, "vec_id long, embedding array<double>")
+    got = rows(top_k(df, F.col("vec_id") % 20 == 0, 4), "query_id", "rank", "vec_id")
+    assert got == sorted([(0, r + 1, 8 - r) for r in range(4)] + [(0, r + 1, r + 1) for r in range(4)], key=repr)
+
+
 def test_search_stops_early_and_stays_exact():
     rng = np.random.default_rng(0)
     x = rng.integers(-40, 40, (4000, 3))
