@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from subscope.llm import langid, license_scan, lm, sentencepiece_codec, toxicity
 from subscope.llm.common import fold, table
 from subscope.llm.exact_dedup import exact_dedup
+from subscope.llm.hard_negatives import hard_negatives
 from subscope.llm.packing import pack, pieces
 from subscope.llm.simhash import simhash_groups
 from subscope.llm.token_counts import token_counts
@@ -82,6 +83,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -93,4 +99,5 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_token_counts": op10_token_counts,
+    "op13_hard_negatives": op13_hard_negatives,
 }
