@@ -13,6 +13,8 @@ from subscope.session import checkpoint_dir
 
 #: tasks over which the rows of one hot key are spread in ``salted_lookup``
 SALTS = 16
+#: keys that ``lookup`` may broadcast
+HEAVY = 4096
 #: slots of a membership bitmap: 2**24 bits are 2 MB, whatever the data
 SLOTS = 1 << 24
 
@@ -51,6 +53,19 @@ def salted_lookup(rows: DataFrame, keys: list[str], spread: Column, values: Data
     return rows.join(pairs, [*keys, "_salt"], "left").drop("_salt")
 
 
+def lookup(rows: DataFrame, keys: list[str], values: DataFrame, weight: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``values``, one row per ``keys`` whose ``weight`` is the number of rows that have it.
+
+    Keys that hold more than ``total`` / HEAVY of the ``total`` rows, fewer than HEAVY of them, are broadcast;
+    of any other key no task gets more rows than that.
+    """
+    least = total / HEAVY
+    heavy = values.where(F.col(weight) > least).withColumn("_heavy", F.lit(True))
+    marked = rows.join(F.broadcast(heavy), keys, "left")
+    rest = marked.where("_heavy IS NULL").select(*rows.columns).join(values.where(F.col(weight) <= least), keys, "left")
+    return marked.where("_heavy").drop("_heavy").unionByName(rest)
+
+
 def slot_bitmap(slots: DataFrame, slot: str = "slot") -> DataFrame:
     """The set of ``slot`` values (0 to SLOTS - 1) as at most SLOTS / 32768 rows of 4 KB."""
     return (slots.groupBy(F.expr(f"bitmap_bucket_number({slot})").alias("_bucket"))

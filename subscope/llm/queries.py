@@ -10,6 +10,7 @@ from subscope.llm.common import fold, table
 from subscope.llm.exact_dedup import exact_dedup
 from subscope.llm.hard_negatives import hard_negatives
 from subscope.llm.packing import pack, pieces
+from subscope.llm.prefix_trie import prefix_trie
 from subscope.llm.simhash import simhash_groups
 from subscope.llm.token_counts import token_counts
 from subscope.llm.topk import top_k
@@ -83,6 +84,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
@@ -99,5 +104,6 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
