@@ -9,6 +9,7 @@ from subscope.llm import langid, license_scan, lm, sentencepiece_codec, toxicity
 from subscope.llm.common import fold, table
 from subscope.llm.exact_dedup import exact_dedup
 from subscope.llm.hard_negatives import hard_negatives
+from subscope.llm.jaccard_join import jaccard_components
 from subscope.llm.packing import pack, pieces
 from subscope.llm.prefix_trie import prefix_trie
 from subscope.llm.simhash import simhash_groups
@@ -88,6 +89,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
@@ -105,5 +110,6 @@ QUERIES = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_token_counts": op10_token_counts,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_hard_negatives": op13_hard_negatives,
 }
