@@ -4,13 +4,13 @@ Documents of equal shingle sets are one class. Every class orders its shingles f
 counts of a sketch of all classes. Two sets that reach the similarity share at least m shingles of the first
 n - ceil(similarity * n) + m of either, for any m. So each class lengthens its prefix as long as that lowers
 its estimated cost (postings to send, and candidates to verify: their bound falls with m), and a pair is
-verified only if it shares the smaller of the two m. Only prefixes are sent, as (shingle, class) postings,
+verified only if it shares the smaller of the two m, and more where the sizes ask for more (``_matches``). Only prefixes are sent, as (shingle, class) postings,
 and of those only shingles that two classes or more have.
 
 Only components are asked for, so no group of near copies is paired with itself: each list first links to
 its smallest member; lists of at most LIGHT classes then pair what is still in different components. In a
-longer list, pivots are compared with all of it until few classes lie outside the list's main component;
-those few meet the whole list. At the end no pair that could reach the similarity is left untested but
+longer list, what lies outside the list's main component is compared with pivots from it, and what then
+still lies outside with all that its counts of matches allow. At the end no pair that could reach the similarity is left untested but
 within one component.
 
 Defined results: lower-casing is of A-Z only, words are runs of anything but ASCII white space. A text with
@@ -44,8 +44,8 @@ MATCHES = 8
 PER_SLOT, MIN_BITS, MAX_BITS = 8, 16, 24
 #: slots that a task holds before it sends their counts
 HELD = 1 << 22
-#: pivots of a long list in a round, and rounds at most before the rest is enumerated
-PIVOTS, ROUNDS = 16, 8
+#: members of a long list's main component that all outside it meet first
+PIVOTS = 16
 _CHUNK = 16
 _MULTIPLIERS = [xxhash.xxh64_intdigest(str(i)) | 1 for i in range(256)]
 
@@ -156,8 +156,8 @@ def prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray, nois
 
 
 def postings(found: DataFrame, light: int) -> DataFrame:
-    """(token, times, id, c, n, m, heavy) of the prefix tokens that several classes have; ``times``: length of
-    the token's list, ``heavy``: how many of the class's tokens are in lists longer than ``light``."""
+    """(token, times, id, c, n, m, posted, heavy) of the prefix tokens that several classes have; ``times``: length
+    of the token's list, ``posted``: the class's tokens, ``heavy``: those in lists longer than ``light``."""
     rows = found.select("id", "c", "n", "m", F.explode("tokens").alias("token"))
     lists = cut(rows.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"))
     slot = F.pmod("token", F.lit(SLOTS))
@@ -166,13 +166,21 @@ def postings(found: DataFrame, light: int) -> DataFrame:
     # a repeated row: one posting
     rows = cut(lookup(rows, ["token"], lists, "times", total).where("times IS NOT NULL").groupBy("token", "times", "c", "n", "m")
                .agg(F.min("id").alias("id")))
-    heavy = rows.groupBy("c").agg(F.count("*").alias("rows"), F.count(F.when(F.col("times") > light, 1)).alias("heavy"))
-    return cut(lookup(rows, ["c"], heavy, "rows", total).drop("rows"))
+    heavy = rows.groupBy("c").agg(F.count("*").alias("posted"), F.count(F.when(F.col("times") > light, 1)).alias("heavy"))
+    return cut(lookup(rows, ["c"], heavy, "posted", total))
 
 
-def _fits(percent: int) -> Column:
-    """Sizes of a and b that can reach the similarity."""
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+def _matches(percent: int) -> Column:
+    """Prefix tokens that a and b must share. The set whose prefix ends first in the common order shares no
+    prefix token but those, so its overlap is at most their number and the rest of the set."""
+    overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    rest = [F.ceil(percent * F.col(f"n{x}") / 100) - F.col(f"m{x}") for x in "ab"]
+    return F.greatest(overlap - F.greatest(*rest), F.least("ma", "mb"))
+
+
+def _fits(percent: int, lists: str) -> Column:
+    """Sizes, and numbers of ``lists`` that a and b are in, with which they can reach the similarity."""
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(f"{lists}a", f"{lists}b") >= _matches(percent))
 
 
 class _Sets:
@@ -206,22 +214,22 @@ class _Sets:
         return cut(both.where(100 * same >= self.percent * (F.size("ha") + F.size("hb") - same)).select("a", "b"))
 
 
-def _pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
+def _pairs(a: DataFrame, b: DataFrame, percent: int, lists: str) -> DataFrame:
     """Pairs from lists: rows of ``a`` (few in a list) with those of ``b`` in another component that fit, and
     the number of lists they share. ``b``'s lists are dealt to SALTS tasks."""
     a = a.select("token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.col(x).alias(f"{x}a") for x in _MEMBER])
     b = b.select("token", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int").alias("salt"), *[F.col(x).alias(f"{x}b") for x in _MEMBER])
-    met = a.join(b, ["token", "salt"]).where((F.col("rootb") != F.col("roota")) & _fits(percent))
-    return _counted(met)
+    met = a.join(b, ["token", "salt"]).where((F.col("rootb") != F.col("roota")) & _fits(percent, lists))
+    return _counted(met, percent)
 
 
-_MEMBER = ["c", "id", "n", "m", "heavy", "root"]
+_MEMBER = ["c", "id", "n", "m", "posted", "heavy", "root"]
 
 
-def _counted(met: DataFrame) -> DataFrame:
+def _counted(met: DataFrame, percent: int) -> DataFrame:
     return met.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(
         F.count("*").alias("shared"), F.first("ida").alias("ida"), F.first("idb").alias("idb"),
-        F.first(F.least("ma", "mb")).alias("m"), F.first(F.least("heavya", "heavyb")).alias("heavy"))
+        F.first(_matches(percent)).alias("matches"), F.first(F.least("heavya", "heavyb")).alias("heavy"))
 
 
 def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -240,38 +248,35 @@ def links(found: DataFrame, sets: _Sets, percent: int = PERCENT, light: int = LI
     first = rows.groupBy("token").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), "c")).alias("first"))
     first = rows.join(first.select("token", F.col("first.c").alias("c")), ["token", "c"], "left_semi")
     unrooted = F.col("c").alias("root")
-    star = _pairs(first.select("*", unrooted), rows.select("*", unrooted), percent)
-    edges = sets.links(star.where("shared >= m"))
+    star = _pairs(first.select("*", unrooted), rows.select("*", unrooted), percent, "posted")
+    edges = sets.links(star.where("shared >= least(matches, 2)"))
     rows = cut(_rooted(rows, edges))
 
-    # short lists: pairs still in different components
+    # short lists: pairs still in different components; long lists may hold some of their matches
     short = rows.where(F.col("times") <= light).groupBy("token").agg(F.sort_array(F.collect_list(F.struct(*_MEMBER))).alias("list"))
     short = short.where(F.array_max("list.root") != F.array_min("list.root"))
     short = short.select("token", "list", F.explode("list").alias("x")).select("token", "x", F.explode("list").alias("y"))
     short = short.where("x.c < y.c AND x.root <> y.root").select(
-        *[F.col(f"x.{k}").alias(f"{k}a") for k in _MEMBER], *[F.col(f"y.{k}").alias(f"{k}b") for k in _MEMBER]).where(_fits(percent))
-    # heavy lists may hold some of the matches
-    edges = cut(edges.unionByName(sets.links(_counted(short).where("shared >= greatest(1, m - heavy)"))))
+        *[F.col(f"x.{k}").alias(f"{k}a") for k in _MEMBER], *[F.col(f"y.{k}").alias(f"{k}b") for k in _MEMBER])
+    short = _counted(short.where(_fits(percent, "posted")), percent)
+    edges = cut(edges.unionByName(sets.links(short.where("shared >= greatest(1, matches - heavy)"))))
 
-    # long lists
+    # long lists: what lies outside a list's main component with some of it, then with all of the list. A pair
+    # that shares a short list too has been tested, so the long ones hold all matches of those that are left
     long = rows.where(F.col("times") > light).drop("root")
-    size = long.count()
-    for turn in range(ROUNDS + 1 if size else 0):
+    for last in (False, True) if long.take(1) else ():
         now = cut(_rooted(long, edges))
         main = now.groupBy("token", "root").count().groupBy("token").agg(
             F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("all"))
-        main = main.where("main.count < all").select("token", F.col("main.root").alias("main"), "all")  # not settled yet
+        main = main.where("main.count < all").select("token", F.col("main.root").alias("main"))  # not settled yet
         outside = now.join(main, "token").where("root <> main")
-        open_lists = now.join(main.select("token"), "token", "left_semi")
-        meets = outside.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
-        if not meets:
-            break
-        if meets <= LIGHT * size or turn == ROUNDS:  # what is left, in full
-            edges = edges.unionByName(sets.links(_pairs(outside, open_lists, percent).where("shared >= m")))
-            break
-        order = Window.partitionBy("token").orderBy(F.xxhash64("c", F.lit(turn)), "c")
-        chosen = outside.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= pivots)
-        edges = cut(edges.unionByName(sets.links(_pairs(chosen, open_lists, percent).where("shared >= m"))))
+        if last:
+            pairs = _pairs(outside, now.join(main, "token", "left_semi"), percent, "heavy")
+        else:
+            order = Window.partitionBy("token").orderBy(F.xxhash64("c"), "c")
+            chosen = now.join(main, "token").where("root = main").withColumn("nth", F.row_number().over(order))
+            pairs = _pairs(chosen.where(F.col("nth") <= pivots), outside, percent, "heavy")
+        edges = cut(edges.unionByName(sets.links(pairs.where("shared >= matches"))))
     return edges
 
 
