@@ -342,7 +342,6 @@ PLANS = {
     "classification_report": classification_report,
     "confusion_matrix": confusion_matrix,
     "coefficient_table": coefficient_table,
-    "top_coefficients": top_coefficients,
     "score_users": score_users,
     "risk_band_counts": risk_band_counts,
     "fixed_binary_metrics": fixed_binary_metrics,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from subscope import schema as S
 from subscope.functions import count_when, pct
 from subscope.operators.dedup import duplicate_count
-from subscope.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
+from subscope.operators.quantiles import quantiles_of_counts, written_counts
 from subscope.operators.reshape import one_row, scalar, unpivot
 from subscope.params import DEFAULT_PERIOD, Period
 from subscope.sources.binding import Tables
@@ -79,12 +79,12 @@ def iqr_outliers(t: Tables, p: Period = DEFAULT_PERIOD, dedup: bool = True) -> D
     for table, col in OUTLIER_COLUMNS:
         df = getattr(t, table)
         df = df.dropDuplicates() if dedup else df
-        counts = value_counts(df, col)
+        counts = _counts(t, df, table, col, dedup)
         q = quantiles_of_counts(counts, [0.25, 0.75], ["q1", "q3"])
         q = q.select("q1", "q3", (C("q3") - C("q1")).alias("iqr"))
         q = q.withColumn("upper_fence", C("q3") + F.lit(S.IQR_FENCE) * C("iqr"))
         beyond = counts.agg(_rows_above(scalar(q, "upper_fence")).alias("outlier_count"))
-        rows = df.agg(F.count(F.lit(1)).alias("_rows"))  # rows without a value count too
+        rows = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("_rows"))  # rows without a value count too
         r = one_row(q, beyond, rows)
         out.append(r.select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
                             *[F.round(C(c), ROUND_DIGITS).alias(c) for c in ("q1", "q3", "iqr", "upper_fence")],
@@ -92,6 +92,12 @@ def iqr_outliers(t: Tables, p: Period = DEFAULT_PERIOD, dedup: bool = True) -> D
     return _union(out)
 
 
+def _counts(t: Tables, df: DataFrame, table: str, col: str, dedup: bool = True) -> DataFrame:
+    """The column's values and counts, written once; queries over the same tables share the files."""
+    token = getattr(t, "token", None)
+    return written_counts(df, col, None if token is None else f"{token} {table} {col} {dedup}")
+
+
 def _rows_above(bound) -> F.Column:
     """Rows of a (v, c) frame with a value above ``bound``."""
     return F.coalesce(F.sum(F.when(C("v") > bound, C("c"))), F.lit(0))
@@ -101,7 +107,7 @@ def cap_at_p99(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """The p99 cap per column and how many rows it changes."""
     out = []
     for table, col in CAP_COLUMNS:
-        counts = value_counts(getattr(t, table).dropDuplicates(), col)
+        counts = _counts(t, getattr(t, table).dropDuplicates(), table, col)
         cap = quantiles_of_counts(counts, [S.CAP_QUANTILE], ["cap"])
         n = counts.agg(_rows_above(scalar(cap, "cap")).alias("rows_capped"))
         out.append(one_row(cap, n).select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
@@ -111,34 +117,35 @@ def cap_at_p99(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
 
 def impute_median(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """The CSAT fill value (median truncated to an integer) and how many NULLs it fills."""
-    tk = t.support_tickets.dropDuplicates()
-    med = exact_quantiles(tk, "satisfaction_score", [0.5], ["m"])
-    n = tk.agg(count_when(C("satisfaction_score").isNull()).alias("imputed_count"))
+    counts = _counts(t, t.support_tickets.dropDuplicates(), "support_tickets", "satisfaction_score")
+    med = quantiles_of_counts(counts, [0.5], ["m"])
+    n = counts.agg(F.coalesce(F.sum(F.when(C("v").isNull(), C("c"))), F.lit(0)).alias("imputed_count"))
     return one_row(med, n).select(C("m").cast("long").alias("median_csat"), "imputed_count")
 
 
-def _capped(df: DataFrame, col: str) -> DataFrame:
+def _capped(t: Tables, table: str, col: str) -> DataFrame:
     """Without repeated rows, ``col`` capped at its p99 (DOUBLE: the cap may be fractional)."""
-    df = df.dropDuplicates()
-    cap = scalar(exact_quantiles(df, col, [S.CAP_QUANTILE], ["cap"]), "cap")
+    df = getattr(t, table).dropDuplicates()
+    cap = scalar(quantiles_of_counts(_counts(t, df, table, col), [S.CAP_QUANTILE], ["cap"]), "cap")
     v = C(col).cast("double")
     return df.withColumn(col, F.when(v > cap, cap).otherwise(v))
 
 
 def clean_sessions(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """The cleaned sessions: repeated rows dropped, minutes capped at p99."""
-    return _capped(t.user_sessions, "session_duration_minutes")
+    return _capped(t, "user_sessions", "session_duration_minutes")
 
 
 def clean_events(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """The cleaned events: repeated rows dropped, seconds capped at p99."""
-    return _capped(t.feature_events, "time_spent_seconds")
+    return _capped(t, "feature_events", "time_spent_seconds")
 
 
 def clean_tickets(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """The cleaned tickets: repeated rows dropped, NULL CSAT filled with the truncated median."""
     tk = t.support_tickets.dropDuplicates()
-    med = scalar(exact_quantiles(tk, "satisfaction_score", [0.5], ["m"]), "m")
+    counts = _counts(t, tk, "support_tickets", "satisfaction_score")
+    med = scalar(quantiles_of_counts(counts, [0.5], ["m"]), "m")
     return tk.withColumn("satisfaction_score", F.coalesce(C("satisfaction_score"), med.cast("int")))
 
 

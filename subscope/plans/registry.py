@@ -11,18 +11,19 @@ from subscope.sources.binding import Tables, bind
 
 
 def _plans() -> dict[str, Callable[..., DataFrame]]:
-    from subscope.plans import churn, kpis, proactive, quality, queries, segments, transfers
+    from subscope.plans import catalog, churn, kpis, linear_model, proactive, quality, queries, segments, transfers
     out = dict(queries.QUERIES)
-    for module in (kpis, quality, churn, segments, proactive, transfers):
+    for module in (kpis, quality, churn, linear_model, segments, proactive, transfers, catalog):
         out.update(module.PLANS)
     return out
 
 
 def _sql(p: Period) -> dict[str, str]:
-    from subscope.oracle import churn_sql, kpis_sql, proactive_sql, quality_sql, queries_sql, segments_sql, transfers_sql
+    from subscope.oracle import catalog_sql, churn_sql, kpis_sql, model_sql, proactive_sql, quality_sql, queries_sql, segments_sql, transfers_sql
     out = dict(queries_sql.query_sql(p))
-    for module in (kpis_sql, quality_sql, churn_sql, segments_sql, proactive_sql, transfers_sql):
+    for module in (kpis_sql, quality_sql, churn_sql, model_sql, segments_sql, proactive_sql, transfers_sql):
         out.update(module.sql(p))
+    out.update(catalog_sql.sql(out))
     return out
 
 

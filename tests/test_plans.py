@@ -20,7 +20,18 @@ def _plan(spark, name):
 def test_no_cartesian_product(spark, name):
     plan = _plan(spark, name)
     assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan or name in {"iqr_outliers", "cap_at_p99", "impute_median"}
+    assert "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name,tables", [("iqr_outliers", 3), ("cap_at_p99", 2), ("impute_median", 1), ("clean_sessions", 1)])
+def test_quantiles_read_a_table_at_most_twice(spark, name, tables):
+    """Once for the written counts while the plan is built, and once more only where its rows are the result."""
+    from subscope.sources import store
+    store.purge_intermediates(spark)
+    plan = _plan(spark, name)
+    root = registry.tables_for(spark, SF_SMALL).root.rsplit("/", 1)[1]
+    scans = [line for line in plan.splitlines() if "FileScan" in line and root in line]
+    assert len(scans) <= (1 if name.startswith("clean") else 0), scans
 
 
 def test_top3_limits_before_the_shuffle(spark):

@@ -121,7 +121,7 @@ def _copy_tables(src, names):
     import shutil
     d = tempfile.mkdtemp(prefix="subscope-in-", dir="/tmp")
     for n in names:
-        shutil.copy(f"{src}/{n}.parquet", f"{d}/{n}.parquet")
+        shutil.copyfile(f"{src}/{n}.parquet", f"{d}/{n}.parquet")
     return d
 
 
