@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -72,16 +75,25 @@ def slot_bitmap(slots: DataFrame, slot: str = "slot") -> DataFrame:
             .agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({slot}))").alias("_bits")))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``df`` has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_membership(df: DataFrame, slot: Column, bitmap: DataFrame, name: str) -> DataFrame:
     """``df`` with boolean ``name``: whether the slot is set. The bitmap is broadcast; its size is
     fixed by SLOTS. A false positive is possible for hashed slots, a false negative is not."""
-    place = "bitmap_bit_position(_llm_slot)"
-    byte = f"conv(hex(substring(_bits, cast({place} div 8 + 1 as int), 1)), 16, 10)"
+    at, bucket, bits = (free(df, c) for c in ("_llm_slot", "_bucket", "_bits"))
+    place = f"bitmap_bit_position({at})"
+    byte = f"conv(hex(substring({bits}, cast({place} div 8 + 1 as int), 1)), 16, 10)"
     hit = F.expr(f"getbit(cast({byte} as int), cast({place} % 8 as int)) = 1")
-    return (df.withColumn("_llm_slot", slot)
-            .join(F.broadcast(bitmap), F.expr("bitmap_bucket_number(_llm_slot)") == F.col("_bucket"), "left")
+    return (df.withColumn(at, slot)
+            .join(F.broadcast(bitmap.toDF(bucket, bits)), F.expr(f"bitmap_bucket_number({at})") == F.col(bucket), "left")
             .withColumn(name, F.coalesce(hit, F.lit(False)))
-            .drop("_llm_slot", "_bucket", "_bits"))
+            .drop(at, bucket, bits))
 
 
 def id_slot(col: str) -> Column:
@@ -95,14 +107,15 @@ def without(df: DataFrame, gone: DataFrame, id_col: str, also: Column | None = N
     Rows whose id misses the bitmap of gone ids stay without a shuffle; only the others, the
     gone rows and a few false positives, meet ``gone`` in an exact anti join.
     """
-    gone = cut(gone.toDF("_gone", "_also") if also is not None else gone.toDF("_gone")).distinct()
-    slots = slot_bitmap(gone.select(id_slot("_gone").alias("slot")))
-    marked = with_membership(df, id_slot(id_col), slots, "_llm_maybe")
-    same = F.col(id_col).eqNullSafe(F.col("_gone"))
+    key, value, maybe = (free(df, c) for c in ("_gone", "_also", "_llm_maybe"))
+    gone = cut(gone.toDF(key, value) if also is not None else gone.toDF(key)).distinct()
+    slots = slot_bitmap(gone.select(id_slot(key).alias("slot")))
+    marked = with_membership(df, id_slot(id_col), slots, maybe)
+    same = F.col(id_col).eqNullSafe(F.col(key))
     if also is not None:
-        same = same & also.eqNullSafe(F.col("_also"))
-    tested = marked.where("_llm_maybe").join(gone, same, "left_anti")
-    return marked.where("NOT _llm_maybe").unionByName(tested).select(*[F.col(f"`{c}`") for c in df.columns])
+        same = same & also.eqNullSafe(F.col(value))
+    tested = marked.where(maybe).join(gone, same, "left_anti")
+    return marked.where(f"NOT {maybe}").unionByName(tested).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -119,12 +132,33 @@ def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         start = end
 
 
+def give_back() -> None:
+    """Freed memory back to the system: Python workers outlive their tasks, and executors count them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it keeps
+        pass
+
+
+def per_worker(key: str, make: Callable[[], object]) -> object:
+    """``make()``, kept in this Python process for the tasks that come after. Functions travel by value,
+    so a module of theirs would be new in every task."""
+    kept = sys.modules.setdefault("_subscope_kept", types.ModuleType("_subscope_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices, without a copy: what a task makes of a slice's texts is small and goes
     before the next slice."""
+    give_back()  # what the worker's last task has left
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        give_back()
 
 
 def keep_rows(df: DataFrame, text_col: str, decider: Callable[[], Callable[[list], object]]) -> DataFrame:

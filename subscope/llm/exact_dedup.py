@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subscope.llm.common import SLOTS, cut, id_slot, keyed, salted_lookup, slot_bitmap, with_membership, without
+from subscope.llm.common import SLOTS, cut, free, id_slot, keyed, salted_lookup, slot_bitmap, with_membership, without
 
 #: characters whose hash makes the second level
 PREFIX = 256
@@ -79,8 +79,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = cut(exact_dedup(docs, id_col, text_col, {"text_hash": F.sha2("text", 256)}).where("NOT kept"))
     gone = found.select("doc_id", "text_hash")
     # rows that repeat the kept row's id too: all of them leave above, and one comes back
-    twice = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_hash").distinct().toDF("_id", "_hash")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (full_hash == F.col("_hash"))
-    again = with_membership(docs, id_slot(id_col), slot_bitmap(twice.select(id_slot("_id").alias("slot"))), "_llm_maybe")
-    again = again.where("_llm_maybe").join(twice, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, value, maybe = (free(docs, c) for c in ("_id", "_hash", "_llm_maybe"))
+    twice = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_hash").distinct().toDF(key, value)
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (full_hash == F.col(value))
+    again = with_membership(docs, id_slot(id_col), slot_bitmap(twice.select(id_slot(key).alias("slot"))), maybe)
+    again = again.where(maybe).join(twice, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     return without(docs, gone, id_col, full_hash).unionByName(again.dropDuplicates([id_col, text_col]))
