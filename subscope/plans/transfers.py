@@ -8,6 +8,7 @@ the tables' content and used again, so repeated runs leave nothing more behind.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -51,6 +52,24 @@ def parquet_tables(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     return _digest(files.read_tables_parquet(t.users.sparkSession, path))
 
 
+def facts_by_month(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    """The facts loaded by month, the reporting month loaded once more over itself, and all read
+    back: months, rows, users and an exact sum per table, and the rows of the reporting month."""
+    spark, path = t.users.sparkSession, f"{_folder(t, p, 'months')}-{uuid.uuid4().hex}"
+    files.load_facts_by_month(t, path)
+    files.load_facts_by_month(t, path, [p.month])
+    frames = []
+    for name, column in CHECKED:
+        if name in files.FACT_DATES:
+            facts = files.read_facts_by_month(spark, path, name)
+            frames.append(facts.agg(
+                F.countDistinct(files.MONTH).alias("months"), F.count(F.lit(1)).alias("row_count"),
+                F.countDistinct("user_id").alias("user_count"),
+                F.sum(F.col(column).cast("decimal(20,2)")).cast("double").alias("column_sum"),
+                F.count(F.when(F.col(files.MONTH) == p.month, 1)).alias("period_rows")).withColumn("table_name", F.lit(name)))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def fallback_tables(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """Of a folder that is missing and a CSV export that is there, the second is
     loaded. One row per source, in order: its label, whether it was used, and the rows it gave."""
@@ -68,33 +87,34 @@ def fallback_tables(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _metric_files(t: Tables, p: Period) -> str:
-    path = _folder(t, p, "metrics")
-    files.write_metric_tables(path, kpis.kpi_summary(t, p), kpis.ab_metrics(t, p), kpis.cohort_retention_matrix(t, p),
-                              kpis.monthly_mrr(t, p))
-    return path
+def _metric_file(t: Tables, p: Period, name: str, frame: DataFrame) -> str:
+    """The folder of one metric output, written alone: a key does the work of the file it reads."""
+    root = f"{_folder(t, p, 'metrics')}-{uuid.uuid4().hex}"
+    files.write_metric_table(root, name, frame)
+    return f"{root}/{name}"
 
 
 def metric_files_kpis(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    """The metric outputs written as CSV; the KPI summary read back."""
-    return files.read_metric_csv(t.users.sparkSession, f"{_metric_files(t, p)}/kpis", files.KPI_SCHEMA)
+    """A metric output written as CSV and read back."""
+    return files.read_metric_csv(t.users.sparkSession, _metric_file(t, p, "kpis", kpis.kpi_summary(t, p)), files.KPI_SCHEMA)
 
 
 def metric_files_ab(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    return files.read_metric_csv(t.users.sparkSession, f"{_metric_files(t, p)}/ab_test_metrics", files.AB_SCHEMA)
+    return files.read_metric_csv(t.users.sparkSession, _metric_file(t, p, "ab_test_metrics", kpis.ab_metrics(t, p)), files.AB_SCHEMA)
 
 
 def metric_files_cohorts(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    return files.read_metric_csv(t.users.sparkSession, f"{_metric_files(t, p)}/cohort_retention")
+    return files.read_metric_csv(t.users.sparkSession, _metric_file(t, p, "cohort_retention", kpis.cohort_retention_matrix(t, p)))
 
 
 def metric_files_monthly(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
-    return files.read_metric_csv(t.users.sparkSession, f"{_metric_files(t, p)}/monthly_metrics", files.MONTHLY_SCHEMA)
+    return files.read_metric_csv(t.users.sparkSession, _metric_file(t, p, "monthly_metrics", kpis.monthly_mrr(t, p)), files.MONTHLY_SCHEMA)
 
 
 PLANS = {
     "csv_tables": csv_tables,
     "parquet_tables": parquet_tables,
+    "facts_by_month": facts_by_month,
     "fallback_tables": fallback_tables,
     "metric_files_kpis": metric_files_kpis,
     "metric_files_ab": metric_files_ab,

@@ -61,6 +61,41 @@ def read_tables_parquet(spark: SparkSession, path: str) -> Tables:
     return Tables(*(spark.read.schema(S.SCHEMAS[n]).parquet(f"{path}/{n}") for n in TABLE_ORDER))
 
 
+# ---------------------------------------------------------------- facts by month
+
+#: the date that a fact belongs to
+FACT_DATES = {"user_sessions": "session_date", "transactions": "transaction_date",
+              "support_tickets": "ticket_date", "feature_events": "event_time"}
+MONTH = "month"
+
+
+def _by_month(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with its month, dealt so that a task writes few months and a large month has several tasks."""
+    months = df.withColumn(MONTH, F.date_format(FACT_DATES[name], "yyyy-MM"))
+    return months.hint("rebalance", MONTH).sortWithinPartitions(MONTH, FACT_DATES[name])
+
+
+def load_facts_by_month(t: Tables, path: str, months: list[str] | None = None) -> None:
+    """The four fact tables under ``path``, one folder a month. With ``months``, only theirs are loaded.
+
+    Overwriting is dynamic: a month that is loaded replaces that month, and all others stay."""
+    for name in FACT_DATES:
+        df = _by_month(getattr(t, name), name)
+        df = df if months is None else df.where(F.col(MONTH).isin(months))
+        df.write.partitionBy(MONTH).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{name}")
+
+
+def append_facts(df: DataFrame, path: str, name: str) -> None:
+    """Rows added to fact table ``name``, each to its month."""
+    _by_month(df, name).write.partitionBy(MONTH).mode("append").parquet(f"{path}/{name}")
+
+
+def read_facts_by_month(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Fact table ``name`` with its month; a condition on the month is a choice of folders."""
+    schema = T.StructType([*S.SCHEMAS[name].fields, T.StructField(MONTH, T.StringType())])
+    return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+
 def load_tables(sources: list[tuple[str, Callable[[], Tables]]]) -> tuple[Tables | None, str | bool, dict[str, str]]:
     """First source that resolves wins: (tables, its label, reasons), or (None, False, reasons).
 
@@ -97,15 +132,20 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_metric_table(path: str, name: str, frame: DataFrame) -> None:
+    """One metric output, a small aggregate, as one CSV file under ``path``/``name``. The cohort matrix has
+    its periods in numeric order."""
+    if "signup_cohort" in frame.columns:
+        periods = sorted((c for c in frame.columns if c != "signup_cohort"), key=int)
+        frame = frame.select("signup_cohort", *periods).orderBy("signup_cohort")
+    write_csv(frame, f"{path}/{name}", True)
+
+
 def write_metric_tables(path: str, kpis: DataFrame, ab: DataFrame, cohort_matrix: DataFrame,
                         monthly: DataFrame) -> None:
-    """The four metric outputs. All are small aggregates; each is written as one file."""
-    write_csv(kpis, f"{path}/kpis", True)
-    write_csv(ab, f"{path}/ab_test_metrics", True)
-    periods = sorted((c for c in cohort_matrix.columns if c != "signup_cohort"), key=int)
-    write_csv(cohort_matrix.select("signup_cohort", *periods).orderBy("signup_cohort"),
-              f"{path}/cohort_retention", True)
-    write_csv(monthly, f"{path}/monthly_metrics", True)
+    """The four metric outputs."""
+    for name, frame in (("kpis", kpis), ("ab_test_metrics", ab), ("cohort_retention", cohort_matrix), ("monthly_metrics", monthly)):
+        write_metric_table(path, name, frame)
 
 
 def read_metric_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
