@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subscope.llm.common import cut, keyed, sliced
+from subscope.llm.common import cut, keyed, per_worker, sliced
 from subscope.llm.word_bpe import Encoder
 
 CAPACITY = 2048
@@ -49,7 +49,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     docs = keyed(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = per_worker(f"word_bpe {tokenizer}", lambda: Encoder(tokenizer))
         end = np.array([END], "<u4").tobytes()
         for batch in sliced(batches):
             rows, cols = [], ([], [], [], [], [])

@@ -1,25 +1,26 @@
 """Token ids of a lower-casing word-level BPE tokenizer file, with repeated words looked up.
 
 White space never reaches the model, so each space- or newline-separated chunk of a text has
-its ids on its own. Chunks of plain characters are cut into the tokenizer's own pre-tokens
-here and only new words go to its model; any other chunk goes to the whole tokenizer.
+its ids on its own. Stretches of plain characters are cut into the tokenizer's own pre-tokens
+here, all at once, and only new words go to its model; any other chunk goes to the whole
+tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 #: chunks and words kept at once; the memory bound of a task (about 200 bytes each)
-CACHE = {"chunks": 200_000, "words": 400_000}
+CACHE = {"chunks": 50_000, "words": 400_000}
 #: longer chunks are not kept
 LONGEST = 64
 #: visible ASCII and Latin letters without compositions: no normalisation beyond lower case
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ɏ]*")
-#: the pre-tokens of the tokenizer file, for plain characters
-_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+_PLAIN_TEXT = re.compile(r"[ \n!-~À-ÖØ-öø-įı-ɏ]*")
+#: the pre-tokens of the tokenizer file, for plain characters in lower case; none holds white space
+_PRE_TOKEN = re.compile(r"[a-zß-öø-įı-ɏ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -29,34 +30,51 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Words(dict):
-    def __init__(self, model):
-        self.model, self.letters = model, _byte_letters()
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Kept(dict):
+    """A dictionary of the last words asked for: when half of ``most`` are new, those that were not asked
+    for since the half before go, and frequent ones stay."""
+
+    def __init__(self, most: int):
+        self.most, self.before = most, {}
 
     def __missing__(self, word: str) -> bytes:
-        shown = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-        ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        if len(self) >= CACHE["words"]:
-            self.clear()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.made(word)
         if len(word) <= LONGEST:
+            if len(self) >= self.most // 2:
+                self.before = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
 
-class _Chunks(dict):
+class _Words(_Kept):
+    def __init__(self, model):
+        super().__init__(CACHE["words"])
+        self.model, self.letters = model, _byte_letters()
+
+    def made(self, word: str) -> bytes:
+        shown = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+        return _packed([t.id for t in self.model.tokenize(shown)])
+
+
+class _Chunks(_Kept):
     def __init__(self, tokenizer):
+        super().__init__(CACHE["chunks"])
         self.tokenizer, self.words = tokenizer, _Words(tokenizer.model)
 
-    def __missing__(self, chunk: str) -> bytes:
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _PRE_TOKEN.findall(text.lower())))
+
+    def made(self, chunk: str) -> bytes:
         if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            ids = b"".join(map(self.words.__getitem__, _PRE_TOKEN.findall(chunk.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE["chunks"]:
-            self.clear()
-        if len(chunk) <= LONGEST:
-            self[chunk] = ids
-        return ids
+            return self.plain(chunk)
+        return _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
 
 class Encoder:
@@ -73,6 +91,10 @@ class Encoder:
         while start < len(text):
             end = text.find(" ", start + block) if start + block < len(text) else -1
             end = len(text) if end < 0 else end
-            out.extend(map(self.chunks.__getitem__, text[start:end].replace("\n", " ").split(" ")))
+            part = text[start:end]
+            if "<|" not in part and _PLAIN_TEXT.fullmatch(part):
+                out.append(self.chunks.plain(part))
+            else:
+                out.extend(map(self.chunks.__getitem__, part.replace("\n", " ").split(" ")))
             start = end
         return b"".join(out)
