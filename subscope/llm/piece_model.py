@@ -82,15 +82,18 @@ class Pieces:
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
+    def merges_to(self, last: int, piece: int) -> bool:
+        """Whether merging the characters of both gives the two back."""
+        pair = [self.text[piece]] if last == UNKNOWN else [self.text[last], self.text[piece]]
+        return self._merged(list("".join(pair))) == pair
+
     def follows(self, last: int, piece: int) -> bool:
         """Whether ``piece`` may come after ``last`` (UNKNOWN: after a word's start or an unknown character)."""
         if not self.bpe:
             return True
         known = self._pairs.get((last, piece))
         if known is None:
-            b = self.text[piece]
-            pair = [b] if last == UNKNOWN else [self.text[last], b]
-            known = self._merged(list("".join(pair))) == pair
+            known = self.merges_to(last, piece)
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             self._pairs[last, piece] = known

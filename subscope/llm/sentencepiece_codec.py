@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subscope.llm.common import keyed, sliced
+from subscope.llm.common import keyed, per_worker, sliced
 from subscope.llm.piece_model import SPACE, UNKNOWN, Pieces, groups
 
 #: words kept encoded before a group of new texts, and the longest of them
@@ -33,6 +33,9 @@ CACHE = 300_000
 LONGEST = 64
 #: groups of fewer words, and longer words, go one by one
 FEW = 16
+#: pairs of pieces remembered, and new ones before they are sorted in
+PAIRS, NEW_PAIRS = 2_000_000, 20_000
+_DONE = UNKNOWN - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,6 +59,17 @@ def _codes(same_length: list[str]) -> np.ndarray:
     return np.frombuffer("".join(same_length).encode("utf-32-le"), "<u4").reshape(len(same_length), -1)
 
 
+def byte_table(pieces: Pieces) -> list[bytes]:
+    """The bytes that each id stands for."""
+    single = {i: bytes([b]) for b, i in pieces.byte.items()}
+    return [single.get(i) or t.encode() for i, t in enumerate(pieces.text)]
+
+
+def decoded(ids: list[int], table: list[bytes]) -> str:
+    text = b"".join([table[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+    return text[1:] if text.startswith(" ") else text
+
+
 class Codec:
     def __init__(self, path: str, kind: str = "bpe"):
         self.pieces = Pieces(path, kind)
@@ -72,16 +86,38 @@ class Codec:
             raise ValueError("two pieces have one hash")
         self.powers = np.cumprod(np.full(self.pieces.longest + 1, _BASE))
         self.cache: dict[str, bytes] = {}
-        text = self.pieces.text
-        self.bytes = [bytes([int(t[3:5], 16)]) if i in set(self.pieces.byte.values()) else t.encode() for i, t in enumerate(text)]
+        self.bytes = byte_table(self.pieces)
+        #: pairs known to follow or not: sorted keys, and new ones since they were sorted
+        self.pairs, self.follow = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.new_pairs: dict[int, bool] = {}
 
     def _follow(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        key, back = np.unique((last + 1) << 32 | piece, return_inverse=True)
-        ok = np.fromiter((self.pieces.follows((k >> 32) - 1, k & 0xFFFFFFFF) for k in key.tolist()), bool, len(key))
-        return ok[back]
+        keys = (last + 1) << 32 | piece
+        out = np.zeros(len(keys), bool)
+        at = np.searchsorted(self.pairs, keys).clip(max=max(len(self.pairs) - 1, 0))
+        known = self.pairs[at] == keys if len(self.pairs) else out.copy()
+        out[known] = self.follow[at[known]]
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            asked, back = np.unique(keys[rest], return_inverse=True)
+            for k in asked.tolist():
+                if k not in self.new_pairs:
+                    self.new_pairs[k] = self.pieces.merges_to((k >> 32) - 1, k & 0xFFFFFFFF)
+            out[rest] = np.fromiter(map(self.new_pairs.__getitem__, asked.tolist()), bool, len(asked))[back]
+            if len(self.new_pairs) > NEW_PAIRS:
+                keys = np.concatenate([self.pairs, np.fromiter(self.new_pairs, np.int64, len(self.new_pairs))])
+                ok = np.concatenate([self.follow, np.fromiter(self.new_pairs.values(), bool, len(self.new_pairs))])
+                order = np.argsort(keys)
+                self.pairs, self.follow = (keys[order], ok[order]) if len(keys) <= PAIRS else (np.zeros(0, np.int64), np.zeros(0, bool))
+                self.new_pairs = {}
+        return out
 
     def viterbi(self, same_length: list[str]) -> list[list[int]]:
         """Ids of words of one length, which advance together."""
+        return [np.frombuffer(ids, "<i4").tolist() for ids in self.packed(same_length)]
+
+    def packed(self, same_length: list[str]) -> list[bytes]:
+        """``viterbi`` as little-endian 32-bit integers."""
         p, n = self.pieces, len(same_length[0])
         hashes = _prefix_hashes(_codes(same_length))
         score = np.full((len(same_length), n + 1), -np.inf)
@@ -105,15 +141,29 @@ class Codec:
                 score[rows, end], last[rows, end], length[rows, end] = total[better], piece, size
             lost = np.isneginf(score[:, end])
             score[lost, end] = score[lost, end - 1] + p.unknown_score
-        return [p.trace(w, a, b) for w, a, b in zip(same_length, last, length, strict=True)]
+        return self._traces(same_length, last, length)
+
+    def _traces(self, same_length: list[str], last: np.ndarray, length: np.ndarray) -> list[bytes]:
+        """All words' paths along their back pointers, one step of every word at a time."""
+        rows, ends, steps = np.arange(len(same_length)), np.full(len(same_length), len(same_length[0])), []
+        while ends.any():
+            steps.append(np.where(ends > 0, last[rows, ends], _DONE))
+            ends = ends - np.where(ends > 0, length[rows, ends], 0)
+        path = np.stack(steps[::-1], axis=1)
+        used = path != _DONE
+        flat, stops = path[used].astype("<i4").tobytes(), np.cumsum(used.sum(1)) * 4
+        out = [flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+        for row in np.flatnonzero((path == UNKNOWN).any(1)):  # characters without a piece
+            out[row] = np.array(self.pieces.trace(same_length[row], last[row], length[row]), "<i4").tobytes()
+        return out
 
     def learn(self, new: set[str]) -> None:
         """Encode words that are not kept yet."""
         for size, same in groupby(sorted(new, key=len), key=len):
             same = list(same)
             one_by_one = len(same) < FEW or size > LONGEST
-            ids = map(self.pieces.encode_word, same) if one_by_one else self.viterbi(same)
-            self.cache.update((w, np.array(i, "<i4").tobytes()) for w, i in zip(same, ids, strict=True))
+            ids = (np.array(self.pieces.encode_word(w), "<i4").tobytes() for w in same) if one_by_one else self.packed(same)
+            self.cache.update(zip(same, ids, strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -130,8 +180,7 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        return decoded(ids, self.bytes)
 
 
 def encode(df: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text",
@@ -141,7 +190,7 @@ def encode(df: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id",
     extra = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, kind)
+        codec = per_worker(f"codec {kind} {model}", lambda: Codec(model, kind))
         for batch in sliced(batches, 2048):
             found = codec.encode(batch.column(1).to_pylist())
             offsets = np.cumsum([0, *map(len, found)])
@@ -158,8 +207,8 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", to: str = "decoded")
     """``df`` with the ids' text in column ``to``; null ids give null."""
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(model)
+        table = per_worker(f"bytes {model}", lambda: byte_table(Pieces(model)))
         for ids in batches:
-            yield ids.map(lambda row: None if row is None else codec.decode(row.tolist()))
+            yield ids.map(lambda row: None if row is None else decoded(row.tolist(), table))
 
     return df.withColumn(to, text(ids_col))
