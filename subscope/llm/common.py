@@ -21,6 +21,9 @@ HEAVY = 4096
 #: slots of a membership bitmap: 2**24 bits are 2 MB, whatever the data
 SLOTS = 1 << 24
 
+#: bytes of an Arrow batch of whole texts; a single longer text is a batch of its own
+BATCH_BYTES = 4 << 20
+
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -34,9 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands rows to Python in batches of at most BATCH_BYTES: 10,000 whole
+    texts at once, Spark's default, have no bound. A smaller bound of the session's own stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (conf.get(name) or "").rstrip("bB")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """(doc_id, text, *more) with a null text as the empty one; other columns are left out."""
-    return df.select(F.col(id_col).alias("doc_id"),
+    return bounded_batches(df).select(F.col(id_col).alias("doc_id"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
@@ -171,4 +184,4 @@ def keep_rows(df: DataFrame, text_col: str, decider: Callable[[], Callable[[list
         for batch in sliced(batches):
             yield batch.filter(pa.array(decide(batch.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return bounded_batches(df).mapInArrow(run, df.schema)

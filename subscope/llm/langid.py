@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subscope.llm.common import cut, keep_rows, keyed, sliced
+from subscope.llm.common import bounded_batches, cut, keep_rows, keyed, sliced
 
 NONE = "und"
 #: characters of an n-gram; a word's ends count as a space
@@ -44,7 +44,7 @@ SHARE = 0.2
 COVER = 0.25
 #: characters looked up at once; n-grams that a task keeps counted before it hands them on
 BLOCK = 1 << 18
-HELD = 2_000_000
+HELD = 500_000
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _MIX = 0xBF58476D1CE4E5B9
@@ -169,7 +169,7 @@ class Model:
 
 def ngram_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, gram, n): counts over all rows of ``df`` that have a text and a language."""
-    df = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
+    df = bounded_batches(df).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
