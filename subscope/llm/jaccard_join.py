@@ -31,17 +31,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subscope.llm.common import (SALTS, SLOTS, blocks, cut, id_slot, keyed, lookup, salted_lookup, sliced, slot_bitmap,
+from subscope.llm.common import (SALTS, blocks, cut, id_slot, keyed, lookup, salted_lookup, sliced, slot_bitmap,
                                  with_membership, without)
 from subscope.llm.components import components
+from subscope.llm.prefix_trie import ROWS, repeated_slots
 
 WORDS, PERCENT = 5, 80
 #: longest list of classes whose pairs are taken directly
 LIGHT = 64
 #: most matches that a prefix may be lengthened for
 MATCHES = 8
-#: shingles a slot of the frequency sketch holds on average, and its least and most slots as powers of two (32 MB)
-PER_SLOT, MIN_BITS, MAX_BITS = 8, 16, 24
+#: shingles a slot of the frequency sketch holds on average, and its least and most slots as powers of two (8 MB)
+PER_SLOT, MIN_BITS, MAX_BITS = 8, 16, 22
+#: slots for each posting in a row of the sketch that screens them, and its most slots as a power of two (64 MB in all)
+SCREEN_SLOTS, SCREEN_BITS = 2, 28
+#: partners of one class whose sets meet in one task
+PARTNERS = 256
 #: slots that a task holds before it sends their counts
 HELD = 1 << 22
 #: members of a long list's main component that all outside it meet first
@@ -152,16 +157,45 @@ def prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray, nois
                 pa.array([len(sets[i]) for i in some], pa.int64()), pa.array([m for m, _ in found], pa.int64()),
                 pa.array([t.view(np.int64) for _, t in found], pa.list_(pa.int64()))], ["id", "c", "n", "m", "tokens"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['doc_id'].dataType.simpleString()}, c long, n long, m long, tokens array<long>")
+    out = cut(docs.mapInArrow(run, f"id {docs.schema['doc_id'].dataType.simpleString()}, c long, n long, m long, tokens array<long>"))
+    shared.destroy()
+    return out
+
+
+def _screened(found: DataFrame) -> DataFrame:
+    """(id, c, n, m, token) of the tokens that a count-min sketch of all prefixes does not prove to be
+    the only ones of their kind."""
+    total = found.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    bits = min(SCREEN_BITS, max(MIN_BITS, (SCREEN_SLOTS * total).bit_length()))
+    chunks = repeated_slots(found.select(F.explode("tokens")), bits).collect()  # at most 2 ** (bits - 16) rows a hash row
+    more = np.zeros((ROWS << bits) // 8, np.uint8)
+    for r in chunks:
+        more[r["chunk"] << 13:(r["chunk"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    shared = found.sparkSession.sparkContext.broadcast(more)  # bounded by SCREEN_BITS
+    mask = np.uint64((1 << bits) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            tokens = batch.column(4)
+            h = tokens.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().to_numpy(zero_copy_only=False))
+            maybe = np.ones(len(h), bool)
+            for r in range(ROWS):
+                slot = ((h.view(np.uint64) >> np.uint64(32 * r)) & mask).astype(np.int64) + (r << bits)
+                maybe &= (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            rows = pa.array(owner[maybe])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(4)], pa.array(h[maybe])], ["id", "c", "n", "m", "token"])
+
+    out = cut(found.mapInArrow(run, f"id {found.schema['id'].dataType.simpleString()}, c long, n long, m long, token long"))
+    shared.destroy()
+    return out
 
 
 def postings(found: DataFrame, light: int) -> DataFrame:
     """(token, times, id, c, n, m, posted, heavy) of the prefix tokens that several classes have; ``times``: length
     of the token's list, ``posted``: the class's tokens, ``heavy``: those in lists longer than ``light``."""
-    rows = found.select("id", "c", "n", "m", F.explode("tokens").alias("token"))
+    rows = _screened(found)
     lists = cut(rows.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"))
-    slot = F.pmod("token", F.lit(SLOTS))
-    rows = with_membership(rows, slot, slot_bitmap(lists.select(slot.alias("slot"))), "maybe").where("maybe").drop("maybe")
     total = lists.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     # a repeated row: one posting
     rows = cut(lookup(rows, ["token"], lists, "times", total).where("times IS NOT NULL").groupBy("token", "times", "c", "n", "m")
@@ -205,7 +239,11 @@ class _Sets:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, ida, b, idb; a may be in very many) that reach the similarity, as (a, b)."""
-        pairs = cut(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))))
+        pairs = cut(pairs)
+        # a class with very many partners has its set in several tasks
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts")).where("parts > 1")
+        pairs = salted_lookup(pairs, ["a"], F.col("b"), parts)
+        pairs = cut(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).drop("parts"))
         ends = [pairs.select(F.col(f"id{x}").alias("id"), F.col(x).alias("c")) for x in "ab"]
         sets = cut(self.of(cut(ends[0].unionByName(ends[1]).distinct())))
         left = pairs.select("a", "salt").distinct().join(sets.toDF("a", "ha"), "a")
@@ -293,7 +331,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = without(docs, stays.where("NOT stays").select("doc_id"), "doc_id")
     size = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(MAX_BITS, max(MIN_BITS, (size // PER_SLOT).bit_length()))
-    found = cut(prefixes(docs, words, percent, frequencies(docs, words, bits), size / (1 << bits)))
+    found = prefixes(docs, words, percent, frequencies(docs, words, bits), size / (1 << bits))
     roots = components(links(found, _Sets(docs, words, percent), percent, light, pivots)).withColumnRenamed("node", "c")
     tree = least.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     ids = tree.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
