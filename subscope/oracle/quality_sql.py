@@ -80,6 +80,19 @@ FROM (SELECT DISTINCT * FROM support_tickets)""")
                          f"WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.user_id = x.user_id)")
     q["constraint_audit"] = with_binding("\nUNION ALL ".join(parts))
 
+    parts = []
+    for t in TABLES:
+        pk = S.PRIMARY_KEYS[t]
+        nn = " OR ".join(f"{f.name} IS NULL" for f in S.SCHEMAS[t].fields if not f.nullable)
+        one = f"SELECT '{t}' AS table_name, '{{}}' AS check_name, CAST({pk} AS VARCHAR) AS row_key, "
+        parts.append(one.format("duplicate_key") + f"CAST(NULL AS BIGINT) AS user_id, count(*) AS row_count FROM {t} "
+                     f"WHERE {pk} IS NOT NULL GROUP BY {pk} HAVING count(*) > 1")
+        parts.append(one.format("null_in_not_null") + f"user_id, count(*) FROM {t} WHERE {nn} GROUP BY {pk}, user_id")
+        if t != "users":
+            parts.append(one.format("orphan_user_id") + f"user_id, count(*) FROM {t} x WHERE NOT EXISTS "
+                         f"(SELECT 1 FROM users u WHERE u.user_id = x.user_id) GROUP BY {pk}, user_id")
+    q["constraint_violations"] = with_binding("\nUNION ALL ".join(parts))
+
     q["table_row_counts"] = with_binding("\nUNION ALL ".join(
         f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in TABLES))
     return q

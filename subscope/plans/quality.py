@@ -183,6 +183,33 @@ def constraint_audit(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     return _union(out)
 
 
+def constraint_violations(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
+    """The rows behind ``constraint_audit``: table, check, key, user and how many rows have them.
+
+    Missing users are found over distinct user_ids and written; the facts then meet that file, whose
+    size the planner knows: it is broadcast while it is small, and the facts are not shuffled.
+    """
+    from subscope.sources.store import written
+    users_ids = t.users.select("user_id").distinct()
+    out = []
+
+    def found(rows: DataFrame, name: str, check: str, key: str) -> DataFrame:
+        user = C("user_id").cast("long") if check != "duplicate_key" else F.lit(None).cast("long")
+        return (rows.select(F.lit(name).alias("table_name"), F.lit(check).alias("check_name"),
+                            C(key).cast("string").alias("row_key"), user.alias("user_id"))
+                .groupBy("table_name", "check_name", "row_key", "user_id").agg(F.count(F.lit(1)).alias("row_count")))
+
+    for name, df in t.as_dict().items():
+        key = S.PRIMARY_KEYS[name]
+        not_null = [f.name for f in S.SCHEMAS[name].fields if not f.nullable]
+        out.append(found(df, name, "duplicate_key", key).where("row_count > 1 AND row_key IS NOT NULL"))
+        out.append(found(df.where(reduce(lambda a, b: a | b, [C(c).isNull() for c in not_null])), name, "null_in_not_null", key))
+        if name != "users":
+            missing = written(df.select("user_id").distinct().join(users_ids, "user_id", "left_anti"), f"missing-users-{name}")
+            out.append(found(df.join(missing, df.user_id.eqNullSafe(missing.user_id), "left_semi"), name, "orphan_user_id", key))
+    return _union(out)
+
+
 def table_row_counts(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     return _union([df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"),
                                                                          "row_count")
@@ -200,5 +227,6 @@ PLANS = {
     "clean_events": clean_events,
     "clean_tickets": clean_tickets,
     "constraint_audit": constraint_audit,
+    "constraint_violations": constraint_violations,
     "table_row_counts": table_row_counts,
 }
