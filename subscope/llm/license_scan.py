@@ -139,11 +139,15 @@ class Sentences:
             places.append((at, at + len(line)))
             at += len(line) + 1
         free, found = [True] * len(places), []
+        begun = [(first, known) for first in range(len(places)) if (known := self._begun(
+            sentence[places[first][0]:places[min(first + RUN, len(places)) - 1][1]]))]
         for size in range(min(len(places), RUN), 0, -1):
-            for first in range(len(places) - size + 1):
+            for first, some in begun:
+                if first + size > len(places):
+                    break
                 start, end = places[first][0], places[first + size - 1][1]
                 if all(free[first:first + size]) and _LANGUAGE.search(sentence, start, end):
-                    known = self._match(sentence[start:end])
+                    known = self._match(sentence[start:end], some)
                     if known and (size == 1 or known[0] not in PASSING and not self._swallows(known[0], sentence[start:end])):
                         found.append((start, end, *known))
                         free[first:first + size] = [False] * size
@@ -159,17 +163,28 @@ class Sentences:
         return sorted(found, key=lambda part: part[0])
 
     def _swallows(self, name: str, part: str) -> bool:
-        """Whether the open end of a known sentence has taken lines that are known themselves."""
+        """Whether the open end of a known sentence has taken lines that are known themselves, in runs of
+        at most RUN lines: longer ones are never looked for on their own either."""
         if name not in OPEN:
             return False
         lines = part.strip().split("\n")
-        return any(known and known[0] != "address"
-                   for first in range(1, len(lines)) for last in range(first + 1, len(lines) + 1)
-                   if _LANGUAGE.search(run := "\n".join(lines[first:last])) and (known := self._match(run)))
+        for first in range(1, len(lines)):
+            some = self._begun("\n".join(lines[first:first + RUN]))
+            for last in range(first + 1, min(first + RUN, len(lines)) + 1) if some else ():
+                run = "\n".join(lines[first:last])
+                known = self._match(run, some) if _LANGUAGE.search(run) else None
+                if known and known[0] != "address":
+                    return True
+        return False
+
+    def _begun(self, part: str) -> list[tuple[str, re.Pattern]]:
+        """The known sentences that some beginning of ``part`` can be: each line is looked at once."""
+        text = _normal(part)
+        return [known for known in self.known if known[1].match(text)]
 
-    def _match(self, sentence: str) -> tuple[str, dict[str, str]] | None:
+    def _match(self, sentence: str, some: list[tuple[str, re.Pattern]] | None = None) -> tuple[str, dict[str, str]] | None:
         text = _normal(sentence)
-        for name, pattern in self.known:
+        for name, pattern in self.known if some is None else some:
             m = pattern.fullmatch(text)
             if m:
                 return name, {k: v for k, v in m.groupdict().items() if v}
