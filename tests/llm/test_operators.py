@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -155,6 +156,18 @@ def test_licence_lines_of_the_table(documents):
             assert (phrase in r["text"]) == (name in found[r["doc_id"]])
 
 
+def test_long_licence_texts_take_time_in_proportion():
+    """20,000 lines of licence language without a stop, and the same behind a sentence with an open end."""
+    lines = [f"this license applies to file {i} of the program" for i in range(20_000)]
+    for head in ([], ["Dedicated to the CC0 license"]):
+        text = "\n".join(head + lines + ["released under the MIT license", *lines[:50]])
+        began = time.process_time()
+        sentences = license_scan.Sentences()
+        found = [name for a, b in license_scan.licence_sentences(text) for *_, name, _ in sentences(text[a:b])]
+        assert time.process_time() - began < 20
+        assert "mit.short" in found
+
+
 # ---- 2 exact dedup
 
 def brute_copies(data):
