@@ -2,8 +2,8 @@
 
 Anchors are clustered by direction; the centroids are fitted on at most SAMPLE anchors. Rows are
 dealt to blocks of about BLOCK, clusters to groups of about GROUP anchors (a cluster of more is
-split). For a block and a cluster the rows are sorted once by the angular upper bound that holds
-for every member: |row| * cos(max(0, angle(row, centroid) - radius)), radius being the largest
+split). Within a cluster, members of nearly one direction share a list (``tight``). For a block and
+such a group the rows are sorted once by the angular upper bound that holds for every member: |row| * cos(max(0, angle(row, centroid) - radius)), radius being the largest
 angle of a member to the centroid. Every member walks that list, scoring steps of rows as matrix
 products, until the bound of the next row times its own length is below what could still enter
 its answer: the k-th score found or the lower limit. What it has not walked is thereby certified.
@@ -31,7 +31,9 @@ BLOCK, GROUP = 8192, 2048
 #: anchors that the centroids are fitted on, and anchors of that sample for each centroid
 SAMPLE, PER_CENTROID = 4096, 16
 #: rows of the first step of a walk; each next step is twice as long
-STEP = 256
+STEP = 64
+#: members of one list lie within this angle (in degrees) of its first: wider lists bound nothing
+WIDTH = 20
 
 
 def take_part(df: DataFrame, id_col: str, label: Column, vector_col: str, scale: int) -> DataFrame:
@@ -68,6 +70,18 @@ def centroids(sample: np.ndarray, rounds: int = 8) -> np.ndarray:
     return found
 
 
+def tight(members: np.ndarray, width: float = WIDTH) -> list[np.ndarray]:
+    """The cluster's members in groups of one direction each: everyone joins the first member within
+    ``width`` degrees of it, or else starts a group. A member far from all others has a list of its own."""
+    unit, left, groups = _unit(members)[0], np.arange(len(members)), []
+    while len(left):
+        near = unit[left] @ unit[left[0]] >= np.cos(np.radians(width))
+        near[0] = True
+        groups.append(left[near])
+        left = left[~near]
+    return groups
+
+
 def shared_list(members: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``x`` by falling upper bound for any member of length one, and those bounds."""
     unit, norms = _unit(members)
@@ -140,8 +154,12 @@ def _answers(x: pd.DataFrame, a: pd.DataFrame, asked) -> pd.DataFrame:
         width = max(x.vec.map(len).max(), a.vec.map(len).max())
         rows, ids, labels, keys = _matrix(x.vec, width), x.id.to_numpy(), x.label.to_numpy(), x.key.to_numpy()
         for _, cluster in a.groupby(["cluster", "part"], sort=False):
-            requests = [r for member, line in enumerate(cluster.itertuples()) for r in asked(line, member)]
-            walk(_matrix(cluster.vec, width), cluster.key.to_numpy(), list(requests), rows, ids, labels, keys)
+            members, own, lines = _matrix(cluster.vec, width), cluster.key.to_numpy(), list(cluster.itertuples())
+            requests = []
+            for group in tight(members):
+                each = [r for member, at in enumerate(group) for r in asked(lines[at], member)]
+                walk(members[group], own[group], list(each), rows, ids, labels, keys)
+                requests += each
             for r in requests:
                 out["key"] += [r.tag[0]] * len(r.rows)
                 out["slot"] += [r.tag[1]] * len(r.rows)
