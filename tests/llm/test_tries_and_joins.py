@@ -287,6 +287,27 @@ def test_walks_stop_early_and_stay_exact():
         assert [(-int(a), int(b)) for a, b in zip(r.scores, r.rows, strict=True)] == want
 
 
+def test_walks_of_random_directions_stop_early_too():
+    """Members that share no direction have lists of their own, whose bounds are tight."""
+    rng = np.random.default_rng(9)
+    x = np.floor(256 * (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(4000, 64)))).astype(np.int64)
+    x[1::40] = x[0::40] + rng.integers(-2, 3, (100, 64))  # some near copies
+    ids, labels, keys = np.arange(4000), np.arange(4000) % 5, np.arange(4000)
+    anchors = np.concatenate([np.arange(0, 4000, 200), np.arange(1, 4000, 200)])
+    groups = hn.tight(x[anchors])
+    assert sorted(len(g) for g in groups) == [2] * 20  # an anchor and its near copy
+    scored = 0
+    for group in groups:
+        m = anchors[group]
+        requests = [hn.Request((i, 0), k, int(labels[i]), False, 10, 0, 9000) for k, i in enumerate(m)]
+        scored += hn.walk(x[m], keys[m], list(requests), x, ids, labels, keys)
+        for r, i in zip(requests, m, strict=True):
+            s = x @ x[i]
+            want = sorted((-s[j], j) for j in range(4000) if labels[j] != labels[i] and 0 <= s[j] <= 9000)[:10]
+            assert [(-int(a), int(b)) for a, b in zip(r.scores, r.rows, strict=True)] == want
+    assert scored < 0.5 * len(anchors) * len(x)
+
+
 def test_bound_holds_for_every_member():
     rng = np.random.default_rng(6)
     members, x = rng.integers(-256, 256, (30, 8)), rng.integers(-256, 256, (500, 8))
