@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subscope.llm.common import (SALTS, blocks, cut, id_slot, keyed, lookup, salted_lookup, sliced, slot_bitmap,
+from subscope.llm.common import (SALTS, blocks, cut, give_back, id_slot, keyed, lookup, salted_lookup, sliced, slot_bitmap,
                                  with_membership, without)
 from subscope.llm.components import components
 from subscope.llm.prefix_trie import ROWS, repeated_slots
@@ -127,6 +127,7 @@ def frequencies(docs: DataFrame, words: int, bits: int) -> np.ndarray:
     merged = docs.mapInArrow(slots, "chunk int, once binary, more binary, times binary").groupBy("chunk")
     for r in merged.applyInPandas(merge, "chunk int, counts binary").collect():  # at most 2 ** (bits - 16) rows
         out[r["chunk"] << _CHUNK:(r["chunk"] + 1) << _CHUNK] = np.frombuffer(r["counts"], "<u2")
+    give_back()
     return out
 
 
@@ -171,7 +172,10 @@ def _screened(found: DataFrame) -> DataFrame:
     more = np.zeros((ROWS << bits) // 8, np.uint8)
     for r in chunks:
         more[r["chunk"] << 13:(r["chunk"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    del chunks
     shared = found.sparkSession.sparkContext.broadcast(more)  # bounded by SCREEN_BITS
+    del more
+    give_back()
     mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +291,7 @@ def links(found: DataFrame, sets: _Sets, percent: int = PERCENT, light: int = LI
     first = rows.join(first.select("token", F.col("first.c").alias("c")), ["token", "c"], "left_semi")
     unrooted = F.col("c").alias("root")
     star = _pairs(first.select("*", unrooted), rows.select("*", unrooted), percent, "posted")
-    edges = sets.links(star.where("shared >= least(matches, 2)"))
+    edges = sets.links(star.where("shared >= matches"))
     rows = cut(_rooted(rows, edges))
 
     # short lists: pairs still in different components; long lists may hold some of their matches
