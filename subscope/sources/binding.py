@@ -68,10 +68,14 @@ def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bind_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bind_sessions(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """``parts``: tasks over which both sides are dealt by order before they are joined."""
     li = (read_driver(spark, sf_dir, "lineitem")
           .select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate"))
     o = read_driver(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    if parts:
+        # a merge: the size of a well compressed file would let millions of orders be broadcast
+        li, o = li.repartition(parts, "l_orderkey"), o.repartition(parts, "o_orderkey").hint("merge")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     outlier = F.when(((F.col("l_orderkey") + F.col("l_linenumber")) % 97) == 0, 120).otherwise(0)
     return j.select(

@@ -25,13 +25,19 @@ from subscope.params import DEFAULT_PERIOD, Period
 from subscope.schema import SCHEMAS
 from subscope.session import checkpoint_dir
 from subscope.sources import binding
-from subscope.sources.binding import Tables, bind
+from subscope.sources.binding import Tables, bind, bind_sessions, read_driver
 
 DRIVER_TABLES = ["customer", "nation", "orders", "lineitem", "events"]
 STORE_LAYOUT = 3  # bump when the written layout changes: older stores are not reused
 DATE_ORDER = {"user_sessions": "session_date", "transactions": "transaction_date",
               "support_tickets": "ticket_date", "feature_events": "event_time"}
 FROM_SESSIONS = ("users", "subscriptions")
+#: rows that one task sorts or groups by a key of their own, and the most tasks to which they are dealt: up to
+#: 200, Spark's shuffle writes each row to its task's file at once and holds none
+TASK_ROWS, TASKS = 500_000, 200
+#: sessions that ask for more tasks are dealt before their join; Spark may raise the number to its own for joins,
+#: which would cut a small table into many files
+DEALT = 16
 _PUBLISHED = "_PUBLISHED"
 _MEMO: dict = {}
 
@@ -87,6 +93,12 @@ def publish(df: DataFrame, root: str, name: str) -> str:
     return folder
 
 
+def tasks_for(df: DataFrame) -> int:
+    """Tasks that ``df`` needs for TASK_ROWS rows each. Scans are cut by bytes: well compressed, 128 MB hold
+    many millions of rows, and what a task sorts or groups would grow with the input."""
+    return max(1, min(TASKS, -(-df.count() // TASK_ROWS)))
+
+
 class StoredTables(Tables):
     """The six tables; each is written, unless it is published, when it is first asked for."""
 
@@ -99,8 +111,13 @@ class StoredTables(Tables):
         folder = published(self.spark, self.root, name)
         if folder is None:
             sessions = self.user_sessions if name in FROM_SESSIONS else None
+            if name == "user_sessions":
+                parts = tasks_for(read_driver(self.spark, self.sf_dir, "lineitem"))
+                sessions = bind_sessions(self.spark, self.sf_dir, parts if parts > DEALT else None)
             df = getattr(bind(self.spark, self.sf_dir, self.period, sessions), name)
             if name in DATE_ORDER:
+                if name != "user_sessions":  # those are dealt for their join
+                    df = df.repartition(tasks_for(df), *df.columns)
                 # date-ordered row groups: Parquet statistics then skip most of a fact table for a
                 # one-month filter. Sorting inside each task needs no shuffle, so a day holding a
                 # third of the rows does not become one task.
