@@ -155,6 +155,13 @@ def clean_tables(t: Tables) -> Tables:
     return Tables(src.users, src.subscriptions, clean_sessions(t), src.transactions, clean_tickets(t), clean_events(t))
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """The table's keys, nearly as many as its rows, dealt to as many tasks as they ask for: grouping them where
+    they are read would hold a scan's keys, and a few large tasks after it theirs."""
+    from subscope.sources.store import tasks_for
+    return df.select(key).repartition(tasks_for(df), key)
+
+
 def constraint_audit(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     """What the model's DDL would enforce, as counts of violating rows:
     repeated primary keys, NULLs in NOT NULL columns, user_ids missing from users."""
@@ -163,7 +170,7 @@ def constraint_audit(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     for name, df in t.as_dict().items():
         pk = S.PRIMARY_KEYS[name]
         not_null = [f.name for f in S.SCHEMAS[name].fields if not f.nullable]
-        dup = (df.groupBy(pk).agg(F.count(F.lit(1)).alias("_n"))
+        dup = (_dealt(df, pk).groupBy(pk).agg(F.count(F.lit(1)).alias("_n"))
                .agg(F.coalesce(F.sum(C("_n") - 1), F.lit(0)).cast("long").alias("violations"))
                .select(F.lit(name).alias("table_name"), F.lit("duplicate_key").alias("check_name"),
                        "violations"))
@@ -193,16 +200,17 @@ def constraint_violations(t: Tables, p: Period = DEFAULT_PERIOD) -> DataFrame:
     users_ids = t.users.select("user_id").distinct()
     out = []
 
-    def found(rows: DataFrame, name: str, check: str, key: str) -> DataFrame:
-        user = C("user_id").cast("long") if check != "duplicate_key" else F.lit(None).cast("long")
-        return (rows.select(F.lit(name).alias("table_name"), F.lit(check).alias("check_name"),
-                            C(key).cast("string").alias("row_key"), user.alias("user_id"))
-                .groupBy("table_name", "check_name", "row_key", "user_id").agg(F.count(F.lit(1)).alias("row_count")))
+    def found(rows: DataFrame, name: str, check: str, key: str, user: str | None = "user_id") -> DataFrame:
+        # grouped by the values themselves: the names and the key's text are for the violations only
+        keys = [key] if user is None else list(dict.fromkeys([key, user]))
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).where("row_count > 1" if user is None else "true")
+        return counts.select(F.lit(name).alias("table_name"), F.lit(check).alias("check_name"), C(key).cast("string").alias("row_key"),
+                             (F.lit(None) if user is None else C(user)).cast("long").alias("user_id"), "row_count")
 
     for name, df in t.as_dict().items():
         key = S.PRIMARY_KEYS[name]
         not_null = [f.name for f in S.SCHEMAS[name].fields if not f.nullable]
-        out.append(found(df, name, "duplicate_key", key).where("row_count > 1 AND row_key IS NOT NULL"))
+        out.append(found(_dealt(df, key).where(C(key).isNotNull()), name, "duplicate_key", key, None))
         out.append(found(df.where(reduce(lambda a, b: a | b, [C(c).isNull() for c in not_null])), name, "null_in_not_null", key))
         if name != "users":
             missing = written(df.select("user_id").distinct().join(users_ids, "user_id", "left_anti"), f"missing-users-{name}")

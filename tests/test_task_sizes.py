@@ -4,8 +4,11 @@ import datetime as dt
 import tempfile
 
 from subscope.params import DEFAULT_PERIOD
+from subscope.plans import quality
 from subscope.sources import store
-from subscope.sources.binding import bind
+from subscope.sources.binding import Tables, bind
+
+from conftest import FIXTURE_ROWS, ORDER, S
 
 
 def _driver_tables(spark):
@@ -37,3 +40,17 @@ def test_stored_facts_are_dealt_by_rows(spark, monkeypatch):
         got = getattr(tables, name)
         assert len(got.inputFiles()) > 1, name
         assert sorted(map(str, got.collect())) == sorted(map(str, getattr(whole, name).select(*got.columns).collect())), name
+
+
+def test_repeated_keys_are_grouped_in_dealt_tasks(spark, monkeypatch):
+    rows = {k: list(v) for k, v in FIXTURE_ROWS.items()}
+    rows["user_sessions"] += [(9000 + i, 2, dt.date(2001, 6, 1), 5) for i in range(50)]
+    t = Tables(*(spark.createDataFrame(rows[n], S.SCHEMAS[n]) for n in ORDER))
+    monkeypatch.setattr(store, "TASK_ROWS", 10)
+    for query in (quality.constraint_violations, quality.constraint_audit):
+        plan = query(t)._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line and "session_id" in line]
+        assert dealt and all(", 7)" in line for line in dealt), plan  # 64 sessions
+    found = {tuple(r) for r in quality.constraint_violations(t).collect()}
+    assert found == {("user_sessions", "duplicate_key", "12", None, 2), ("subscriptions", "orphan_user_id", "108", 8, 1),
+                     ("user_sessions", "orphan_user_id", "13", 9, 1), ("transactions", "orphan_user_id", "8", 9, 1)}
