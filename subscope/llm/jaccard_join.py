@@ -244,6 +244,8 @@ class _Sets:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, ida, b, idb; a may be in very many) that reach the similarity, as (a, b)."""
         pairs = cut(pairs)
+        if not pairs.take(1):
+            return pairs.select("a", "b")
         # a class with very many partners has its set in several tasks
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts")).where("parts > 1")
         pairs = salted_lookup(pairs, ["a"], F.col("b"), parts)
@@ -274,9 +276,16 @@ def _counted(met: DataFrame, percent: int) -> DataFrame:
         F.first(_matches(percent)).alias("matches"), F.first(F.least("heavya", "heavyb")).alias("heavy"))
 
 
-def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """``rows`` with ``root``, the component of their class by ``edges``."""
-    return lookup_class(rows, components(edges)).withColumn("root", F.coalesce("root", "c"))
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with ``root``, the component of their class by ``roots`` (node, root)."""
+    return lookup_class(rows, roots).withColumn("root", F.coalesce("root", "c"))
+
+
+def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components of those in ``roots`` (node, root) and new ``edges``: each is a star already, so few rounds join them."""
+    if not edges.take(1):
+        return roots
+    return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(edges))
 
 
 def lookup_class(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -284,15 +293,15 @@ def lookup_class(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def links(found: DataFrame, sets: _Sets, percent: int = PERCENT, light: int = LIGHT, pivots: int = PIVOTS) -> DataFrame:
-    """Edges (a, b) between classes whose components are those of all links."""
+    """(node, root): one row per class that is not the smallest of its component by all links, with that smallest class."""
     rows = postings(found, light)
     # every list's smallest id, with the rest of the list
     first = rows.groupBy("token").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), "c")).alias("first"))
     first = rows.join(first.select("token", F.col("first.c").alias("c")), ["token", "c"], "left_semi")
     unrooted = F.col("c").alias("root")
     star = _pairs(first.select("*", unrooted), rows.select("*", unrooted), percent, "posted")
-    edges = sets.links(star.where("shared >= matches"))
-    rows = cut(_rooted(rows, edges))
+    roots = components(sets.links(star.where("shared >= matches")))
+    rows = cut(_rooted(rows, roots))
 
     # short lists: pairs still in different components; long lists may hold some of their matches
     short = rows.where(F.col("times") <= light).groupBy("token").agg(F.sort_array(F.collect_list(F.struct(*_MEMBER))).alias("list"))
@@ -301,13 +310,13 @@ def links(found: DataFrame, sets: _Sets, percent: int = PERCENT, light: int = LI
     short = short.where("x.c < y.c AND x.root <> y.root").select(
         *[F.col(f"x.{k}").alias(f"{k}a") for k in _MEMBER], *[F.col(f"y.{k}").alias(f"{k}b") for k in _MEMBER])
     short = _counted(short.where(_fits(percent, "posted")), percent)
-    edges = cut(edges.unionByName(sets.links(short.where("shared >= greatest(1, matches - heavy)"))))
+    roots = _joined(roots, sets.links(short.where("shared >= greatest(1, matches - heavy)")))
 
     # long lists: what lies outside a list's main component with some of it, then with all of the list. A pair
     # that shares a short list too has been tested, so the long ones hold all matches of those that are left
     long = rows.where(F.col("times") > light).drop("root")
     for last in (False, True) if long.take(1) else ():
-        now = cut(_rooted(long, edges))
+        now = cut(_rooted(long, roots))
         main = now.groupBy("token", "root").count().groupBy("token").agg(
             F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("all"))
         main = main.where("main.count < all").select("token", F.col("main.root").alias("main"))  # not settled yet
@@ -318,8 +327,8 @@ def links(found: DataFrame, sets: _Sets, percent: int = PERCENT, light: int = LI
             order = Window.partitionBy("token").orderBy(F.xxhash64("c"), "c")
             chosen = now.join(main, "token").where("root = main").withColumn("nth", F.row_number().over(order))
             pairs = _pairs(chosen.where(F.col("nth") <= pivots), outside, percent, "heavy")
-        edges = cut(edges.unionByName(sets.links(pairs.where("shared >= matches"))))
-    return edges
+        roots = _joined(roots, sets.links(pairs.where("shared >= matches")))
+    return roots
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -336,7 +345,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     size = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(MAX_BITS, max(MIN_BITS, (size // PER_SLOT).bit_length()))
     found = prefixes(docs, words, percent, frequencies(docs, words, bits), size / (1 << bits))
-    roots = components(links(found, _Sets(docs, words, percent), percent, light, pivots)).withColumnRenamed("node", "c")
+    roots = links(found, _Sets(docs, words, percent), percent, light, pivots).withColumnRenamed("node", "c")
     tree = least.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     ids = tree.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     tree = cut(lookup(tree, ["root"], ids, "members", total).select("c", "rows", "component_id"))

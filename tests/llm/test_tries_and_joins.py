@@ -316,3 +316,14 @@ def test_bound_holds_for_every_member():
     assert (np.diff(bound) <= 0).all()
     lengths = np.linalg.norm(members, axis=1)
     assert (members @ x[order].T <= bound * lengths[:, None]).all()
+
+
+def test_components_are_found_again_only_for_new_links(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(jj, "components", lambda edges, f=jj.components: calls.append(1) or f(edges))
+    words = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join([*words[:k], "other", *words[k + 1:]])) for k in range(8)] + [(9, "far from all the others here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jj.jaccard_components(df, light=2, pivots=1).collect())
+    assert got == brute_components(rows)
+    assert len(calls) == 1  # all links are with the smallest
