@@ -156,16 +156,26 @@ def give_back() -> None:
 
 def per_worker(key: str, make: Callable[[], object]) -> object:
     """``make()``, kept in this Python process for the tasks that come after. Functions travel by value,
-    so a module of theirs would be new in every task."""
+    so a module of theirs would be new in every task. The next task that reads texts without asking for it lets it go."""
     kept = sys.modules.setdefault("_subscope_kept", types.ModuleType("_subscope_kept")).__dict__
     if key not in kept:
         kept[key] = make()
+    kept["_asked"] = True
     return kept[key]
 
 
+def let_go() -> None:
+    """What ``per_worker`` keeps, unless this task has asked for it: a tokenizer and its words are up to 100 MB
+    that a later stage's tasks would hold besides their own."""
+    kept = getattr(sys.modules.get("_subscope_kept"), "__dict__", {})
+    if not kept.pop("_asked", False):
+        kept.clear()
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices, without a copy: what a task makes of a slice's texts is small and goes
     before the next slice."""
+    let_go()
     give_back()  # what the worker's last task has left
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
