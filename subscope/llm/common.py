@@ -18,6 +18,8 @@ from subscope.session import checkpoint_dir
 SALTS = 16
 #: keys that ``lookup`` may broadcast
 HEAVY = 4096
+#: rows that a task takes of a small table, however many partitions it came in
+TASK_ROWS = 100_000
 #: slots of a membership bitmap: 2**24 bits are 2 MB, whatever the data
 SLOTS = 1 << 24
 
@@ -37,6 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def narrowed(df: DataFrame, total: int, rows: int = TASK_ROWS) -> DataFrame:
+    """``df``, of about ``total`` rows, in no more tasks than have ``rows`` each, without a shuffle."""
+    return df.coalesce(max(1, -(-total // rows)))
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, whose session from now on hands rows to Python in batches of at most BATCH_BYTES: 10,000 whole
     texts at once, Spark's default, have no bound. A smaller bound of the session's own stays."""

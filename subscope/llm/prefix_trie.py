@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subscope.llm.common import cut, fold, lookup
+from subscope.llm.common import cut, fold, lookup, narrowed
 
 MOD = (1 << 31) - 1
 #: any four bases of the digest's lanes
@@ -42,6 +42,8 @@ ROWS, PER_PREFIX, MIN_BITS, MAX_BITS = 2, 8, 16, 28
 #: slots that a task holds before it sends them on
 HELD = 1 << 20
 _CHUNK = 16
+#: chunks of the sketch, 8 KB each, that a task merges
+CHUNKS = 64
 _WORD = r"[^\x20\x09-\x0D]+"
 _KEY = ["depth", "k1", "k2"]
 
@@ -162,9 +164,11 @@ def rebuilt(turns: DataFrame, every: int, most: int) -> tuple[DataFrame, DataFra
 
     The first h turns come from conversation conv - conv % every, h being crc32 of conv modulo ``most`` + 1.
     """
+    total = turns.count()
+    turns = narrowed(turns, total)
     at = range(1, most + 1)
     first = [F.max(F.when(F.col("pos") == i, F.col(c))).alias(f"{c}_{i}") for i in at for c in ("k1", "k2", "words")]
-    heads = cut(turns.groupBy("conv").agg(F.max("pos").alias("n"), F.max("cum").alias("cum"), *first))
+    heads = cut(narrowed(turns.groupBy("conv").agg(F.max("pos").alias("n"), F.max("cum").alias("cum"), *first), total))
     donors = heads.select([F.col(c).alias(f"d_{c}") for c in heads.columns])
     both = heads.join(donors, F.col("d_conv") == F.col("conv") - F.col("conv") % every, "left")
     h = fold("conv", most + 1)
@@ -180,7 +184,7 @@ def rebuilt(turns: DataFrame, every: int, most: int) -> tuple[DataFrame, DataFra
                      *[(F.col(f"d_k{j}_{i - 1}") if i > 1 else F.lit(0).cast("long")).alias(f"p{j}") for j in (1, 2)],
                      F.col(f"d_words_{i}").alias("words"),
                      sum((F.col(f"d_words_{j}") for j in range(1, i + 1)), F.lit(0)).cast("long").alias("cum")) for i in at]
-    params = cut(both.select(
+    params = cut(narrowed(both, total).select(
         "conv", "n", "h", "hd", *[pick("", f"k{i}", "ho").alias(f"o{i}") for i in (1, 2)],
         *[pick("d_", f"k{i}", "hd").alias(f"l{i}") for i in (1, 2)],
         words("", "ho").alias("own_words"), words("d_", "hd").alias("lead_words"), "cum",
@@ -188,14 +192,14 @@ def rebuilt(turns: DataFrame, every: int, most: int) -> tuple[DataFrame, DataFra
         .withColumn("length", F.col("hd") + F.greatest(F.col("n") - F.col("h"), F.lit(0)))
         .withColumn("total", F.col("cum") - F.col("own_words") + F.col("lead_words")).drop("cum"))
     leading = params.select("conv", "length", F.explode("lead").alias("t")).select("conv", "t.*", (F.col("t.depth") == F.col("length")).alias("last"))
-    own = lookup(turns, ["conv"], params.drop("lead"), "n", turns.count()).where("pos > h")
+    own = lookup(turns, ["conv"], params.drop("lead"), "n", total).where("pos > h")
     back = F.col("h") - F.col("hd")
     own = own.select(
         "conv", (F.col("pos") - back).alias("depth"),
         *[_shifted(f"{c}{i}", f"o{i}", f"l{i}", back, BASES[2 * i - 2:2 * i]).alias(f"{c}{i}") for c in "kp" for i in (1, 2)],
         "words", (F.col("cum") - F.col("own_words") + F.col("lead_words")).alias("cum"),
         (F.col("pos") - back == F.col("length")).alias("last"))
-    return params.select("conv", "length", "total"), cut(leading.unionByName(own))
+    return params.select("conv", "length", "total"), cut(narrowed(leading.unionByName(own), (most + 1) * total))
 
 
 # ---- the sketch
@@ -234,7 +238,8 @@ def repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
         return pd.DataFrame({"chunk": part.chunk[:1], "bits": [np.packbits(seen > 1, bitorder="little").tobytes()]})
 
     sent = hashes.mapInArrow(slots, "chunk int, once binary, more binary")
-    return cut(sent.groupBy("chunk").applyInPandas(merge, "chunk int, bits binary"))
+    merged = sent.groupBy("chunk").applyInPandas(merge, "chunk int, bits binary")
+    return cut(narrowed(merged, (ROWS << bits) >> _CHUNK, CHUNKS))
 
 
 def _estimated(df: DataFrame, key: list[str], sketch: DataFrame, bits: int, name: str) -> DataFrame:
@@ -305,7 +310,8 @@ def prefix_trie(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     """One row per node: conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens, ends_sha256."""
     convs, path = rebuilt(prefixes(df, conv_col, turn_col, role_col, text_col), every, most)
-    bits = min(max_bits, max(MIN_BITS, (PER_PREFIX * path.count() - 1).bit_length()))
+    places = path.count()
+    bits = min(max_bits, max(MIN_BITS, (PER_PREFIX * places - 1).bit_length()))
     sketch = repeated_slots(path.select(F.xxhash64(*_KEY)), bits)
     path = _estimated(path, _KEY, sketch, bits, "maybe")
     path = path.withColumn("parent", F.col("depth") - 1)
@@ -323,11 +329,13 @@ def prefix_trie(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     tails = alone(path.where("NOT maybe AND NOT below"), F.col("conv"))
     opened = path.where("maybe OR below").withColumn("pre", F.col("cum") - F.col("words"))
     total = opened.count()
-    nodes = cut(opened.where("maybe").groupBy(*_KEY).agg(
+    nodes = opened.where("maybe").groupBy(*_KEY).agg(
         F.count("*").alias("n"), F.min("conv").alias("rep"), F.count(F.when(F.col("last"), 1)).alias("ends"),
         F.min(F.when(F.col("last"), F.col("conv"))).alias("first_end"), F.first("p1").alias("p1"), F.first("p2").alias("p2"),
-        F.first("pre").alias("pre")).where("n > 1"))
-    found = cut(lookup(opened.select("conv", *_KEY, "p1", "p2", "pre", "last"), _KEY, nodes.select(*_KEY, "n", "rep", "ends"), "n", total))
+        F.first("pre").alias("pre")).where("n > 1")
+    nodes = cut(narrowed(nodes, total))
+    found = lookup(opened.select("conv", *_KEY, "p1", "p2", "pre", "last"), _KEY, nodes.select(*_KEY, "n", "rep", "ends"), "n", total)
+    found = cut(narrowed(found, total))
 
     # what each conversation adds to all its ancestors
     least = convs.agg(F.min("conv")).first()[0]
@@ -341,8 +349,8 @@ def prefix_trie(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         F.coalesce("deep_rep", F.lit(least)).alias("deep_rep"),
         F.when(F.col("conv") == F.lit(least), F.col("total")).otherwise(F.col("total") - F.coalesce("before", "total")).alias("first_words"),
         F.when(F.col("length") > F.coalesce("deep", long(0)), 1).otherwise(F.coalesce("leaf", F.lit(0))).cast("long").alias("leaf"))
-    told = cut(told)
-    found = cut(lookup(found, ["conv"], told, "rows", total))
+    told = cut(narrowed(told, places))
+    found = cut(narrowed(lookup(found, ["conv"], told, "rows", total), total))
     single = found.where("n IS NULL")
     parent = F.when(F.col("depth") == F.col("deep") + 1, F.col("deep_rep")).otherwise(F.col("conv"))
     of_rep = lambda c: F.max(F.when(own, F.col(c)))
@@ -350,8 +358,9 @@ def prefix_trie(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         F.sum("total").alias("words"), F.sum("first_words").alias("first_words"), F.sum("leaf").alias("n_leaves"),
         of_rep("total").alias("rep_words"), of_rep("first_words").alias("rep_first"))
     up = [(F.col("depth") - 1).alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2")]
-    children = cut(nodes.select(up).unionByName(single.where(F.col("depth") == F.col("deep") + 1).select(up))
+    children = (nodes.select(up).unionByName(single.where(F.col("depth") == F.col("deep") + 1).select(up))
                    .groupBy(*_KEY).agg(F.count("*").alias("n_children")))
+    children = cut(narrowed(children, total))
     parents = nodes.select(*_KEY, F.col("rep").alias("parent_conv_id")).join(children, _KEY).select(
         F.col("depth").alias("parent"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), "parent_conv_id", "n_children")
     ends = found.where(shared & F.col("last") & (F.col("ends") > 1)).select(*_KEY, "conv")
@@ -371,4 +380,4 @@ def prefix_trie(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
             .select("conv_id", "depth", F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
                     F.coalesce("n_children", long(0)).alias("n_children"), F.greatest("leaves", long(1)).alias("n_leaves"),
                     "saved_tokens", F.coalesce("ends_sha256", nothing).alias("ends_sha256")))
-    return tails.unionByName(alone(single, parent)).unionByName(tree).unionByName(root)
+    return tails.unionByName(alone(single, parent)).unionByName(narrowed(tree, total)).unionByName(root)
