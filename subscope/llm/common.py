@@ -125,16 +125,22 @@ def without(df: DataFrame, gone: DataFrame, id_col: str, also: Column | None = N
     one, the value of ``also``. Nulls match nulls.
 
     Rows whose id misses the bitmap of gone ids stay without a shuffle; only the others, the
-    gone rows and a few false positives, meet ``gone`` in an exact anti join.
+    gone rows and a few false positives, meet ``gone`` in an exact anti join. Without ``also`` the ids
+    alone meet it first; a second bitmap, of the false positives, then leaves few whole rows to be joined.
     """
-    key, value, maybe = (free(df, c) for c in ("_gone", "_also", "_llm_maybe"))
+    key, value, maybe, spared = (free(df, c) for c in ("_gone", "_also", "_llm_maybe", "_llm_spared"))
     gone = cut(gone.toDF(key, value) if also is not None else gone.toDF(key)).distinct()
     slots = slot_bitmap(gone.select(id_slot(key).alias("slot")))
     marked = with_membership(df, id_slot(id_col), slots, maybe)
     same = F.col(id_col).eqNullSafe(F.col(key))
     if also is not None:
         same = same & also.eqNullSafe(F.col(value))
-    tested = marked.where(maybe).join(gone, same, "left_anti")
+    open_ = marked.where(maybe)
+    if also is None:
+        at = F.pmod(F.xxhash64(F.lit(1), F.col(id_col)), F.lit(SLOTS))
+        false = cut(open_.select(id_col).distinct().join(gone, same, "left_anti"))
+        open_ = with_membership(open_, at, slot_bitmap(false.select(at.alias("slot"))), spared).where(spared)
+    tested = open_.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in marked.columns])
     return marked.where(f"NOT {maybe}").unionByName(tested).select(*[F.col(f"`{c}`") for c in df.columns])
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subscope.llm.common import (SALTS, blocks, cut, give_back, id_slot, keyed, lookup, salted_lookup, sliced, slot_bitmap,
+from subscope.llm.common import (SALTS, blocks, cut, give_back, id_slot, keyed, lookup, narrowed, sliced, slot_bitmap,
                                  with_membership, without)
 from subscope.llm.components import components
 from subscope.llm.prefix_trie import ROWS, repeated_slots
@@ -44,9 +44,11 @@ MATCHES = 8
 #: shingles a slot of the frequency sketch holds on average, and its least and most slots as powers of two (8 MB)
 PER_SLOT, MIN_BITS, MAX_BITS = 8, 16, 22
 #: slots for each posting in a row of the sketch that screens them, and its most slots as a power of two (64 MB in all)
-SCREEN_SLOTS, SCREEN_BITS = 2, 28
+SCREEN_SLOTS, SCREEN_BITS = 4, 28
 #: partners of one class whose sets meet in one task
 PARTNERS = 256
+#: whole sets, or pairs of them, that a task takes where they are few
+SETS = 2000
 #: slots that a task holds before it sends their counts
 HELD = 1 << 22
 #: members of a long list's main component that all outside it meet first
@@ -94,6 +96,15 @@ def frequencies(docs: DataFrame, words: int, bits: int) -> np.ndarray:
     """Counts of all shingles by the low ``bits`` bits of their hashes, capped at 65535: 2 ** (bits + 1) bytes."""
     mask = np.uint64((1 << bits) - 1)
 
+    def line(chunk: int, slot: np.ndarray, times: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
+        """Slots met once are listed, or where they are many, marked in a bitmap; the others have their counts."""
+        once, more = slot[times == 1].astype("<u2"), times > 1
+        if len(once) > 1 << (_CHUNK - 4):
+            marks = np.zeros(1 << _CHUNK, np.uint8)
+            marks[once] = 1
+            once = np.packbits(marks)
+        return chunk, once.tobytes(), slot[more].astype("<u2").tobytes(), times[more].tobytes()
+
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -101,8 +112,7 @@ def frequencies(docs: DataFrame, words: int, bits: int) -> np.ndarray:
             slot, times = np.unique(np.concatenate(held), return_counts=True)
             times = np.minimum(times, 65535).astype("<u2")
             cuts = np.flatnonzero(np.diff(slot >> _CHUNK)) + 1
-            lines = [(int(s[0] >> _CHUNK), (s & 0xFFFF)[t == 1].astype("<u2").tobytes(), (s & 0xFFFF)[t > 1].astype("<u2").tobytes(), t[t > 1].tobytes())
-                     for s, t in zip(np.split(slot, cuts), np.split(times, cuts), strict=True)]
+            lines = [line(int(s[0] >> _CHUNK), s & 0xFFFF, t) for s, t in zip(np.split(slot, cuts), np.split(times, cuts), strict=True)]
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines, strict=True), kinds, strict=True)],
                                               ["chunk", "once", "more", "times"])
@@ -119,7 +129,10 @@ def frequencies(docs: DataFrame, words: int, bits: int) -> np.ndarray:
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << _CHUNK, np.int64)
         for once, more, times in zip(part.once, part.more, part.times, strict=True):
-            total[np.frombuffer(once, "<u2")] += 1
+            if len(once) == 1 << (_CHUNK - 3):  # a bitmap; a list is shorter or has one slot more
+                total += np.unpackbits(np.frombuffer(once, np.uint8))
+            else:
+                total[np.frombuffer(once, "<u2")] += 1
             total[np.frombuffer(more, "<u2")] += np.frombuffer(times, "<u2")
         return pd.DataFrame({"chunk": part.chunk[:1], "counts": [np.minimum(total, 65535).astype("<u2").tobytes()]})
 
@@ -164,8 +177,8 @@ def prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray, nois
 
 
 def _screened(found: DataFrame) -> DataFrame:
-    """(id, c, n, m, token) of the tokens that a count-min sketch of all prefixes does not prove to be
-    the only ones of their kind."""
+    """``found`` with the tokens that a count-min sketch of all prefixes does not prove to be the only ones
+    of their kind; rows without any are left out."""
     total = found.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
     bits = min(SCREEN_BITS, max(MIN_BITS, (SCREEN_SLOTS * total).bit_length()))
     chunks = repeated_slots(found.select(F.explode("tokens")), bits).collect()  # at most 2 ** (bits - 16) rows a hash row
@@ -187,25 +200,36 @@ def _screened(found: DataFrame) -> DataFrame:
             for r in range(ROWS):
                 slot = ((h.view(np.uint64) >> np.uint64(32 * r)) & mask).astype(np.int64) + (r << bits)
                 maybe &= (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-            rows = pa.array(owner[maybe])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(4)], pa.array(h[maybe])], ["id", "c", "n", "m", "token"])
+            left = np.bincount(owner[maybe], minlength=batch.num_rows)
+            kept = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *left]), pa.int32()), pa.array(h[maybe]))
+            out = pa.RecordBatch.from_arrays([*batch.columns[:4], kept], ["id", "c", "n", "m", "tokens"])
+            yield out.filter(pa.array(left > 0))
 
-    out = cut(found.mapInArrow(run, f"id {found.schema['id'].dataType.simpleString()}, c long, n long, m long, token long"))
+    out = cut(found.mapInArrow(run, f"id {found.schema['id'].dataType.simpleString()}, c long, n long, m long, tokens array<long>"))
     shared.destroy()
     return out
 
 
 def postings(found: DataFrame, light: int) -> DataFrame:
-    """(token, times, id, c, n, m, posted, heavy) of the prefix tokens that several classes have; ``times``: length
-    of the token's list, ``posted``: the class's tokens, ``heavy``: those in lists longer than ``light``."""
+    """(c, id, n, m, tokens, times, posted, heavy), one row per class: the prefix tokens that several classes have,
+    with the lengths of their lists; ``posted``: their number, ``heavy``: those in lists longer than ``light``."""
     rows = _screened(found)
-    lists = cut(rows.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"))
+    if rows.groupBy("c").count().where("count > 1").take(1):  # repeated rows: one posting
+        rows = cut(rows.groupBy("c", "n", "m").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens")))
+    flat = rows.select("c", F.explode("tokens").alias("token"))
+    lists = cut(flat.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"))
     total = lists.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    # a repeated row: one posting
-    rows = cut(lookup(rows, ["token"], lists, "times", total).where("times IS NOT NULL").groupBy("token", "times", "c", "n", "m")
-               .agg(F.min("id").alias("id")))
-    heavy = rows.groupBy("c").agg(F.count("*").alias("posted"), F.count(F.when(F.col("times") > light, 1)).alias("heavy"))
-    return cut(lookup(rows, ["c"], heavy, "posted", total))
+    shared = lookup(flat, ["token"], lists, "times", total).where("times IS NOT NULL")
+    shared = shared.groupBy("c").agg(F.collect_list(F.struct("token", "times")).alias("list"))  # a class's own prefix
+    return cut(rows.drop("tokens").join(shared, "c").select(
+        "c", "id", "n", "m", F.col("list.token").alias("tokens"), F.col("list.times").alias("times"), F.size("list").alias("posted"),
+        F.size(F.filter("list", lambda x: x["times"] > light)).alias("heavy")))
+
+
+def _each(rows: DataFrame, *more: str) -> DataFrame:
+    """The classes' postings: (token, times, c, id, n, m, posted, heavy, *more)."""
+    return rows.select(F.explode(F.arrays_zip("tokens", "times")).alias("x"), "c", "id", "n", "m", "posted", "heavy", *more).select(
+        F.col("x.tokens").alias("token"), F.col("x.times").alias("times"), "c", "id", "n", "m", "posted", "heavy", *more)
 
 
 def _matches(percent: int) -> Column:
@@ -244,25 +268,32 @@ class _Sets:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, ida, b, idb; a may be in very many) that reach the similarity, as (a, b)."""
         pairs = cut(pairs)
-        if not pairs.take(1):
+        total = pairs.count()
+        pairs = narrowed(pairs, total)
+        if not total:
             return pairs.select("a", "b")
         # a class with very many partners has its set in several tasks
-        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts")).where("parts > 1")
-        pairs = salted_lookup(pairs, ["a"], F.col("b"), parts)
-        pairs = cut(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).drop("parts"))
+        partners = cut(narrowed(pairs.groupBy("a").agg(F.count("*").alias("n")), total).where(F.col("n") > PARTNERS))
+        if partners.take(1):
+            pairs = lookup(pairs, ["a"], partners, "n", total)
+        else:
+            pairs = pairs.withColumn("n", F.lit(0))
+        pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("n", F.lit(0)) / PARTNERS) + 1)).drop("n")
         ends = [pairs.select(F.col(f"id{x}").alias("id"), F.col(x).alias("c")) for x in "ab"]
-        sets = cut(self.of(cut(ends[0].unionByName(ends[1]).distinct())))
-        left = pairs.select("a", "salt").distinct().join(sets.toDF("a", "ha"), "a")
-        both = pairs.select("a", "b", "salt").join(sets.toDF("b", "hb"), "b").join(left, ["a", "salt"])
+        sets = cut(narrowed(self.of(ends[0].unionByName(ends[1])), 2 * total, SETS))
+        left = narrowed(pairs.select("a", "salt").distinct().join(sets.toDF("a", "ha"), "a"), total, SETS)
+        both = narrowed(pairs.select("a", "b", "salt").join(sets.toDF("b", "hb"), "b"), total, SETS).join(left, ["a", "salt"])
         same = F.size(F.array_intersect("ha", "hb"))
-        return cut(both.where(100 * same >= self.percent * (F.size("ha") + F.size("hb") - same)).select("a", "b"))
+        same = both.where(100 * same >= self.percent * (F.size("ha") + F.size("hb") - same)).select("a", "b")
+        return cut(narrowed(same, total, SETS))
 
 
-def _pairs(a: DataFrame, b: DataFrame, percent: int, lists: str) -> DataFrame:
+def _pairs(a: DataFrame, b: DataFrame, percent: int, lists: str, light: int) -> DataFrame:
     """Pairs from lists: rows of ``a`` (few in a list) with those of ``b`` in another component that fit, and
-    the number of lists they share. ``b``'s lists are dealt to SALTS tasks."""
-    a = a.select("token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.col(x).alias(f"{x}a") for x in _MEMBER])
-    b = b.select("token", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int").alias("salt"), *[F.col(x).alias(f"{x}b") for x in _MEMBER])
+    the number of lists they share. A list of ``b`` is dealt to a task for each ``light`` of its rows, SALTS at most."""
+    salts = F.least(F.ceil(F.col("times") / light), F.lit(SALTS)).cast("int")
+    a = a.select("token", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *[F.col(x).alias(f"{x}a") for x in _MEMBER])
+    b = b.select("token", F.pmod(F.xxhash64("c"), salts).cast("int").alias("salt"), *[F.col(x).alias(f"{x}b") for x in _MEMBER])
     met = a.join(b, ["token", "salt"]).where((F.col("rootb") != F.col("roota")) & _fits(percent, lists))
     return _counted(met, percent)
 
@@ -277,8 +308,8 @@ def _counted(met: DataFrame, percent: int) -> DataFrame:
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` with ``root``, the component of their class by ``roots`` (node, root)."""
-    return lookup_class(rows, roots).withColumn("root", F.coalesce("root", "c"))
+    """``rows``, one per class, with ``root``, the component of their class by ``roots`` (node, root)."""
+    return rows.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
 
 def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -288,23 +319,17 @@ def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(edges))
 
 
-def lookup_class(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return salted_lookup(rows, ["c"], F.col("token"), roots.withColumnRenamed("node", "c"))
-
-
 def links(found: DataFrame, sets: _Sets, percent: int = PERCENT, light: int = LIGHT, pivots: int = PIVOTS) -> DataFrame:
     """(node, root): one row per class that is not the smallest of its component by all links, with that smallest class."""
     rows = postings(found, light)
     # every list's smallest id, with the rest of the list
-    first = rows.groupBy("token").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), "c")).alias("first"))
-    first = rows.join(first.select("token", F.col("first.c").alias("c")), ["token", "c"], "left_semi")
-    unrooted = F.col("c").alias("root")
-    star = _pairs(first.select("*", unrooted), rows.select("*", unrooted), percent, "posted")
+    each = _each(rows).withColumn("root", F.col("c"))
+    first = each.groupBy("token", "times").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), *_MEMBER)).alias("first"))
+    star = _pairs(first.select("token", "times", "first.*"), each, percent, "posted", light)
     roots = components(sets.links(star.where("shared >= matches")))
-    rows = cut(_rooted(rows, roots))
 
     # short lists: pairs still in different components; long lists may hold some of their matches
-    short = rows.where(F.col("times") <= light).groupBy("token").agg(F.sort_array(F.collect_list(F.struct(*_MEMBER))).alias("list"))
+    short = _each(_rooted(rows, roots), "root").where(F.col("times") <= light).groupBy("token").agg(F.sort_array(F.collect_list(F.struct(*_MEMBER))).alias("list"))
     short = short.where(F.array_max("list.root") != F.array_min("list.root"))
     short = short.select("token", "list", F.explode("list").alias("x")).select("token", "x", F.explode("list").alias("y"))
     short = short.where("x.c < y.c AND x.root <> y.root").select(
@@ -314,19 +339,19 @@ def links(found: DataFrame, sets: _Sets, percent: int = PERCENT, light: int = LI
 
     # long lists: what lies outside a list's main component with some of it, then with all of the list. A pair
     # that shares a short list too has been tested, so the long ones hold all matches of those that are left
-    long = rows.where(F.col("times") > light).drop("root")
+    long = rows.where("heavy > 0")
     for last in (False, True) if long.take(1) else ():
-        now = cut(_rooted(long, roots))
+        now = cut(_each(_rooted(long, roots), "root").where(F.col("times") > light))
         main = now.groupBy("token", "root").count().groupBy("token").agg(
             F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("all"))
         main = main.where("main.count < all").select("token", F.col("main.root").alias("main"))  # not settled yet
         outside = now.join(main, "token").where("root <> main")
         if last:
-            pairs = _pairs(outside, now.join(main, "token", "left_semi"), percent, "heavy")
+            pairs = _pairs(outside, now.join(main, "token", "left_semi"), percent, "heavy", light)
         else:
             order = Window.partitionBy("token").orderBy(F.xxhash64("c"), "c")
             chosen = now.join(main, "token").where("root = main").withColumn("nth", F.row_number().over(order))
-            pairs = _pairs(chosen.where(F.col("nth") <= pivots), outside, percent, "heavy")
+            pairs = _pairs(chosen.where(F.col("nth") <= pivots), outside, percent, "heavy", light)
         roots = _joined(roots, sets.links(pairs.where("shared >= matches")))
     return roots
 
