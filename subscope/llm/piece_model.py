@@ -71,15 +71,19 @@ class Pieces:
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """Byte-pair merges: the best-scored neighbours join first, the leftmost of equals."""
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                score = self.scores.get(symbols[k] + symbols[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
+        scores, none = self.scores.get, -np.inf
+        joined = [scores(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while joined:
+            best = max(joined)
+            if best == none:
                 break
+            at = joined.index(best)
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+            del joined[at]
+            if at < len(joined):
+                joined[at] = scores(symbols[at] + symbols[at + 1], none)
+            if at:
+                joined[at - 1] = scores(symbols[at - 1] + symbols[at], none)
         return symbols
 
     def merges_to(self, last: int, piece: int) -> bool:
@@ -118,6 +122,29 @@ class Pieces:
         last.append(piece)
         return length
 
+    def extend(self, word: str, done: int, last: list[int], count: list[int]) -> None:
+        """``step`` of a BPE model for all places after ``done``, with the tokens so far: one piece at most
+        may follow, so no scores are compared."""
+        lengths, ids, pairs = self.lengths.get, self.id.get, self._pairs.get
+        for end in range(done + 1, len(word) + 1):
+            for n in lengths(word[end - 2:end], ()) if end > 1 else ():
+                if n <= end:
+                    piece = ids(word[end - n:end])
+                    if piece is not None:
+                        ok = pairs((last[end - n], piece))
+                        if ok or ok is None and self.follows(last[end - n], piece):
+                            last.append(piece)
+                            count.append(count[end - n] + 1)
+                            break
+            else:
+                piece = ids(word[end - 1])
+                if piece is not None and self.follows(last[end - 1], piece):
+                    last.append(piece)
+                    count.append(count[end - 1] + 1)
+                else:
+                    last.append(UNKNOWN)
+                    count.append(count[end - 1] + len(word[end - 1].encode()))
+
     def encode_word(self, word: str) -> list[int]:
         score, last, lengths = [0.0], [UNKNOWN], [0]
         for end in range(1, len(word) + 1):

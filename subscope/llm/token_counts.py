@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from subscope.llm.common import keyed, sliced
+from subscope.llm.common import keyed, per_worker, sliced
 from subscope.llm.piece_model import UNKNOWN, Pieces, groups
 
 #: counts kept before a group of new texts, and the longest pre-token among them
@@ -24,28 +24,24 @@ CACHE = 400_000
 LONGEST = 64
 
 
-def _common(a: str, b: str) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    low, high = 0, n  # a[:low] == b[:low], a[:high] != b[:high]
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid)
-    return low
-
-
 def trie_counts(pieces: Pieces, distinct: set[str]) -> dict[str, int]:
     """Tokens of each of ``distinct``."""
     found, before = {}, ""
     score, last, count = [0.0], [UNKNOWN], [0]
     for word in sorted(distinct):
-        shared = _common(before, word)
+        shared = 0
+        for a, b in zip(before, word, strict=False):
+            if a != b:
+                break
+            shared += 1
         del score[shared + 1:], last[shared + 1:], count[shared + 1:]
-        for end in range(shared + 1, len(word) + 1):
-            length = pieces.step(word, end, score, last)
-            cost = len(word[end - 1].encode()) if last[end] == UNKNOWN else 1
-            count.append(count[end - length] + cost)
+        if pieces.bpe:
+            pieces.extend(word, shared, last, count)
+        else:
+            for end in range(shared + 1, len(word) + 1):
+                length = pieces.step(word, end, score, last)
+                cost = len(word[end - 1].encode()) if last[end] == UNKNOWN else 1
+                count.append(count[end - length] + cost)
         found[word], before = count[-1], word
     return found
 
@@ -55,13 +51,15 @@ def token_counts(df: DataFrame, model: str, kind: str = "bpe", id_col: str = "do
     docs = keyed(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, kept = Pieces(model, kind), {}
+        pieces, kept = per_worker(f"counts {kind} {model}", lambda: (Pieces(model, kind), {}))
         for batch in sliced(batches, 2048):
             n_words, n_tokens = [], []
             for group in groups(batch.column(1).to_pylist()):
                 needed = {w for text in group for w in text}
                 if len(kept) > CACHE:  # the words of these texts, frequent ones among them, stay
-                    kept = {w: kept[w] for w in needed if w in kept}
+                    stay = {w: kept[w] for w in needed if w in kept}
+                    kept.clear()
+                    kept.update(stay)
                 kept.update(trie_counts(pieces, {w for w in needed if w not in kept}))
                 n_words += map(len, group)
                 n_tokens += [sum(map(kept.__getitem__, text)) for text in group]
