@@ -35,6 +35,9 @@ LONGEST = 64
 FEW = 16
 #: pairs of pieces remembered, and new ones before they are sorted in
 PAIRS, NEW_PAIRS = 2_000_000, 20_000
+#: bits of a hash by which substrings that are no pieces are told first
+SOME_BITS = 20
+_SOME = np.uint64(64 - SOME_BITS)
 _DONE = UNKNOWN - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,6 +87,9 @@ class Codec:
         self.keys, self.key_ids = hashes[at], np.array(order)[at]
         if len(np.unique(self.keys)) < len(self.keys):
             raise ValueError("two pieces have one hash")
+        #: by the first bits of a hash: whether any piece has them. Most substrings are no pieces
+        self.some = np.zeros(1 << SOME_BITS, bool)
+        self.some[self.keys >> _SOME] = True
         self.powers = np.cumprod(np.full(self.pieces.longest + 1, _BASE))
         self.cache: dict[str, bytes] = {}
         self.bytes = byte_table(self.pieces)
@@ -130,9 +136,11 @@ class Codec:
                 if p.bpe:  # where a piece may follow, no second one may
                     rest = rest[np.isneginf(score[rest, end])]
                 h = hashes[rest, end] - hashes[rest, end - size] * self.powers[size - 1]
+                some = np.flatnonzero(self.some[h >> _SOME])
+                h = h[some]
                 at = np.searchsorted(self.keys, h).clip(max=len(self.keys) - 1)
                 hit = self.keys[at] == h
-                rows, piece = rest[hit], self.key_ids[at[hit]]
+                rows, piece = rest[some[hit]], self.key_ids[at[hit]]
                 total = score[rows, end - size] + p.score[piece]
                 better = total > score[rows, end]
                 if p.bpe:

@@ -125,3 +125,18 @@ def test_without_joins_few_whole_rows(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted([*(i for i in range(400) if i % 9), 7])
     few = common.without(df, gone.where("doc_id = 9"), "doc_id")
     assert few.count() == 401
+
+
+def test_merges_equal_the_library(monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    codec, model, rng = Codec(path), SentencePieceProcessor(model_file=path), random.Random(9)
+    made = ["".join(rng.choice("aeinrst") for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    assert [codec.pieces.encode_word("▁" + w) for w in made] == [model.encode(w) for w in made]
+    assert [codec.pieces._merged(list("▁" + w)) for w in made] == [model.encode(w, out_type=str) for w in made]
+    asked = []
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, f=np.searchsorted: asked.append((len(a), len(v))) or f(a, v))
+    codec.viterbi(["▁" + "q" * 12] * 40)
+    probes = 40 * sum(min(end, codec.pieces.longest) for end in range(1, 14))
+    assert sum(n for size, n in asked if size == len(codec.keys)) < probes / 2  # most substrings are told without a search
