@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subscope.llm.common import blocks, keep_rows, keyed, sliced
+from subscope.llm.common import blocks, give_back, keep_rows, keyed, sliced
 
 #: bounds of the learning sample, by label
 DOCS = {0: 12_000, 1: 4_000}
@@ -261,7 +261,10 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         found = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
         picked = found.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
         texts[label] = [t.as_py() for t in picked.column("text").cast(pa.large_binary())]
-    return fit(texts[0], texts[1], (totals.get(0, 0), totals.get(1, 0)))
+        del picked
+    model = fit(texts.pop(0), texts.pop(1), (totals.get(0, 0), totals.get(1, 0)))
+    give_back()  # the driver's Python outlives the fit
+    return model
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
